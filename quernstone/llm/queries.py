@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from quernstone.llm import bpe, exact_dedup, language, mixing, parsing, simhash, toxicity, url_filter
 from quernstone.llm.common import crc_mod, table
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("epochs")
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("sha256", "text_sha256")
 
@@ -25,13 +33,19 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language.identify(docs.select("doc_id", "text"), language.fit(docs))
+    return out.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_exact_dedup, op5_bpe, op6_simhash, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_fingerprints, op4_exact_dedup, op5_bpe, op6_simhash, op9_language, op10_toxicity)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
