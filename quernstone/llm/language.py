@@ -46,7 +46,7 @@ def codewords(n: int) -> np.ndarray:
     """A codeword of -1 and 1 for each of n languages: all splits of few languages, random ones (fixed seed) of many."""
     if n <= EXHAUSTIVE:
         splits = range(1, 1 << (n - 1))  # the first language is always on one side
-        return np.array([[1 if s >> (i - 1) & 1 and i else -1 for s in splits] for i in range(n)]).reshape(n, -1)
+        return np.array([[1 if i and s >> (i - 1) & 1 else -1 for s in splits] for i in range(n)]).reshape(n, -1)
     rng = np.random.default_rng(20)
     code = rng.choice([-1, 1], size=(n, RANDOM_BITS))
     code[0, np.abs(code.sum(axis=0)) == n] *= -1

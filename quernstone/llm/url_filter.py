@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/"
 MAX_LABELLED = 20_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SUFFIX_PRIOR = 10.0
-FEATURES = ("n_url", "n_host", "n_path", "labels", "depth", "digits", "entropy", "parameters", "hyphens", "suffix_rate", "domain_rate", "ending_rate")
+FEATURES = ("_n_url", "_n_host", "_n_path", "_labels", "_depth", "_digits", "_entropy", "_parameters", "_hyphens", "_suffix_rate", "_domain_rate", "_ending_rate")
 
 
 def with_parts(pages: DataFrame, url_col: str = "url") -> DataFrame:
@@ -52,18 +53,18 @@ def _lexical(pages: DataFrame, url_col: str) -> DataFrame:
     name = F.regexp_replace("host", r":[0-9]*$", "")
     return pages.withColumns(
         {
-            "n_url": F.length(url).cast("double"),
-            "n_host": F.length("host").cast("double"),
-            "n_path": F.length("path").cast("double"),
-            "labels": count(F.col("host"), "."),
-            "depth": count(F.col("path"), "/"),
-            "digits": F.length(F.regexp_replace(url, "[^0-9]", "")) / n,
-            "entropy": entropy,
-            "parameters": F.when(query == "", 0.0).otherwise(count(query, "&") + 1),
-            "hyphens": count(F.col("host"), "-"),
-            "suffix": F.substring_index(name, ".", -1),
-            "domain": F.substring_index(name, ".", -2),
-            "ending": F.regexp_extract("path", r"(\.[A-Za-z0-9]{1,8}|/)$", 1),
+            "_n_url": F.length(url).cast("double"),
+            "_n_host": F.length("host").cast("double"),
+            "_n_path": F.length("path").cast("double"),
+            "_labels": count(F.col("host"), "."),
+            "_depth": count(F.col("path"), "/"),
+            "_digits": F.length(F.regexp_replace(url, "[^0-9]", "")) / n,
+            "_entropy": entropy,
+            "_parameters": F.when(query == "", 0.0).otherwise(count(query, "&") + 1),
+            "_hyphens": count(F.col("host"), "-"),
+            "_suffix": F.substring_index(name, ".", -1),
+            "_domain": F.substring_index(name, ".", -2),
+            "_ending": F.regexp_extract("path", r"(\.[A-Za-z0-9]{1,8}|/)$", 1),
         }
     )
 
@@ -78,8 +79,8 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules: tuple[tuple[str, s
     """
     rule, verdict = rule_for(rules)
     parts = with_parts(pages, url_col).withColumns({"rule": rule, "verdict": verdict})
-    known = parts.where("rule is not null").select(url_col, "host", "path", (F.col("verdict") == "block").cast("double").alias("label"))
-    tally = known.agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).first()
+    known = parts.where("rule is not null").select(url_col, "host", "path", (F.col("verdict") == "block").cast("double").alias("_label"))
+    tally = known.agg(F.count("*").alias("n"), F.sum("_label").alias("blocked")).first()
     if not tally["n"] or tally["blocked"] in (0, tally["n"]):
         other = "block" if tally["n"] and tally["blocked"] else "allow"
         return parts.withColumns({"verdict": F.coalesce("verdict", F.lit(other)), "block_score": F.when(F.col("rule").isNull(), F.lit(float(other == "block")))})
@@ -87,15 +88,15 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules: tuple[tuple[str, s
     rate = tally["blocked"] / tally["n"]
 
     def with_rates(rows: DataFrame) -> DataFrame:
-        for key in ("suffix", "domain", "ending"):
-            seen = learn.groupBy(key).agg(((F.sum("label") + rate * _SUFFIX_PRIOR) / (F.count("*") + _SUFFIX_PRIOR)).alias(f"{key}_rate"))
+        for key in ("_suffix", "_domain", "_ending"):
+            seen = learn.groupBy(key).agg(((F.sum("_label") + rate * _SUFFIX_PRIOR) / (F.count("*") + _SUFFIX_PRIOR)).alias(f"{key}_rate"))
             rows = rows.join(F.broadcast(seen), key, "left").withColumn(f"{key}_rate", F.coalesce(f"{key}_rate", F.lit(rate)))
         return rows
 
-    trees = GBTClassifier(labelCol="label", featuresCol="_features", predictionCol="_says", rawPredictionCol="_raw", probabilityCol="_probability", maxIter=20, maxDepth=4, stepSize=0.2, seed=17)
+    trees = GBTClassifier(labelCol="_label", featuresCol="_features", predictionCol="_says", maxIter=20, maxDepth=4, stepSize=0.2, seed=17)
+    trees = trees.setRawPredictionCol("_raw").setProbabilityCol("_probability")
     model = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="_features"), trees]).fit(with_rates(learn))
     judged = model.transform(with_rates(_lexical(parts, url_col)))
-    # the trees' probability is a vector; the thresholded prediction is what decides
-    score = F.when(F.col("rule").isNull(), F.col("_says"))
+    score = F.when(F.col("rule").isNull(), vector_to_array("_probability")[1])
     verdict = F.coalesce("verdict", F.when(F.col("_says") >= 0.5, "block").otherwise("allow"))
-    return judged.withColumns({"block_score": score, "verdict": verdict}).drop(*FEATURES, "suffix", "domain", "ending", "_features", "_says", "_raw", "_probability")
+    return judged.withColumns({"block_score": score, "verdict": verdict}).drop(*FEATURES, "_suffix", "_domain", "_ending", "_features", "_says", "_raw", "_probability")
