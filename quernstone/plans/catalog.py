@@ -8,9 +8,9 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernstone.functions import dates, price, text
+from quernstone.functions import categories, dates, price, text
 from quernstone.operators import joins, query
-from quernstone.sources import calendar, health, pages
+from quernstone.sources import calendar, health, pages, structured
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -338,3 +338,34 @@ CALENDAR = "\r\n".join([
 def q_calendar(spark, sf_dir):
     found = calendar.read_calendar(_fixture(spark, [CALENDAR, "geen agenda"]), "text")
     return found.select("id", "name", "start_iso", "end_iso", "location_name", "organizer", F.size("categories").alias("n_categories"))
+
+
+KEYWORDS = {"Muziek": ("concert", "koor"), "Festival": ("festival",), "Kinderen": ("kinder",), "Nachtleven": ("disco", "bal"), "Eten & Drinken": ("high tea",)}
+
+
+@query_of(_golden("id, found, merged", [
+    "(0, 'Kinderen,Familie', 'Muziek,Kinderen,Familie')", "(1, 'Nachtleven', 'Muziek,Nachtleven')", "(2, 'Cultuur,Festival', 'Muziek,Cultuur,Festival')", "(3, 'Overig', 'Muziek')", "(4, '', 'Muziek')", "(5, 'Eten & Drinken', 'Muziek,Eten & Drinken')",
+]))
+def q_categories(spark, sf_dir):
+    said = ["Kindermiddag", "Ballonvaart", "Groot festival", "Welkom", "", "High-tea"]
+    rows = _fixture(spark, said).select("id", categories.classify(text.slug("text"), KEYWORDS).alias("_found"))
+    return rows.select("id", F.array_join("_found", ",").alias("found"), F.array_join(categories.with_defaults(F.col("_found"), F.array(F.lit("Muziek"))), ",").alias("merged"))
+
+
+PAGE = """<html><script type="application/ld+json">{"@context": "https://schema.org", "@graph": [{"@type": "MusicEvent", "name": "Concert &amp; meer", "startDate": "2026-06-12T20:00", "location": {"name": "Kerk"},
+"subEvent": [{"@type": ["Thing", "Event"], "name": "Toegift", "organizer": [{"name": "Koor"}]}]}, {"@type": "Event", "name": "Weg", "eventStatus": "https://schema.org/EventCancelled"}]}</script>
+<script type='application/ld+json'>{broken</script></html>"""
+
+
+@query_of(_golden("id, ordinal, name, start_iso, location_name, organizer", ["(0, 0, 'Concert & meer', '2026-06-12T20:00', 'Kerk', CAST(NULL AS VARCHAR))", "(0, 1, 'Toegift', NULL, NULL, 'Koor')"]))
+def q_linked_data(spark, sf_dir):
+    return structured.linked_data(_fixture(spark, [PAGE, "<html></html>"]), "id", "text").select("id", "ordinal", "name", "start_iso", "location_name", "organizer")
+
+
+FEED = "<rss><channel><item><title>Markt</title><link>https://a.nl/1</link><description>&lt;b&gt;12 juni&lt;/b&gt; 10.00</description></item><item><link>https://a.nl/2</link></item></channel></rss>"
+ATOM = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>Tocht</title><link href="https://b.nl/1"/><summary>13 juni</summary></entry></feed>'
+
+
+@query_of(_golden("id, ordinal, name, detail_url, description", ["(0, 0, 'Markt', 'https://a.nl/1', '12 juni 10.00')", "(1, 0, 'Tocht', 'https://b.nl/1', '13 juni')"]))
+def q_feed(spark, sf_dir):
+    return structured.feed_items(_fixture(spark, [FEED, ATOM, "<rss><broken", "text"]), "id", "text")
