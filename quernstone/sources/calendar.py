@@ -15,7 +15,7 @@ def _property(block: Column, name: str, pattern: str = r"[^\r\n]*") -> Column:
 
 def _plain(value: Column) -> Column:
     """A value without the escapes of the format."""
-    for escape, meaning in (("\\n", " "), ("\\N", " "), ("\\,", ","), ("\;", ";"), ("\\\\", "\\")):
+    for escape, meaning in (("\\n", " "), ("\\N", " "), ("\\,", ","), ("\\;", ";"), ("\\\\", "\\")):
         value = F.replace(value, F.lit(escape), F.lit(meaning))
     return F.when(value.isNotNull(), collapse(value))
 
