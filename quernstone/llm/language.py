@@ -118,7 +118,7 @@ _OUT = StructType([StructField("lang", StringType()), StructField("score", Doubl
 
 
 def identify(docs: DataFrame, model: CodedClassifier | None, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score (0 to 1) and ambiguous; und with score 0 for null texts, texts without a letter, or no model."""
+    """docs with lang_pred, score (0 to 1) and ambiguous; und with score 0 for null texts, texts without a letter, or no model. Columns of these names are replaced, others stay."""
 
     @pandas_udf(_OUT)
     def tell(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

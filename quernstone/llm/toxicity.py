@@ -147,7 +147,7 @@ _OUT = StructType([StructField("score", DoubleType()), StructField("evidence", A
 
 
 def score_toxicity(docs: DataFrame, index: BlockMaxIndex, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with toxicity (0 to 1), toxic (1 from threshold on) and evidence (ids of the examples that voted); null and empty texts get the base rate."""
+    """docs with toxicity (0 to 1), toxic (1 from threshold on) and evidence (ids of the examples that voted); null and empty texts get the base rate. Columns of these names are replaced, others stay."""
 
     @pandas_udf(_OUT)
     def vote(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
