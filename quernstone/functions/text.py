@@ -167,3 +167,19 @@ def path_of(url: Column) -> Column:
 def without_language(path: Column) -> Column:
     """A path without segments that name a language and without slashes at its end."""
     return F.regexp_replace(F.regexp_replace(path, r"/+$", ""), r"(?i)/(?:nl-nl|en-gb|en-us|de-de|nl|en|de|fr)(?=/|$)", "")
+
+
+@pandas_udf(DoubleType())
+def word_likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The larger one of fuzzy_token_similarity and containment, with the words paired once where both ways agree."""
+
+    def of(x: str, y: str) -> float:
+        p, q = _words(x), _words(y)
+        if not p or not q:
+            return 0.0
+        found = _paired(p, q)
+        few, many = sorted((p, q), key=len)
+        whole = sum(map(len, few)) >= 8 and (found if few is p else _paired(few, many)) == len(few)
+        return max(found / (len(p) + len(q) - found), 0.75 if whole else 0.0)
+
+    return pd.Series([of(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
