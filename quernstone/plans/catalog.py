@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,29 +9,14 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import categories, dates, price, text
 from quernstone.operators import joins, query
+from quernstone.plans import activities  # noqa: F401  (registers its queries)
+from quernstone.plans.registry import QUERIES, SQL, fixture, golden, query_of, table
 from quernstone.sources import calendar, health, pages, structured
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
 FIRST, LAST = date(1996, 3, 1), date(1996, 3, 14)
 NOW = datetime(2024, 1, 15, 12)
 
 
-def query_of(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _stays(spark: SparkSession, sf_dir: str, first: date, last: date) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("start"), F.date_add(F.to_date("l_shipdate"), F.col("l_linenumber") - 2).alias("end"))
     return rows.where(query.overlaps(F.col("start"), F.col("end"), first, last))
@@ -279,51 +263,43 @@ def q_alternate_paths(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.explode(pages.alternate_paths(F.col("url"))).alias("url"))
 
 
-def _fixture(spark: SparkSession, rows: list[str]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(rows)), "id int, text string")
-
-
-def _golden(columns: str, rows: list[str]) -> str:
-    return f"SELECT * FROM (VALUES {', '.join(rows)}) AS t({columns})"
-
-
-@query_of(_golden('id, "start", "end"', [
+@query_of(golden('id, "start", "end"', [
     "(0, DATE '2026-06-12', CAST(NULL AS DATE))", "(1, DATE '2026-06-12', NULL)", "(2, DATE '2026-06-12', NULL)", "(3, DATE '2026-06-12', DATE '2026-06-14')", "(4, DATE '2026-06-12', NULL)",
     "(5, DATE '2026-06-12', DATE '2026-06-15')", "(6, DATE '2026-06-30', DATE '2026-07-03')", "(7, DATE '2025-12-30', DATE '2026-01-02')", "(8, NULL, NULL)", "(9, NULL, NULL)", "(10, DATE '2026-05-05', DATE '2026-05-09')",
 ]))
 def q_dates(spark, sf_dir):
     said = ["12 juni 2026", "vr 12 juni", "2026-06-12", "2026-06-12 … 2026-06-14", "12-06-26", "12 t/m 15 juni", "30 juni t/m 3 juli 2026", "30 december t/m 2 januari", "31 juni", "", "5 mei en 9 mei 2026"]
     found = dates.date_range(F.col("text"), F.lit(2026))
-    return _fixture(spark, said).select("id", found["start"].alias("start"), found["end"].alias("end"))
+    return fixture(spark, said).select("id", found["start"].alias("start"), found["end"].alias("end"))
 
 
-@query_of(_golden('id, "start", "end"', ["(0, 1200, 1380)", "(1, 1200, CAST(NULL AS INT))", "(2, 1200, 1380)", "(3, 1200, NULL)", "(4, 726, NULL)", "(5, NULL, NULL)", "(6, NULL, NULL)"]))
+@query_of(golden('id, "start", "end"', ["(0, 1200, 1380)", "(1, 1200, CAST(NULL AS INT))", "(2, 1200, 1380)", "(3, 1200, NULL)", "(4, 726, NULL)", "(5, NULL, NULL)", "(6, NULL, NULL)"]))
 def q_times(spark, sf_dir):
     said = ["20.00 - 23.00", "20:00 uur", "van 20.00 tot 23.00 uur", "om 20 uur", "12.06.2026", "25:00", ""]
     found = dates.times(F.col("text"))
-    return _fixture(spark, said).select("id", found["start"].alias("start"), found["end"].alias("end"))
+    return fixture(spark, said).select("id", found["start"].alias("start"), found["end"].alias("end"))
 
 
-@query_of(_golden('id, end_date, "start", "end"', ["(0, CAST(NULL AS DATE), CAST(NULL AS INT), CAST(NULL AS INT))", "(1, NULL, 1380, NULL)", "(2, DATE '2026-06-14', 600, 540)", "(3, NULL, 0, 60)", "(4, NULL, 600, 660)"]))
+@query_of(golden('id, end_date, "start", "end"', ["(0, CAST(NULL AS DATE), CAST(NULL AS INT), CAST(NULL AS INT))", "(1, NULL, 1380, NULL)", "(2, DATE '2026-06-14', 600, 540)", "(3, NULL, 0, 60)", "(4, NULL, 600, 660)"]))
 def q_midnight(spark, sf_dir):
     rows = [(0, None, 0, 1439), (1, None, 1380, 60), (2, "2026-06-14", 600, 540), (3, "2026-12-14", 0, 60), (4, "2026-06-11", 600, 660)]
     given = spark.createDataFrame(rows, "id int, until string, first int, last int")
     return given.select("id", *[c.alias(k) for k, c in dates.sane(F.lit("2026-06-12").cast("date"), F.col("until").cast("date"), F.col("first"), F.col("last")).items()])
 
 
-@query_of(_golden("id, price, kind", [
+@query_of(golden("id, price, kind", [
     "(0, '€ 12,50', 'Betaald')", "(1, '€ 5 – € 7', 'Betaald')", "(2, 'Gratis', 'Gratis')", "(3, '€ 5 (deels gratis)', 'Betaald')", "(4, 'Vrije gift', 'Gratis')", "(5, '€ 1.25', 'Betaald')", "(6, 'Onbekend', 'Onbekend')",
 ]))
 def q_price(spark, sf_dir):
     said = ["€ 12,50", "EUR 5 of € 7", "gratis", "€ 5, kinderen gratis", "vrije gift", "€ 1.250", "0"]
     found = price.price(F.col("text"), text.slug("text"))
-    return _fixture(spark, said).select("id", found["price"].alias("price"), found["kind"].alias("kind"))
+    return fixture(spark, said).select("id", found["price"].alias("price"), found["kind"].alias("kind"))
 
 
-@query_of(_golden("id, reservation", ["(0, 'Nee')", "(1, 'Nee')", "(2, 'Ja')", "(3, 'Nee')", "(4, 'Onbekend')"]))
+@query_of(golden("id, reservation", ["(0, 'Nee')", "(1, 'Nee')", "(2, 'Ja')", "(3, 'Nee')", "(4, 'Onbekend')"]))
 def q_reservation(spark, sf_dir):
     said = ["reserveren niet nodig", "vrije inloop", "reserveren verplicht", "Reserveren verplicht, of vrije inloop", "welkom"]
-    return _fixture(spark, said).select("id", price.reservation(text.slug("text")).alias("reservation"))
+    return fixture(spark, said).select("id", price.reservation(text.slug("text")).alias("reservation"))
 
 
 CALENDAR = "\r\n".join([
@@ -332,23 +308,23 @@ CALENDAR = "\r\n".join([
 ])
 
 
-@query_of(_golden("id, name, start_iso, end_iso, location_name, organizer, n_categories", [
+@query_of(golden("id, name, start_iso, end_iso, location_name, organizer, n_categories", [
     "(0, 'Concert in de kerk', '2026-06-12T20:00:00Z', '2026-06-12T22:00:00Z', 'Kerk, Midsland', 'Het Koor', 2)", "(0, 'Markt', '2026-06-14', NULL, NULL, 'markt@example.org', 0)",
 ]))
 def q_calendar(spark, sf_dir):
-    found = calendar.read_calendar(_fixture(spark, [CALENDAR, "geen agenda"]), "text")
+    found = calendar.read_calendar(fixture(spark, [CALENDAR, "geen agenda"]), "text")
     return found.select("id", "name", "start_iso", "end_iso", "location_name", "organizer", F.size("categories").alias("n_categories"))
 
 
 KEYWORDS = {"Muziek": ("concert", "koor"), "Festival": ("festival",), "Kinderen": ("kinder",), "Nachtleven": ("disco", "bal"), "Eten & Drinken": ("high tea",)}
 
 
-@query_of(_golden("id, found, merged", [
+@query_of(golden("id, found, merged", [
     "(0, 'Kinderen,Familie', 'Muziek,Kinderen,Familie')", "(1, 'Nachtleven', 'Muziek,Nachtleven')", "(2, 'Cultuur,Festival', 'Muziek,Cultuur,Festival')", "(3, 'Overig', 'Muziek')", "(4, '', 'Muziek')", "(5, 'Eten & Drinken', 'Muziek,Eten & Drinken')",
 ]))
 def q_categories(spark, sf_dir):
     said = ["Kindermiddag", "Ballonvaart", "Groot festival", "Welkom", "", "High-tea"]
-    rows = _fixture(spark, said).select("id", categories.classify(text.slug("text"), KEYWORDS).alias("_found"))
+    rows = fixture(spark, said).select("id", categories.classify(text.slug("text"), KEYWORDS).alias("_found"))
     return rows.select("id", F.array_join("_found", ",").alias("found"), F.array_join(categories.with_defaults(F.col("_found"), F.array(F.lit("Muziek"))), ",").alias("merged"))
 
 
@@ -357,15 +333,15 @@ PAGE = """<html><script type="application/ld+json">{"@context": "https://schema.
 <script type='application/ld+json'>{broken</script></html>"""
 
 
-@query_of(_golden("id, ordinal, name, start_iso, location_name, organizer", ["(0, 0, 'Concert & meer', '2026-06-12T20:00', 'Kerk', CAST(NULL AS VARCHAR))", "(0, 1, 'Toegift', NULL, NULL, 'Koor')"]))
+@query_of(golden("id, ordinal, name, start_iso, location_name, organizer", ["(0, 0, 'Concert & meer', '2026-06-12T20:00', 'Kerk', CAST(NULL AS VARCHAR))", "(0, 1, 'Toegift', NULL, NULL, 'Koor')"]))
 def q_linked_data(spark, sf_dir):
-    return structured.linked_data(_fixture(spark, [PAGE, "<html></html>"]), "id", "text").select("id", "ordinal", "name", "start_iso", "location_name", "organizer")
+    return structured.linked_data(fixture(spark, [PAGE, "<html></html>"]), "id", "text").select("id", "ordinal", "name", "start_iso", "location_name", "organizer")
 
 
 FEED = "<rss><channel><item><title>Markt</title><link>https://a.nl/1</link><description>&lt;b&gt;12 juni&lt;/b&gt; 10.00</description></item><item><link>https://a.nl/2</link></item></channel></rss>"
 ATOM = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>Tocht</title><link href="https://b.nl/1"/><summary>13 juni</summary></entry></feed>'
 
 
-@query_of(_golden("id, ordinal, name, detail_url, description", ["(0, 0, 'Markt', 'https://a.nl/1', '12 juni 10.00')", "(1, 0, 'Tocht', 'https://b.nl/1', '13 juni')"]))
+@query_of(golden("id, ordinal, name, detail_url, description", ["(0, 0, 'Markt', 'https://a.nl/1', '12 juni 10.00')", "(1, 0, 'Tocht', 'https://b.nl/1', '13 juni')"]))
 def q_feed(spark, sf_dir):
-    return structured.feed_items(_fixture(spark, [FEED, ATOM, "<rss><broken", "text"]), "id", "text")
+    return structured.feed_items(fixture(spark, [FEED, ATOM, "<rss><broken", "text"]), "id", "text")
