@@ -116,3 +116,21 @@ def sane(date: Column, end_date: Column, start: Column, end: Column) -> dict[str
     until = F.when((end_date > date) & (F.datediff(end_date, date) <= LONGEST_SPAN), end_date)
     wrong = F.coalesce(until.isNull() & (last <= first), F.lit(False))
     return {"end_date": until, "start": first, "end": F.when(~wrong, last)}
+
+
+# Fixed values. Days and months in Dutch, from Sunday and from January on.
+DAYS = ("zondag", "maandag", "dinsdag", "woensdag", "donderdag", "vrijdag", "zaterdag")
+MONTH_NAMES = ("januari", "februari", "maart", "april", "mei", "juni", "juli", "augustus", "september", "oktober", "november", "december")
+
+
+def in_dutch(day: Column) -> Column:
+    """A date in words, as vrijdag 12 juni 2026."""
+    named = lambda words, i: F.get(F.array(*map(F.lit, words)), i - 1)
+    return F.when(day.isNotNull(), F.concat_ws(" ", named(DAYS, F.dayofweek(day)), F.dayofmonth(day), named(MONTH_NAMES, F.month(day)), F.year(day)))
+
+
+def coming_weekend(today: Column) -> Column:
+    """The coming Friday to Sunday (struct start, end), or what is left of it if it has begun."""
+    n = F.dayofweek(today)  # 1 is Sunday, 6 Friday, 7 Saturday
+    start = F.when(n.isin(1, 6, 7), today).otherwise(F.next_day(today, "Fri"))
+    return _span(start, F.when(n == 1, today).otherwise(F.next_day(start, "Sun")))

@@ -6,8 +6,9 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
+from quernstone.functions import dates
 from quernstone.plans.registry import golden, query_of, table
-from quernstone.sources import markup, registry, site_json
+from quernstone.sources import markup, registry, site_json, structured
 
 FIRST, LAST = date(2026, 6, 12), date(2026, 7, 3)
 
@@ -119,3 +120,23 @@ def q_outcomes(spark, sf_dir):
 def q_strategies(spark, sf_dir):
     """How often each way of fetching was used."""
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("strategy")).agg(F.count("*").alias("n"))
+
+
+@query_of(golden("id, price_text, ticket_url", [
+    "(0, '€ 12,5', 'https://t.nl/1')", "(1, 'Gratis', NULL)", "(2, '€ 10 – € 9', 'https://t.nl/2')", "(3, 'vanaf tien', NULL)", "(4, NULL, NULL)",
+]))
+def q_offers(spark, sf_dir):
+    """The range of prices goes by their texts, so 10 comes before 9."""
+    offers = ['{"price": 12.50, "url": "https://t.nl/1"}', '[{"price": "0"}, {"price": "0"}]', '[{"price": "9"}, {"lowPrice": "10", "url": "https://t.nl/2"}]', '{"price": "vanaf tien"}', "[]"]
+    bodies = [f'<script type="application/ld+json">{{"@type": "Event", "name": "Feest", "offers": {o}}}</script>' for o in offers]
+    return structured.linked_data(_pages(spark, bodies), "id", "body").select("id", "price_text", "ticket_url")
+
+
+@query_of(golden('day, said, "start", "end"', [
+    "(DATE '2026-06-10', 'woensdag 10 juni 2026', DATE '2026-06-12', DATE '2026-06-14')", "(DATE '2026-06-12', 'vrijdag 12 juni 2026', DATE '2026-06-12', DATE '2026-06-14')",
+    "(DATE '2026-06-13', 'zaterdag 13 juni 2026', DATE '2026-06-13', DATE '2026-06-14')", "(DATE '2026-06-14', 'zondag 14 juni 2026', DATE '2026-06-14', DATE '2026-06-14')",
+]))
+def q_weekend(spark, sf_dir):
+    days = spark.createDataFrame([(date(2026, 6, d),) for d in (10, 12, 13, 14)], "day date")
+    found = dates.coming_weekend(F.col("day"))
+    return days.select("day", dates.in_dutch(F.col("day")).alias("said"), found["start"].alias("start"), found["end"].alias("end"))

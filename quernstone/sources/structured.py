@@ -6,6 +6,7 @@ import json
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from decimal import Decimal, InvalidOperation
 from html import unescape
 
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEPTH = 8
-_FIELDS = ("name", "start_iso", "end_iso", "description", "location_name", "organizer", "detail_url")
+_FIELDS = ("name", "start_iso", "end_iso", "description", "location_name", "organizer", "detail_url", "price_text", "ticket_url")
 _SCRIPT = r"(?is)<script[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script>"
 _TAG = re.compile(r"<[^>]+>")
 
@@ -46,11 +47,28 @@ def _events(node: object, depth: int = 0) -> Iterator[dict]:
                 yield from _events(part, depth + 1)
 
 
+def _amount(raw: str) -> str:
+    """A price as shown: free if zero, decimals with a comma; what is no number stays."""
+    try:
+        value = Decimal(raw.strip().replace(",", "."))
+    except InvalidOperation:
+        return raw
+    return "Gratis" if value == 0 else f"€ {value:.2f}".rstrip("0").rstrip(".").replace(".", ",")
+
+
+def _offers(value: object) -> tuple[str | None, str | None]:
+    """Price and ticket address of an offer or a list of them; different prices show the least and the greatest, which are compared as texts."""
+    offers = [o for o in (value if isinstance(value, list) else [value]) if isinstance(o, dict)]
+    said = sorted({p for o in offers if (p := _text(o.get("price")) or _text(o.get("lowPrice")))})
+    shown = " – ".join(map(_amount, said if len(said) < 2 else (said[0], said[-1]))) or None
+    return shown, next((u for o in offers if (u := _text(o.get("url")))), None)
+
+
 def _row(event: dict) -> dict | None:
     if "cancelled" in str(event.get("eventStatus", "")).lower():
         return None
     said = (event.get("name"), event.get("startDate"), event.get("endDate"), event.get("description"), event.get("location"), event.get("organizer") or event.get("performer"), event.get("url"))
-    row = dict(zip(_FIELDS, map(_text, said), strict=True))
+    row = dict(zip(_FIELDS, [*map(_text, said), *_offers(event.get("offers"))], strict=True))
     return row if row["name"] else None
 
 
