@@ -59,6 +59,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text a row with a larger id also has; all columns stay."""
-    gone = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    """docs without the rows whose text a row with a larger id also has; all columns stay. A row goes by its id and its text."""
+    gone = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone"), F.col("sha256").alias("_sha")).distinct()
+    sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (sha == F.col("_sha")), "left_anti")

@@ -1,4 +1,4 @@
-"""SimHash fingerprints and near-duplicate groups by tiled exact comparison."""
+"""SimHash fingerprints and near-duplicate groups by tiled exact comparison; near copies by the Jaccard likeness of word shingles."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType
 
 from quernstone.llm.common import attach, cut
 from quernstone.llm.components import components
@@ -22,22 +22,35 @@ RADIUS = 4
 SEED = 42
 #: Rows of a bucket that are compared in one task; larger buckets are split into pairs of tiles.
 TILE = 32_768
+#: Near copies: texts whose sets of shingles of so many words have at least this Jaccard likeness.
+COPY_WORDS = 5
+COPY_JACCARD = 0.8
+#: Texts meet if they agree in all least hashes of a band. At a likeness of 0.8 a pair misses all 20 bands of 4 with a chance of 3 in 100,000, above it with less.
+BANDS, BAND = 20, 4
+#: Rows and bytes of text of a bucket that are compared in one task; larger buckets are split into pairs of tiles.
+COPY_TILE, COPY_BYTES = 4096, 16 << 20
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _BLOCK = 1 << 16
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """The 64-bit SimHash of a text's word shingles; 0 for null or no words."""
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """Hashes of a text's word shingles in order; a text of fewer words is one shingle, null or no words none."""
     found = _WORD.findall(text.encode().lower()) if text else []  # bytes.lower() changes A-Z only
     if not found:
-        return 0
+        return np.zeros(0, "<u8")
     line = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     n = max(1, len(found) - words + 1)
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     stops = ends[min(words, len(found)) - 1 :].tolist()
     of = xxhash.xxh64_intdigest
-    hashes = np.array([of(line[i:j], SEED) for i, j in zip(starts, stops, strict=True)], dtype="<u8")
+    return np.array([of(line[i:j], SEED) for i, j in zip(starts, stops, strict=True)], dtype="<u8")
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """The 64-bit SimHash of a text's word shingles; 0 for null or no words."""
+    hashes = shingles(text, words)
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, _BLOCK):
         part = hashes[at : at + _BLOCK]
@@ -148,7 +161,121 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _shingle_set(text: str | None) -> np.ndarray:
+    """The distinct shingles of a text; blank texts have one in common."""
+    found = np.unique(shingles(text, COPY_WORDS))
+    return found if len(found) else np.zeros(1, "<u8")
+
+
+_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND, 1), np.uint64)
+_TIMES, _PLUS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
+_FOLD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def band_keys(text: str | None) -> np.ndarray:
+    """For each band a hash of the band's place and of its least hashes."""
+    found = _shingle_set(text)
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 4096):
+        np.minimum(least, (found[None, at : at + 4096] * _TIMES + _PLUS).min(axis=1), out=least)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64) * _FOLD
+    for row in least.reshape(BANDS, BAND).T:
+        key = (key ^ row) * _FOLD
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+@pandas_udf(ArrayType(LongType()))
+def band_keys_udf(text: pd.Series) -> pd.Series:
+    return pd.Series([band_keys(t) for t in text])
+
+
+def _copies(texts: list[str | None]) -> list[tuple[int, int]]:
+    """Links (place, place) that span the same components as all pairs of texts whose shingles have Jaccard likeness COPY_JACCARD or more."""
+    sets = [_shingle_set(t) for t in texts]
+    size = np.array([len(x) for x in sets])
+    names, held = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.r_[0, np.cumsum(size)]
+    root = np.arange(len(sets))
+    mark = np.zeros(len(names), bool)
+    out = []
+    for i in range(len(sets) - 1):
+        least, most = np.minimum(size[i], size[i + 1 :]), np.maximum(size[i], size[i + 1 :])
+        rest = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (least >= COPY_JACCARD * most))
+        if not len(rest):
+            continue
+        mine = held[starts[i] : starts[i + 1]]
+        mark[mine] = True
+        of = np.repeat(starts[rest] - np.r_[0, np.cumsum(size[rest])[:-1]], size[rest]) + np.arange(size[rest].sum())
+        both = np.add.reduceat(mark[held[of]].astype(np.int64), np.r_[0, np.cumsum(size[rest])[:-1]])
+        mark[mine] = False
+        for j in rest[both >= COPY_JACCARD * (size[i] + size[rest] - both)].tolist():
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+                out.append((i, j))
+    return out
+
+
+def _compare_texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links of the groups of a partition sorted by grp; a group at a batch's end waits for the next batch."""
+    rest: pd.DataFrame | None = None
+
+    def links(x: pd.DataFrame) -> pd.DataFrame:
+        grp, nodes, texts = x["grp"].to_numpy(), x["node"].to_numpy(), x["text"].tolist()
+        edges = np.r_[0, np.flatnonzero(grp[1:] != grp[:-1]) + 1, len(grp)].tolist()
+        found = [(a + i, a + j) for a, b in zip(edges[:-1], edges[1:], strict=True) if b - a > 1 for i, j in _copies(texts[a:b])]
+        at = np.array(found, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": nodes[at[:, 0]], "b": nodes[at[:, 1]]})
+
+    for x in frames:
+        x = x if rest is None else pd.concat([rest, x], ignore_index=True)
+        whole = int(np.searchsorted(x["grp"].to_numpy(), x["grp"].iloc[-1])) if len(x) else 0
+        if whole:
+            yield links(x.iloc[:whole])
+        rest = x.iloc[whole:]
+    if rest is not None and len(rest):
+        yield links(rest)
+
+
+def copy_links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) of nodes that span the components of near copies. nodes: node, bytes, keys, checkpointed, each node once; texts: node, text.
+
+    Buckets with the same members are compared once. Pairs are confirmed by the exact likeness of their texts.
+    """
+    keyed = nodes.select("node", "bytes", F.explode("keys").alias("key"))
+    members = F.bit_xor(F.xxhash64("node")).alias("members")
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"), members).where("n > 1")
+    parts = F.greatest(F.ceil(F.col("n") / (COPY_TILE // 2)), F.ceil(F.col("size") / (COPY_BYTES // 2))).cast("int")
+    tiles = F.when((F.col("n") <= COPY_TILE) & (F.col("size") <= COPY_BYTES), 1).otherwise(parts).alias("tiles")
+    buckets = cut(buckets.groupBy("n", "size", "members").agg(F.min("key").alias("key")).select("key", tiles))
+    part = F.pmod(F.xxhash64("node", "key"), F.col("tiles")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: (o != part) | (F.col("tiles") == 1))
+    pair = F.explode(F.transform(others, lambda o: F.concat_ws("-", F.least(o, part), F.greatest(o, part)))).alias("pair")
+    met = keyed.join(buckets, "key").select("node", "key", pair).select("node", F.xxhash64("key", "pair").alias("grp"))
+    met = cut(met)
+    wanted = texts.join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = met.join(wanted, "node").select("grp", "node", "text").repartition(n, "grp").sortWithinPartitions("grp")
+    return dealt.mapInPandas(_compare_texts, "a long, b long")
+
+
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each group, the one of smallest id; all columns stay."""
-    gone = near_groups(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """docs with one document of each group of near copies, the one of smallest id; all columns stay.
+
+    Two documents link if the sets of their shingles of COPY_WORDS words have a Jaccard likeness of COPY_JACCARD or more. Blank texts are equal.
+    A document is an id with a text: a null or repeated id does not tie unlike texts together, a null id stays only in a group
+    without other ids, and of repeated rows all go or stay.
+    """
+    node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    length = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
+    rows = cut(docs.select(F.col(id_col).alias("id"), node.alias("node"), length.alias("bytes"), band_keys_udf(F.col(text_col)).alias("keys")))
+    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("bytes").alias("bytes"), F.first("keys").alias("keys")))
+    parts = components(cut(copy_links(docs.select(node.alias("node"), F.col(text_col).alias("text")), nodes.select("node", "bytes", "keys"))))
+    of_node = cut(nodes.select("node", "id", "n").join(parts, "node"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first")
+    kept = cut(of_node.groupBy("component").agg(first, F.count("*").alias("size")))
+    of_node = cut(attach(of_node, kept, ["component"], "size", of_node.count()).select("node", "n", F.col("first.id").alias("keep_id"), F.col("first.node").alias("keep_node")))
+    found = attach(rows.select("id", "node"), of_node, ["node"], "n", rows.count()).where("keep_node is not null")
+    gone = found.where(~(F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("node") == F.col("keep_node"))))
+    gone = gone.select(F.col("id").alias("_gone"), F.col("node").alias("_text")).distinct()
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (node == F.col("_text")), "left_anti")
