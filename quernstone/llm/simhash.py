@@ -149,14 +149,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Two documents link if their fingerprints differ in at most radius bits. Equal fingerprints are compared once. Null, empty
     and blank texts have fingerprint zero and link like others. Rows with a null id get a fingerprint and, as they cannot
-    name a group, a component only if another row of their group has an id. Repeated rows are reported each time.
+    name a group, a component only if another row of their group has an id. A repeated id does not tie unlike fingerprints
+    together. Repeated rows are reported each time.
     """
     rows = cut(docs.select(F.col(id_col).cast("long").alias("id"), fingerprint_udf(F.col(text_col)).alias("fp")))
     by_fp = cut(rows.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n")))
-    named = by_fp.where("id is not null")
-    parts = components(cut(fingerprint_links(named.select("fp", "id"), radius)))
-    of_fp = named.select("fp", "id", "n").join(parts.withColumnRenamed("node", "id"), "id", "left")
-    of_fp = cut(of_fp.select("fp", F.coalesce("component", "id").alias("component_id"), "n"))
+    parts = components(cut(fingerprint_links(by_fp.select("fp", F.col("fp").alias("id")), radius)))
+    linked = cut(by_fp.join(parts.withColumnRenamed("node", "fp"), "fp"))
+    least = cut(linked.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("size")))
+    linked = attach(linked, least, ["component"], "size", linked.count()).select("fp", "component_id", "n")
+    alone = by_fp.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("id").alias("component_id"), "n")
+    of_fp = cut(linked.unionByName(alone))
     found = attach(rows, of_fp, ["fp"], "n", rows.count())
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -5,8 +5,9 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from quernstone.llm import simhash
+from quernstone.llm import exact_dedup, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 RNG = random.Random(31)
@@ -62,3 +63,28 @@ def test_drop_near_finds_copies_from_four_fifths(spark, monkeypatch, tile):
     for i in range(len(texts)):
         groups[find(i)].append(i)
     assert sorted(r["doc_id"] for r in simhash.drop_near(docs).collect()) == sorted(map(min, groups.values()))
+
+
+def test_null_and_repeated_ids_do_not_take_other_texts_along(spark):
+    rows = [(None, "abc"), (9, "ABC"), (None, "only under null"), (5, "Abc"), (5, "only under five")]
+    kept = exact_dedup.drop_exact(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(r) for r in kept} == {(9, "ABC"), (None, "only under null"), (5, "only under five")}
+
+    a, b, c, d = (" ".join(_prose(200)) for _ in range(4))
+    rows = [(3, a), (None, a + " tail"), (None, b), (5, a + " end"), (5, c), (8, c + " tail"), (None, d), (None, d + " tail")]
+    kept = [tuple(r) for r in simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert {(3, a), (None, b), (5, c)} <= set(kept) and len(kept) == 4 and kept.count((None, d)) + kept.count((None, d + " tail")) == 1
+
+
+def test_groups_that_share_an_id_stay_apart(spark, monkeypatch):
+    a, b, c = (" ".join(_prose(200)) for _ in range(3))
+    rows = [(5, a), (5, b), (7, b), (None, c)]
+    found = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in found) == [(0, 0), (5, 5), (5, 5), (7, 5)]
+    rows = [(1, a), (5, a), (5, b), (7, b)]  # 5 is the smallest id of b only
+    found = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(1, 1), (5, 1), (5, 5), (7, 5)]
+    monkeypatch.setattr(simhash, "fingerprint_udf", F.udf(lambda t: int(t), "long"))
+    rows = [(5, "0"), (9, "1"), (5, str((1 << 40) - 1)), (4, str((1 << 40) - 2))]  # two groups whose fingerprints share id 5
+    found = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(4, 4), (5, 4), (5, 5), (9, 5)]
