@@ -18,9 +18,12 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Words that may be identifiers: at least 6 characters and 4 digits, or an @.
 CANDIDATE = r"(?<![A-Za-z0-9@._%+-])(?=[A-Za-z._%+-]*+[0-9@])[A-Za-z0-9@._%+-]{6,}+"
 LEAST_DIGITS = 4
-#: Rounds of scoring, and the score from which an identifier counts as found.
-ROUNDS = 3
+#: Digits in groups may be identifiers as well, with no more digits than a card has.
+GROUPED = r"(?<![A-Za-z0-9@._%+()-])\+?\(?[0-9]++(?:[\x20().-]{1,3}+[0-9]++(?![A-Za-z@_%]))++"
+MOST_DIGITS = 19
+#: The score from which an identifier counts as found, and the gain of any score in a round below which rounds end.
 SURE = 0.75
+STILL = 0.001
 #: Other identifiers that each pattern is held to have besides those seen, so rare patterns are never sure.
 DOUBT = 4.0
 
@@ -52,26 +55,27 @@ def _scores(edges: DataFrame) -> DataFrame:
     """Values that contexts lead to (value, kind), from edges (pattern, value, seed: index of a kind or null), each once.
 
     A pattern's score for a kind is the mean of its identifiers' scores, with DOUBT others of score 0; an identifier's is the chance that any
-    of its patterns is right; seeds keep score 1 for their own kind. Both tables stay in Spark, and keys that hold many rows are joined by a bounded broadcast.
+    of its patterns is right; seeds keep score 1 for their own kind. Scores only rise from round to round, so what is found can lead on to further
+    contexts; rounds end when no score gains STILL any more and none passes SURE. Both tables stay in Spark, and keys that hold many rows are joined by a bounded broadcast.
     """
     edges = cut(edges)
     total = edges.count()
     kinds = range(len(KINDS))
-    of_pattern = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.max(F.col("seed").isNotNull()).alias("lives")).select("pattern", "n", "lives")
-    # contexts without a seed among their identifiers can't become sure in a way that matters, so only their neighbours' stay
-    live = cut(of_pattern.where("lives").drop("lives"))
-    edges = cut(attach(edges, live.withColumn("_live", F.lit(True)), ["pattern"], "n", total).where("_live").select("pattern", "value", "seed"))
-    total = edges.count()
     of_value = cut(edges.groupBy("value").agg(F.count("*").alias("n"), F.first("seed", ignorenulls=True).alias("seed")))
     seeded = lambda seed, k: F.when(seed == k, 1.0).otherwise(0.0)
-    values = of_value.select("value", "n", *[seeded(F.coalesce("seed", F.lit(-1)), k).alias(f"v{k}") for k in kinds])
-    for _ in range(ROUNDS):
-        held = attach(edges, cut(values.drop("seed")), ["value"], "n", total)
-        patterns = held.groupBy("pattern").agg(F.count("*").alias("n"), *[(F.sum(f"v{k}") / (F.count("*") + DOUBT)).alias(f"p{k}") for k in kinds])
-        held = attach(edges, cut(patterns), ["pattern"], "n", total)
-        chance = held.groupBy("value").agg(F.count("*").alias("n"), F.first("seed", ignorenulls=True).alias("seed"), *[(1 - F.exp(F.sum(F.log(1 - F.col(f"p{k}"))))).alias(f"c{k}") for k in kinds])
-        values = chance.select("value", "n", "seed", *[F.when(F.col("seed").isNull(), F.col(f"c{k}")).otherwise(seeded(F.col("seed"), k)).alias(f"v{k}") for k in kinds])
     best = F.greatest(*[F.col(f"v{k}") for k in kinds])
+    values = cut(of_value.select("value", "n", "seed", *[seeded(F.coalesce("seed", F.lit(-1)), k).alias(f"v{k}") for k in kinds]))
+    while True:
+        held = attach(edges, values.drop("seed"), ["value"], "n", total)
+        patterns = held.groupBy("pattern").agg(F.count("*").alias("n"), *[(F.sum(f"v{k}") / (F.count("*") + DOUBT)).alias(f"p{k}") for k in kinds])
+        held = attach(edges.select("pattern", "value"), cut(patterns), ["pattern"], "n", total)
+        chance = held.groupBy("value").agg(*[(1 - F.exp(F.sum(F.log(1 - F.col(f"p{k}"))))).alias(f"c{k}") for k in kinds])
+        score = [F.when(F.col("seed").isNull(), F.col(f"c{k}")).otherwise(F.col(f"v{k}")).alias(f"v{k}") for k in kinds]
+        after = cut(values.withColumn("was", best).join(chance, "value").select("value", "n", "seed", "was", *score))
+        moved = after.where((best - F.col("was") >= STILL) | ((best >= SURE) & (F.col("was") < SURE))).limit(1).count()
+        values = after.drop("was")
+        if not moved:
+            break
     kind = F.coalesce(*[F.when(F.col(f"v{k}") == best, F.lit(k)) for k in kinds])
     return values.where(F.col("seed").isNull() & (best >= SURE)).select("value", kind.alias("kind"))
 
@@ -88,7 +92,9 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     as_seeds = lambda spans, i: F.transform(spans, lambda x: slim(x, F.lit(i)))
     seeds = {k: as_seeds(c, i) for i, (k, c) in enumerate(find_base(text).items())}
     likely = lambda x: (F.char_length(F.regexp_replace(x["value"], "[^0-9]", "")) >= LEAST_DIGITS) | x["value"].contains("@")
-    words = F.transform(F.filter(find_spans(text, CANDIDATE), likely), lambda x: slim(x, F.lit(None).cast("int")))
+    number = lambda x: F.char_length(F.regexp_replace(x["value"], "[^0-9]", "")).between(LEAST_DIGITS, MOST_DIGITS) & (F.char_length(x["value"]) >= 6)
+    single, grouped = find_spans(text, CANDIDATE), F.filter(find_spans(text, GROUPED), lambda x: number(x) & x["value"].rlike(r"[\x20()]"))  # those of other signs are words already
+    words = F.transform(F.concat(F.filter(single, likely), grouped), lambda x: slim(x, F.lit(None).cast("int")))
     rows = cut(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.concat(*seeds.values()).alias("_seeds"), words.alias("_words")))
     apart = lambda x: ~F.exists("_seeds", lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"]))
     free = F.when(F.size("_words") > 0, F.filter("_words", apart)).otherwise(F.col("_words"))
@@ -103,6 +109,8 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spots = cut(attach(spots, sized, ["value"], "n", spots.count()).where("kind is not null"))
     name = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
     extra = spots.groupBy("_row").agg(F.collect_list(F.struct(F.col("kind").alias("order"), name.alias("kind"), "start", "end")).alias("_extra"))
+    inside = lambda x, y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
+    extra = extra.withColumn("_extra", F.filter("_extra", lambda x: ~F.exists("_extra", lambda y: inside(x, y))))  # a word of a longer one that is found
     whole = rows.drop("_words").join(extra, "_row", "left")
 
     named = F.transform("_seeds", lambda x: F.struct(x["seed"].alias("order"), F.element_at(F.array(*[F.lit(k) for k in KINDS]), x["seed"] + 1).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))

@@ -35,5 +35,17 @@ def test_contexts_find_unseen_identifiers(spark):
     assert out[5001] == "" and all(out[1000 + i] == "" for i in range(50))
 
 
+def test_found_identifiers_lead_to_further_contexts(spark):
+    rows = [(i, f"Lorem ipsum. customer card: 4{i:014d} thanks") for i in range(800)]
+    rows = [(i, t) for i, t in rows if personal(t)]  # seeds for the first context
+    rows += [(1000 + i, f"customer card: 99AB-77{i:02d} thanks") for i in range(40)]  # found by the first context
+    rows += [(2000 + i, f"Please quote member ref 99AB-77{i:02d} always") for i in range(40)]  # they induce a second one
+    rows += [(5000, "Please quote member ref 88CD-1234 always"), (5001, "order 99887766 shipped"), (5002, "customer card: 9911 2233 4455 thanks")]
+    out = {r["doc_id"]: r["spans"] for r in pii.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1000] == "card:15:24" and out[2000] == "card:24:33"
+    assert out[5000] == "card:24:33"
+    assert out[5001] == "" and out[5002] == "card:15:29"
+
+
 def test_empty_table(spark):
     assert pii.digests(spark.createDataFrame([], "doc_id long, text string")).collect() == []
