@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 BINS = 64
 #: Levels whose phrase names make the sketch: phrases of about 9 and 27 characters.
 LEVELS = (2, 3)
-#: Below so many phrases of the first of these levels, single phrases of level 1 count as well.
-FEW = 16
+#: The first bins are those of level 1, phrases of about 3 characters, which short texts have enough of; the others are of LEVELS.
+SHORT = 8
 #: Range buckets of ids for each shuffle partition.
 BUCKETS = 4
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -64,11 +64,11 @@ def sketch(text: str) -> np.ndarray:
     levels = [names]
     while len(levels) <= max(LEVELS):
         levels.append(_phrases(levels[-1]))
-    use = (*LEVELS, 1) if len(levels[LEVELS[0]]) < FEW else LEVELS
-    found = np.sort(np.concatenate([_mixed(levels[k] + np.uint64(k)) for k in use]))
-    bins = (found >> np.uint64(58)).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
-    out[bins[first]] = (found[first] & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1)
+    for use, start, count in (((1,), 0, SHORT), (LEVELS, SHORT, BINS - SHORT)):
+        found = np.sort(np.concatenate([_mixed(levels[k] + np.uint64(k)) for k in use]))
+        bins = start + (((found >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
+        out[bins[first]] = (found[first] & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1)
     return out
 
 

@@ -110,6 +110,14 @@ def test_fingerprints_do_not_depend_on_the_offset():
     assert moved > 0.9 and parsing.likeness(parsing.sketch(text), parsing.sketch(_prose(800))) < 0.3
 
 
+def test_likeness_does_not_jump_at_a_length():
+    rng, near = random.Random(8), []
+    for n in range(100, 200, 2):  # texts around the length at which levels used to change
+        text = "".join(rng.choice("aeionrstl ") for _ in range(n))
+        near.append(parsing.likeness(parsing.sketch(text), parsing.sketch(text + "".join(rng.choice("aeionrstl ") for _ in range(n // 3)))))
+    assert min(near) > 0.6
+
+
 def test_bpe(docs, rows, spark):
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
         ranks = file.read()
