@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Most keys that are ever broadcast as "hot": a key is hot if it holds more than rows / HOT_KEYS rows.
 HOT_KEYS = 20_000
 
+#: Bits of the bitmap of rows that may have to go.
+WIDTH = 1 << 26
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -39,6 +42,11 @@ def fresh(df: DataFrame, *names: str) -> str | list[str]:
     return out if len(out) > 1 else out[0]
 
 
+def quoted(df: DataFrame) -> list[str]:
+    """The columns of df, also those with dots in their names."""
+    return [f"`{c}`" for c in df.columns]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there, so that a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)
@@ -59,13 +67,38 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total
     """
     at = total // HOT_KEYS
     hot = groups.where(F.col(size) > at)
-    cold = groups.where(F.col(size) <= at).withColumnsRenamed({k: f"_{k}" for k in keys})
+    named = dict(zip(keys, fresh(rows.join(groups.limit(0), keys, "left"), *keys, "key"), strict=False))
+    cold = groups.where(F.col(size) <= at).withColumnsRenamed(named)
     few = F.broadcast(hot)
     on_hot = rows.join(few, keys, "inner")
     others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    match = [F.col(k) == F.col(f"_{k}") for k in keys]
-    on_cold = others.join(cold, match, "left").drop(*[f"_{k}" for k in keys])
-    return on_hot.select(*on_cold.columns).unionByName(on_cold)
+    match = [F.col(k) == F.col(named[k]) for k in keys]
+    on_cold = others.join(cold, match, "left").drop(*named.values())
+    return on_hot.unionByName(on_cold)
+
+
+def without(docs: DataFrame, gone: DataFrame, again: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """docs without the rows whose keys gone has, and with one row for each of the keys that again has; all columns stay.
+
+    keys are expressions over docs, named like the columns of gone and again; nulls are equal. Only rows that can be meant are shuffled: those whose
+    hashed keys are set in a bitmap of WIDTH bits, 8 MB at most, which is broadcast. Of rows with the same keys the one of least hash stays.
+    """
+    marked = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(WIDTH)) + 1
+    bits = gone.select(*keys).unionByName(again.select(*keys)).select(marked.alias("at"))
+    bits = bits.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    names = fresh(docs, *keys, *[f"other_{k}" for k in keys], "bucket", "bits", "at")
+    made, other, (bucket, has, at) = dict(zip(keys, names, strict=False)), dict(zip(keys, names[len(keys) :], strict=False)), names[-3:]
+    keyed = docs.withColumns({made[k]: c for k, c in keys.items()}).withColumn(at, F.pmod(F.xxhash64(*made.values()), F.lit(WIDTH)) + 1)
+    looked = keyed.withColumn(bucket, F.bitmap_bucket_number(at)).join(F.broadcast(cut(bits).withColumnsRenamed({"bucket": bucket, "bits": has})), bucket, "left")
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring(F.col(has), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    can_be = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+    stay = looked.where(~can_be).select(*quoted(docs))
+    match = [F.col(made[k]).eqNullSafe(F.col(other[k])) for k in keys]
+    left = looked.where(can_be).join(gone.select(*keys).withColumnsRenamed(other), match, "left_anti")
+    plain = [f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    one = left.groupBy(*made.values()).agg(F.min_by(F.struct(*quoted(docs)), F.xxhash64(*plain)).alias(has))
+    return stay.unionByName(one.select(f"{has}.*"))
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import ascii_lower, attach, cut
+from quernstone.llm.common import ascii_lower, attach, cut, without
 
-#: Keys of a refinement step that are broadcast at most; with more, the step passes every row on and the next one decides.
-GATE_KEYS = 100_000
+#: A refinement step sees keys by hashes of so many values, so what it broadcasts is bounded; a row goes on if another has its hash.
+GATE_HASHES = 1 << 20
 PREFIX_CHARS = 64
 
 
-def _gate(rows: DataFrame, keys: list[str]) -> DataFrame | None:
-    """The keys that more than one row has, checkpointed; None if they are too many to broadcast."""
-    shared = cut(rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys))
-    return shared if shared.count() <= GATE_KEYS else None
+def _gate(rows: DataFrame, keys: list[str], live: str) -> DataFrame:
+    """rows with _live, whether another live row shares the hash of keys."""
+    hashed = F.pmod(F.xxhash64(*keys), F.lit(GATE_HASHES)).cast("int")
+    shared = cut(rows.where(live).groupBy(hashed.alias("_hash")).agg(F.count("*").alias("n")).where("n > 1").select("_hash", F.lit(True).alias("_shared")))
+    found = rows.withColumn("_hash", hashed).join(F.broadcast(shared), "_hash", "left")
+    return found.withColumn("_live", F.col(live) & F.coalesce("_shared", F.lit(False))).drop("_hash", "_shared")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -30,17 +32,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("_id"), text.alias("_t"), F.octet_length(text).alias("_len"))
-    rows = base.withColumn("_live", F.lit(True))
-    by_len = _gate(rows.select("_len"), ["_len"])
-    if by_len is not None:
-        rows = rows.drop("_live").join(F.broadcast(by_len.withColumn("_live", F.lit(True))), "_len", "left")
+    rows = _gate(base.withColumn("_live", F.lit(True)), ["_len"], "_live")
     rows = rows.withColumn("_pre", F.when(F.col("_live"), F.xxhash64(ascii_lower(F.substring("_t", 1, PREFIX_CHARS)))))
-    by_pre = _gate(rows.where("_live").select("_len", "_pre"), ["_len", "_pre"])
-    if by_pre is not None:
-        rows = rows.drop("_live").join(F.broadcast(by_pre.withColumn("_live", F.lit(True))), ["_len", "_pre"], "left")
+    rows = _gate(rows, ["_len", "_pre"], "_live")
     full = F.unhex(F.sha2(ascii_lower(F.col("_t")), 256))
-    live = F.coalesce("_live", F.lit(False))
-    rows = cut(rows.select("_id", "_len", live.alias("_live"), (full if digest else F.when(live, full)).alias("_sha")))
+    rows = cut(rows.select("_id", "_len", "_live", (full if digest else F.when(F.col("_live"), full)).alias("_sha")))
 
     alive = rows.where("_live").drop("_live")
     groups = cut(alive.groupBy("_len", "_sha").agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"))
@@ -59,7 +55,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text a row with a larger id also has; all columns stay. A row goes by its id and its text."""
-    gone = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone"), F.col("sha256").alias("_sha")).distinct()
-    sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (sha == F.col("_sha")), "left_anti")
+    """docs with one row of each group of equal texts (see exact_dedup), the one of the largest id; all columns stay, whatever their names.
+
+    A row is known by its id and its text, so a null or repeated id never takes other texts along; a null id stays only in a group without
+    other ids. Of rows with one id and equal texts one stays. Null and empty texts are equal. An empty table gives an empty result.
+    """
+    found = exact_dedup(docs, id_col, text_col).where("group_size > 1").select(F.col(id_col).alias("key_id"), F.unhex("sha256").alias("key_text"), "kept")
+    gone = found.where("not kept").select("key_id", "key_text").distinct()
+    again = found.where("kept").groupBy("key_id", "key_text").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    sha = F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
+    return without(docs, gone, again, {"key_id": F.col(id_col), "key_text": sha})

@@ -11,19 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from quernstone.llm.common import crc_mod
+from quernstone.llm.common import crc_mod, fresh
 
 #: About so many documents of each language are learned from, chosen by a hash of their ids.
 PER_LANGUAGE = 2000
-#: Languages that are learned at most, the most frequent ones.
-MAX_LANGUAGES = 1024
 #: Hashed n-grams (2 and 3 letters).
 FEATURES = 1 << 14
 #: Up to so many languages every split of the languages is a bit of the code; with more, this many random splits are used.
 EXHAUSTIVE, RANDOM_BITS = 6, 63
 AMBIGUOUS = 0.6
 _CHUNK = 1 << 18
-_LETTERS = np.array([chr(c).isalpha() for c in range(0x3000)])
+#: Which code points are letters; none from _END on is.
+_END = 0x34000
+_LETTERS = np.array([chr(c).isalpha() for c in range(_END)] + [False])
 
 
 def ngram_counts(text: str) -> tuple[np.ndarray, bool]:
@@ -31,7 +31,7 @@ def ngram_counts(text: str) -> tuple[np.ndarray, bool]:
     out, any_letter = np.zeros(FEATURES, np.int64), False
     for at in range(0, len(text), _CHUNK):
         codes = np.frombuffer(text[max(0, at - 2) : at + _CHUNK].lower().encode("utf-32-le", "surrogatepass"), "<u4")
-        letter = np.where(codes < 0x3000, _LETTERS[np.minimum(codes, 0x2FFF)], True)
+        letter = _LETTERS[np.minimum(codes, _END)]
         any_letter |= bool(letter.any())
         codes = np.where(letter, codes, 32)
         codes = codes[np.r_[True, letter[1:] | letter[:-1]]]
@@ -84,18 +84,17 @@ class CodedClassifier:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> CodedClassifier | None:
     """A classifier from the documents that aren't held out and have a language; None if there are none.
 
-    Counts of n-grams are summed per language in Spark; what comes to the driver is bounded by the languages and FEATURES.
+    Every language is learned. Counts of n-grams are summed per language in Spark; what comes to the driver is FEATURES numbers for each language. Null and
+    empty texts teach nothing; a row with a null id is learned from; repeated rows count each time.
     """
     learn = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (crc_mod(F.coalesce(F.col(id_col), F.lit(0)), 3) != 1))
-    sizes = learn.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()
+    sizes = learn.groupBy(lang_col).count().collect()
     languages = sorted(r[0] for r in sizes)
     if not languages:
         return None
     number = {name: i for i, name in enumerate(languages)}
-    kept = F.lit(False)
-    for r in sizes:
-        share = min(1.0, per_language / r["count"])
-        kept = kept | ((F.col(lang_col) == r[0]) & (F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int((1 << 30) * share)))
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r[0], int((1 << 30) * min(1.0, per_language / r["count"])))])
+    kept = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < share[F.col(lang_col)]
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -118,7 +117,10 @@ _OUT = StructType([StructField("lang", StringType()), StructField("score", Doubl
 
 
 def identify(docs: DataFrame, model: CodedClassifier | None, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score (0 to 1) and ambiguous; und with score 0 for null texts, texts without a letter, or no model. Columns of these names are replaced, others stay."""
+    """docs with lang_pred, score (0 to 1) and ambiguous; und with score 0 for null texts, texts without a letter (Unicode category L), or no model.
+
+    Whole texts count, however long. Repeated rows are judged each time; an empty table gives an empty result. Columns of the three names are replaced, all others stay.
+    """
 
     @pandas_udf(_OUT)
     def tell(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -130,5 +132,6 @@ def identify(docs: DataFrame, model: CodedClassifier | None, text_col: str = "te
                 rows.append((lang, score, letters and score < AMBIGUOUS))
             yield pd.DataFrame(rows, columns=["lang", "score", "ambiguous"])
 
-    out = docs.withColumn("_lang", tell(F.col(text_col)))
-    return out.withColumns({"lang_pred": F.col("_lang.lang"), "score": F.col("_lang.score"), "ambiguous": F.col("_lang.ambiguous")}).drop("_lang")
+    made = fresh(docs, "told")
+    out = docs.withColumn(made, tell(F.col(text_col)))
+    return out.withColumns({"lang_pred": F.col(f"{made}.lang"), "score": F.col(f"{made}.score"), "ambiguous": F.col(f"{made}.ambiguous")}).drop(made)

@@ -9,6 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+from quernstone.llm.common import cut
 
 #: Bins of the sketch, 16 bits each.
 BINS = 64
@@ -16,7 +19,7 @@ BINS = 64
 LEVELS = (2, 3)
 #: The first bins are those of level 1, phrases of about 3 characters, which short texts have enough of; the others are of LEVELS.
 SHORT = 8
-#: Range buckets of ids for each shuffle partition.
+#: Range buckets of rows for each shuffle partition.
 BUCKETS = 4
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ONE = np.uint64(1)
@@ -86,7 +89,7 @@ def _text(x: np.ndarray) -> str:
 
 
 def _walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in order of bucket and falling id; a row is finished when the next one of its bucket is seen. Rows marked extra only follow."""
+    """Rows in order of bucket, falling id and mark; a row is finished when the next one of its bucket is seen. Rows marked extra only follow."""
     last = None
     for x in frames:
         out = []
@@ -104,28 +107,41 @@ def _walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.astype({"doc_id": "Int64"})
 
 
+def _bounds(keys: DataFrame, parts: int) -> np.ndarray:
+    """The first (id, mark) of each range bucket, in order: falling id, rising mark. keys are 16 bytes a row and are sorted in ranges by Spark."""
+    ranged = cut(keys.repartitionByRange(parts, F.desc("id"), F.col("mark")).withColumn("part", F.spark_partition_id()))
+    first = ranged.groupBy("part").agg(F.min(F.struct((-F.col("id") - 1).alias("down"), "mark")).alias("x")).select("part", "x.*").orderBy("part")  # one row a bucket
+    return np.array([(r["down"], r["mark"]) for r in first.collect()], dtype=[("down", np.int64), ("mark", np.int64)])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_chars, its fingerprint, that of its edited text, and their likeness to each other and to the next document's.
 
     The next document is the one with the next smaller id, for the last one the first; null ids come last, ties are in order
-    of text. The edited text has its last third replaced by as many characters of the next. Null counts as empty and has a
-    fingerprint of zeros. Each text is shuffled once: ids are cut into ranges by approximate quantiles, and each range also gets the first row of the
+    of a hash of the text. The edited text has its last third replaced by as many characters of the next. Null counts as empty and has a
+    fingerprint of zeros. Repeated rows are each a row, and follow each other; rows of one id with different texts are dealt over tasks like others. An empty table gives
+    an empty result; further columns are ignored. Each text is shuffled once: rows are cut into ranges, and each range also gets the first row of the
     range that follows (one row for each of a fixed number of ranges).
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(key.alias("id"), F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(key.alias("id"), F.col(id_col).isNull().alias("no_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = n * BUCKETS
-    found = rows.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
-    bounds = F.array(*[F.lit(b).cast("long") for b in sorted(set(found))]) if found else F.array().cast("array<long>")
-    bucket = F.size(F.filter(bounds, lambda b: b < F.col("id")))
-    rows = rows.withColumn("bucket", bucket)
-    heads = {r["bucket"]: r["id"] for r in rows.groupBy("bucket").agg(F.max("id").alias("id")).collect()}  # one row a bucket
-    order = sorted(heads, reverse=True)
-    before = {heads[b]: order[i - 1] for i, b in enumerate(order)}  # the bucket that the head of b follows; the first follows the last
-    follow = F.create_map(*[F.lit(x) for h, b in before.items() for x in (h, b)])[F.col("id")] if before else F.lit(None).cast("int")
-    extra = rows.where(F.col("id").isin(list(before))).withColumn("bucket", follow)
-    both = rows.withColumn("extra", F.lit(False)).unionByName(extra.withColumn("extra", F.lit(True)))
-    dealt = both.repartition(n, "bucket").sortWithinPartitions("bucket", "extra", F.desc("id"), "text")
+    bounds = _bounds(rows.select("id", "mark"), n * BUCKETS)
+
+    @pandas_udf("bucket int, follows int")
+    def place(ids: pd.Series, marks: pd.Series) -> pd.DataFrame:
+        """A row's bucket, and the bucket that it follows if it is the first of its own (the first of all follows the last of all); otherwise -1."""
+        at = np.empty(len(ids), bounds.dtype)
+        at["down"], at["mark"] = -ids.to_numpy() - 1, marks.to_numpy()
+        bucket = np.searchsorted(bounds, at, side="right") - 1
+        return pd.DataFrame({"bucket": bucket, "follows": np.where(bounds[bucket] == at, (bucket - 1) % len(bounds), -1)})
+
+    placed = rows.withColumn("place", place("id", "mark")).select("id", "no_id", "mark", "text", "place.*")
+    own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("extra"))
+    head = F.struct(F.col("follows").alias("bucket"), F.lit(True).alias("extra"))
+    spots = F.when(F.col("follows") >= 0, F.array(own, head)).otherwise(F.array(own))
+    both = placed.withColumn("spot", F.explode(spots)).select("id", "no_id", "mark", "text", "spot.*")
+    dealt = both.repartition(n, "bucket").sortWithinPartitions("bucket", "extra", F.desc("id"), "mark")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return dealt.mapInPandas(_walk, schema).withColumnRenamed("doc_id", id_col)

@@ -50,7 +50,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic").alias("predicted"))
+    return out.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic").alias("predicted"), "evidence")
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_fingerprints, op4_exact_dedup, op5_bpe, op6_simhash, op7_pii, op8_secrets, op9_language, op10_toxicity)}

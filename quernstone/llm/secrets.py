@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,21 +17,26 @@ ASSIGN_VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20
 LEAST_VALUE = 8
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
-#: Tokens that are tested for randomness.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_-]{20,}+"
-#: Most standard deviations that any of the three tests may be off, which about 3 of 1000 random tokens exceed.
+#: Tokens that are tested for randomness, whatever sign (=, : or a quote) stands before them.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+"
+#: Most standard deviations that any of the three tests may be off from randomness, which about 3 of 1000 random tokens exceed.
 MOST_Z = 3.29
-#: How often ordinary tokens (names, paths, numbers) change between lower case, upper case, digits and signs.
-ORDINARY_CHANGE = 0.1
+#: What ordinary tokens (names, paths, numbers) are like: how often neighbours are of different classes (lower case, upper case, digits, signs), how much likelier than in a
+#: random token two characters are equal (counted against 26 characters at most), and how much the places of neighbours in the alphabet correlate.
+ORDINARY_CHANGE, ORDINARY_EQUAL, ORDINARY_SERIAL = 0.1, 1.73, 0.3
 #: Share of false discoveries that is allowed among the tokens of each length class.
 FALSE_SHARE = 0.01
-#: Evidence is counted in tenths of powers of ten, up to so many.
+#: Evidence is counted in tenths of powers of ten, up to so many: at 10^-40 a token passes in any table.
 MOST_EVIDENCE = 400
 #: Splits a string into its characters.
 EACH = "(?<=.)(?=.)"
 _LOWER, _UPPER, _DIGITS, _SIGNS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/-_"
 #: Encodings in the order in which they are tried: pattern and alphabet.
 ENCODINGS = (
+    (r"^[0-9]+$", _DIGITS),
+    (r"^[a-z]+$", _LOWER),
+    (r"^[A-Z]+$", _UPPER),
+    (r"^[A-Za-z]+$", _UPPER + _LOWER),
     (r"^[0-9a-f]+$", _DIGITS + "abcdef"),
     (r"^[0-9A-F]+$", _DIGITS + "ABCDEF"),
     (r"^[0-9a-z]+$", _DIGITS + _LOWER),
@@ -46,36 +53,51 @@ def _change_rate(alphabet: str) -> float:
     return 1 - sum(s * s for s in shares)
 
 
+def _beyond(z: Column) -> Column:
+    """Tenths of powers of ten of an upper bound of the normal chance to lie z or more standard deviations off; none for z below 0."""
+    return F.when(z > 0, (z * z / 2 + math.log(2)) * (10 / math.log(10))).otherwise(0.0)
+
+
 def _evidence(token: Column, alphabet: Column, rate: Column) -> Column:
-    """Tenths of powers of ten by which randomness explains a token better than ordinary writing does; 0 if a test speaks against randomness.
+    """Evidence against a token being ordinary, as tenths of powers of ten of a p-value; 0 if a test speaks against it being random.
 
-    Tests, each as a standard deviate: chi-squared of the characters' counts against a uniform alphabet (by cube roots), the number of
-    runs of a character class, and the correlation of neighbours. The likelihood ratio of the runs bounds the chance that an ordinary
-    token looks like this: at most one over the ratio, which falls with length.
+    Three statistics are tested: chi-squared of the characters' counts against a uniform alphabet, the number of runs of a character class, and the
+    correlation of neighbours. Each has a standard deviate under randomness, and must not be far off; and each has a p-value under ordinary writing: that ordinary
+    characters would be spread so evenly (normal bound on the number of equal pairs), change class so often (Chernoff's bound) or depend so little on their neighbours
+    (normal bound). The least of the three, times three, is the token's p-value. It falls with length, so short tokens can't pass.
     """
     k, n = F.length(alphabet).cast("double"), F.length(token).cast("double")
     counts = F.transform(F.split(alphabet, EACH), lambda c: (F.length(token) - F.length(F.replace(token, c, F.lit("")))).cast("double"))
-    chi = F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x) * k / n - n
+    squares = F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x)
     spread = F.lit(2 / 9) / (k - 1)
-    z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / (k - 1), F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread)
+    z_chi = let(squares, lambda q: (F.pow(F.greatest(q * k / n - n, F.lit(0.0)) / (k - 1), F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread))
+    equal = F.lit(ORDINARY_EQUAL) / F.least(k, F.lit(26.0))
+    pairs = n * (n - 1) / 2
+    off = F.sqrt(pairs * equal * (1 - equal) + n * (n - 1) * (n - 2) * equal * equal * 0.2)
+    even = _beyond((pairs * equal - (squares - n) / 2) / off)
+
     classes = F.translate(token, _LOWER + _UPPER + _DIGITS + _SIGNS, "a" * 26 + "A" * 26 + "0" * 10 + "-" * 4)
     changes = (F.regexp_count(classes, F.lit("a++|A++|0++|-++")) - 1).cast("double")
-    z_runs = (changes - (n - 1) * rate) / F.sqrt((n - 1) * rate * (1 - rate))
+    varied = rate > 0
+    z_runs = F.when(varied, (changes - (n - 1) * rate) / F.sqrt((n - 1) * F.when(varied, rate * (1 - rate)))).otherwise(0.0)
+    seen = F.greatest(F.least(changes / (n - 1), F.lit(1 - 1e-9)), F.lit(ORDINARY_CHANGE))
+    lively = F.when(varied, (n - 1) * (seen * F.log10(seen / ORDINARY_CHANGE) + (1 - seen) * F.log10((1 - seen) / (1 - ORDINARY_CHANGE))) * 10).otherwise(0.0)
+
     places = F.transform(F.split(token, EACH), lambda c: F.instr(alphabet, c) - 1 - (k - 1) / 2)
     product = let(places, lambda p: F.aggregate(F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
     z_serial = product / ((k * k - 1) / 12 * F.sqrt(n - 1))
-    ratio = changes * F.log10(rate / ORDINARY_CHANGE) + (n - 1 - changes) * F.log10((1 - rate) / (1 - ORDINARY_CHANGE))
-    tenths = F.least(F.greatest(F.floor(ratio * 10), F.lit(0)), F.lit(MOST_EVIDENCE)).cast("int")
+    free = _beyond(ORDINARY_SERIAL * F.sqrt(n - 1) - z_serial)
+
+    tenths = F.least(F.greatest(F.floor(F.greatest(even, lively, free) - 10 * math.log10(3)), F.lit(0)), F.lit(MOST_EVIDENCE)).cast("int")
     return F.when((F.abs(z_chi) <= MOST_Z) & (F.abs(z_runs) <= MOST_Z) & (F.abs(z_serial) <= MOST_Z), tenths).otherwise(0)
 
 
 def evidence(token: Column) -> Column:
-    """_evidence under the first encoding that fits a token; 0 for tokens without a letter or without a digit."""
+    """_evidence under the first encoding that fits a token."""
     encoding = F.lit(None).cast("struct<alphabet:string,rate:double>")
     for pattern, alphabet in reversed(ENCODINGS):
         encoding = F.when(token.rlike(pattern), F.struct(F.lit(alphabet).alias("alphabet"), F.lit(_change_rate(alphabet)).alias("rate"))).otherwise(encoding)
-    tested = let(encoding, lambda e: _evidence(token, e["alphabet"], e["rate"]))
-    return F.when(token.rlike("[A-Za-z]") & token.rlike("[0-9]"), F.coalesce(tested, F.lit(0))).otherwise(0)
+    return F.coalesce(let(encoding, lambda e: _evidence(token, e["alphabet"], e["rate"])), F.lit(0))
 
 
 def find_base(text: Column) -> dict[str, Column]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, LongType
 
-from quernstone.llm.common import attach, cut
+from quernstone.llm.common import attach, cut, without
 from quernstone.llm.components import components
 
 WORDS = 4
@@ -263,22 +263,23 @@ def copy_links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each group of near copies, the one of smallest id; all columns stay.
+    """docs with one document of each group of near copies, the one of smallest id; all columns stay, whatever their names.
 
-    Two documents link if the sets of their shingles of COPY_WORDS words have a Jaccard likeness of COPY_JACCARD or more. Blank texts are equal.
-    A document is an id with a text: a null or repeated id does not tie unlike texts together, a null id stays only in a group
-    without other ids, and of repeated rows all go or stay.
+    Two documents link if the sets of their shingles of COPY_WORDS words have a Jaccard likeness of COPY_JACCARD or more; equal texts link, and blank
+    texts (null, empty, white space) do with each other. A row is known by its id and its text: a null or repeated id does not tie unlike texts together, and a null id
+    stays only in a group without other ids. Of rows with one id and one text one stays. Whole texts are compared. An empty table gives an empty result.
     """
     node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     length = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
     rows = cut(docs.select(F.col(id_col).alias("id"), node.alias("node"), length.alias("bytes"), band_keys_udf(F.col(text_col)).alias("keys")))
     nodes = cut(rows.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("bytes").alias("bytes"), F.first("keys").alias("keys")))
     parts = components(cut(copy_links(docs.select(node.alias("node"), F.col(text_col).alias("text")), nodes.select("node", "bytes", "keys"))))
-    of_node = cut(nodes.select("node", "id", "n").join(parts, "node"))
+    of_node = nodes.select("node", "id", "n").join(parts, "node", "left").where("component is not null or n > 1")
+    of_node = cut(of_node.withColumn("component", F.coalesce("component", "node")))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first")
     kept = cut(of_node.groupBy("component").agg(first, F.count("*").alias("size")))
     of_node = cut(attach(of_node, kept, ["component"], "size", of_node.count()).select("node", "n", F.col("first.id").alias("keep_id"), F.col("first.node").alias("keep_node")))
     found = attach(rows.select("id", "node"), of_node, ["node"], "n", rows.count()).where("keep_node is not null")
-    gone = found.where(~(F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("node") == F.col("keep_node"))))
-    gone = gone.select(F.col("id").alias("_gone"), F.col("node").alias("_text")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (node == F.col("_text")), "left_anti")
+    stays = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("node") == F.col("keep_node"))
+    found = cut(found.select(F.col("id").alias("key_id"), F.col("node").alias("key_text"), stays.alias("stays")).groupBy("key_id", "key_text").agg(F.first("stays").alias("stays"), F.count("*").alias("n")))
+    return without(docs, found.where("not stays"), found.where("stays and n > 1"), {"key_id": F.col(id_col), "key_text": node})

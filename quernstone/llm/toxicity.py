@@ -133,7 +133,7 @@ class BlockMaxIndex:
         found = np.r_[found, quick(more)] if len(more) else found
         place = (able[:, None] * self.block + np.arange(self.block)).reshape(-1)
         place = place[found >= max(self._kth(found, k) - _SLACK, 1e-12)]  # a close look at the few that the quick sums leave
-        exact = score.reshape(-1)[place] + weight[is_long] @ self.long.reshape(len(self.long), -1)[lists[:, None], place].astype(np.float64)
+        exact = score.reshape(-1)[place] + weight[is_long] @ self.long.reshape(len(self.long), self.blocks * self.block)[lists[:, None], place].astype(np.float64)
         best = sorted((-round(x, 10), i) for x, i in zip(exact.tolist(), place.tolist(), strict=True) if x > 1e-12)[:k]
         return [(-x, i) for x, i in best]
 

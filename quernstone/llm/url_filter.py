@@ -9,13 +9,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import about, cut
+from quernstone.llm.common import about, cut, fresh
 
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 #: About so many labelled URLs are learned from, chosen by a hash of the URL.
 MAX_LABELLED = 20_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SUFFIX_PRIOR = 10.0
+#: Parts of the sample; a labelled URL's rates come from the other parts.
+FOLDS = 5
 FEATURES = ("_n_url", "_n_host", "_n_path", "_labels", "_depth", "_digits", "_entropy", "_parameters", "_hyphens", "_suffix_rate", "_domain_rate", "_ending_rate")
 
 
@@ -69,34 +71,47 @@ def _lexical(pages: DataFrame, url_col: str) -> DataFrame:
     )
 
 
+def _rates(known: DataFrame, rows: DataFrame, rate: float, folds: bool) -> DataFrame:
+    """rows with the smoothed block rate of their suffix, domain and ending among known; with folds, among the known rows of other folds than their own."""
+    for key in ("_suffix", "_domain", "_ending"):
+        tally = [F.sum("_label").alias("_s"), F.count("*").alias("_c")]
+        blocked, count = F.coalesce("_s", F.lit(0.0)), F.coalesce("_c", F.lit(0))
+        rows = rows.join(F.broadcast(known.groupBy(key).agg(*tally)), key, "left").withColumns({"_blocked": blocked, "_count": count}).drop("_s", "_c")
+        if folds:
+            rows = rows.join(F.broadcast(known.groupBy(key, "_fold").agg(*tally)), [key, "_fold"], "left")
+            rows = rows.withColumns({"_blocked": F.col("_blocked") - blocked, "_count": F.col("_count") - count}).drop("_s", "_c")
+        rows = rows.withColumn(f"{key}_rate", (F.col("_blocked") + rate * _SUFFIX_PRIOR) / (F.col("_count") + _SUFFIX_PRIOR)).drop("_blocked", "_count")
+    return rows
+
+
 def judge_urls(pages: DataFrame, url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """pages with host, path, rule, verdict (allow or block) and block_score (null where a rule decides).
 
     URLs that a rule fits are the labelled ones. About max_labelled of them teach gradient-boosted trees, which judge
-    the others; the suffix statistics are smoothed block rates among these labelled URLs, so their tables are bounded by the sample. If the labels are all alike,
-    or there are none, the others get that label, or allow. Null and odd URLs have empty host and path and are judged by the trees.
-    Input columns of the same names as the new ones are replaced; others stay.
+    the others; the suffix statistics are smoothed block rates among these labelled URLs, so their tables are bounded by the sample. While the trees learn, a URL's rates
+    come from the other FOLDS of the sample, never from its own label. If the labels are all alike, or there are none, the others get that label, or allow.
+    Null, empty and odd URLs have empty host and path and are judged by the trees; very long ones count in full; repeated rows are judged each time; an empty table
+    gives an empty result. Input columns named like the five new ones are replaced, all others stay, whatever their names.
     """
     rule, verdict = rule_for(rules)
-    parts = with_parts(pages, url_col).withColumns({"rule": rule, "verdict": verdict})
-    known = parts.where("rule is not null").select(url_col, "host", "path", (F.col("verdict") == "block").cast("double").alias("_label"))
+    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "block_score")]
+    held = fresh(pages, "page")
+    parts = pages.select(F.col(url_col).alias("_url"), F.struct(*[f"`{c}`" for c in kept]).alias(held))  # the caller's columns can't meet those made here
+    parts = with_parts(parts, "_url").withColumns({"rule": rule, "verdict": verdict})
+    known = parts.where("rule is not null").select("_url", "host", "path", (F.col("verdict") == "block").cast("double").alias("_label"))
     tally = known.agg(F.count("*").alias("n"), F.sum("_label").alias("blocked")).first()
+    out = [f"{held}.*", "host", "path", "rule"]
     if not tally["n"] or tally["blocked"] in (0, tally["n"]):
         other = "block" if tally["n"] and tally["blocked"] else "allow"
-        return parts.withColumns({"verdict": F.coalesce("verdict", F.lit(other)), "block_score": F.when(F.col("rule").isNull(), F.lit(float(other == "block")))})
-    learn = cut(_lexical(about(known, F.col(url_col), max_labelled, tally["n"]), url_col).drop("host", "path"))
+        return parts.select(*out, F.coalesce("verdict", F.lit(other)).alias("verdict"), F.when(F.col("rule").isNull(), F.lit(float(other == "block"))).alias("block_score"))
+    learn = _lexical(about(known, F.col("_url"), max_labelled, tally["n"]), "_url").withColumn("_fold", F.pmod(F.xxhash64("_url"), F.lit(FOLDS)))
+    learn = cut(learn.drop("host", "path", "_url"))
     rate = tally["blocked"] / tally["n"]
 
-    def with_rates(rows: DataFrame) -> DataFrame:
-        for key in ("_suffix", "_domain", "_ending"):
-            seen = learn.groupBy(key).agg(((F.sum("_label") + rate * _SUFFIX_PRIOR) / (F.count("*") + _SUFFIX_PRIOR)).alias(f"{key}_rate"))
-            rows = rows.join(F.broadcast(seen), key, "left").withColumn(f"{key}_rate", F.coalesce(f"{key}_rate", F.lit(rate)))
-        return rows
-
     trees = GBTClassifier(labelCol="_label", featuresCol="_features", predictionCol="_says", maxIter=20, maxDepth=4, stepSize=0.2, seed=17)
     trees = trees.setRawPredictionCol("_raw").setProbabilityCol("_probability")
-    model = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="_features"), trees]).fit(with_rates(learn))
-    judged = model.transform(with_rates(_lexical(parts, url_col)))
-    score = F.when(F.col("rule").isNull(), vector_to_array("_probability")[1])
-    verdict = F.coalesce("verdict", F.when(F.col("_says") >= 0.5, "block").otherwise("allow"))
-    return judged.withColumns({"block_score": score, "verdict": verdict}).drop(*FEATURES, "_suffix", "_domain", "_ending", "_features", "_says", "_raw", "_probability")
+    taught = cut(_rates(learn, learn, rate, True).select(*FEATURES, "_label"))
+    model = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="_features"), trees]).fit(taught)
+    judged = model.transform(_rates(learn, _lexical(parts, "_url"), rate, False))
+    says = F.coalesce("verdict", F.when(F.col("_says") >= 0.5, "block").otherwise("allow"))
+    return judged.select(*out, says.alias("verdict"), F.when(F.col("rule").isNull(), vector_to_array("_probability")[1]).alias("block_score"))

@@ -21,9 +21,13 @@ def _rule(host, path):
 def test_url_rules_and_trees(spark):
     odd = [None, "", "nothing", "HTTP://WWW.Example.COM/en/x?y=1#z", "x://a.example.com/en/../q", "http://com/", "http://notexample.com/en/", "http://é.NET/fr/ü#?", "ftp://b.net?x", "://c.net/es/"]
     urls = odd + [f"http://site{i}.example.com/shop/{i}" for i in range(150)] + [f"https://ad{i}x{i * 7919 % 1000}.net/{'es' if i % 2 else 'fr'}/{i * 31337}/{i}?a=1&b=2&c={i}" for i in range(150)]
+    urls += ["http://long.example.com/en/" + "x/" * 20_000 + "?" + "a=1&" * 5000]
     urls += [f"https://ad{i}y{i * 7919 % 1000}.org/es/{i * 31337}/{i}?a=1&b=2&c={i}" for i in range(40)] + [urls[-1], urls[-1]]
-    pages = spark.createDataFrame([(i, u, "keep", 7) for i, u in enumerate(urls)], "page_id long, url string, _note string, depth int")
-    out = {r["page_id"]: r for r in url_filter.judge_urls(pages).collect()}
+    clashing = "_features string, _suffix string, _raw string, _says string, _domain string, _ending string, _url string, _label string, _fold string, _page string, a.b string"
+    pages = spark.createDataFrame([(i, u, "keep", 7, *"0123456789x") for i, u in enumerate(urls)], "page_id long, url string, _note string, depth int, " + clashing.replace("a.b", "`a.b`"))
+    judged = url_filter.judge_urls(pages)
+    assert judged.columns == [*pages.columns, "host", "path", "rule", "verdict", "block_score"]
+    out = {r["page_id"]: r for r in judged.collect()}
     assert len(out) == len(urls)
     for i, u in enumerate(urls):
         rest = (u or "").partition("://")[2]
@@ -35,7 +39,7 @@ def test_url_rules_and_trees(spark):
         r = out[i]
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule), u
         assert r["verdict"] == says if rule else r["verdict"] in ("allow", "block")
-        assert r["depth"] == 7
+        assert r["depth"] == 7 and r["_features"] == "0" and r["_ending"] == "5" and r["a.b"] == "x"
     judged = [out[i]["verdict"] for i, u in enumerate(urls) if u and ".org/" in u]
     assert judged.count("block") > 0.9 * len(judged)
     assert url_filter.judge_urls(pages.limit(0)).collect() == []
@@ -44,14 +48,15 @@ def test_url_rules_and_trees(spark):
 def test_language(spark):
     tongues = {"xx": "abcdefgh", "yy": "ijklmnop", "zz": "qrstuvwx", "qq": "abcdqrst"}
     rows = [(i, _words(tongues[t], 20), t) for i, t in enumerate(list(tongues) * 60)]
-    rows += [(1000, None, "xx"), (1001, "", None), (1002, "123 !!", "yy"), (1003, "abcdefgh " * 9000, None), (1004, "😀é", None), rows[0], rows[0]]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumnRenamed("x", "x")
+    rows += [(1000, None, "xx"), (1001, "", None), (1002, "123 !!", "yy"), (1003, "abcdefgh " * 9000, None), (1004, "😀é", None), (1005, "😀😀 😀", "xx"), (1006, "。、！ ０１", "xx"), (1007, "漢", "xx"), (None, "abcdefgh", "xx"), rows[0], rows[0]]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, lang string, _told int, _lang int")
     model = language.fit(docs)
     out = language.identify(docs, model).collect()
-    held = [r for r in out if r["doc_id"] < 1000 and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    held = [r for r in out if (r["doc_id"] or 9999) < 1000 and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
     assert len(held) > 50 and sum(r["lang_pred"] == r["lang"] for r in held) > 0.95 * len(held)
     by_id = {r["doc_id"]: r for r in out}
-    assert all(by_id[i]["lang_pred"] == "und" and by_id[i]["score"] == 0 for i in (1000, 1001, 1002))
+    assert all(by_id[i]["lang_pred"] == "und" and by_id[i]["score"] == 0 for i in (1000, 1001, 1002, 1005, 1006))
+    assert by_id[1004]["lang_pred"] != "und" and by_id[1007]["lang_pred"] != "und" and by_id[1000]["_told"] == 1 and by_id[1000]["_lang"] == 2
     assert by_id[1003]["lang_pred"] == "xx" and all(0 <= r["score"] <= 1 for r in out) and len(out) == len(rows)
     nothing = docs.limit(0)
     assert language.fit(nothing) is None and language.identify(nothing, None).collect() == []
@@ -65,18 +70,34 @@ def test_codewords_differ():
 
 
 def test_block_max_search_is_exact():
-    idf = {f"t{i}": 1 + i / 10 for i in range(30)}
-    examples = [(i, i % 2, {f"t{RNG.randrange(30)}": RNG.randint(1, 4) for _ in range(RNG.randint(1, 5))}, RNG.randint(0, 50)) for i in range(500)]
-    index = toxicity.BlockMaxIndex(examples, idf, plain=20, plain_rate=0.1, block=16)
-    rows = [(-1, 0.1, {}, 1), *examples]
-    for _ in range(50):
-        counts, rest = {f"t{RNG.randrange(30)}": RNG.randint(1, 3) for _ in range(3)}, RNG.randint(0, 40)
-        query = index.vector(counts, rest)
-        brute = [sum(w * index.vector(r[2], r[3]).get(t, 0) for t, w in query.items()) for r in rows]
-        best = sorted(((-round(s, 9), i) for i, s in enumerate(brute) if s > 0))[: toxicity.NEIGHBOURS]
-        found = index.nearest(counts, rest)
-        assert [round(s, 9) for s, _ in found] == [-s for s, _ in best]
-        assert abs(sqrt(sum(w * w for w in query.values())) - 1) < 1e-9
+    texts = [" ".join(RNG.choice(["t%d" % RNG.randrange(12), "u%d" % RNG.randrange(400)]) for _ in range(RNG.randint(1, 40))) for _ in range(500)]
+    labels = [int("t3" in t.split()) for t in texts]
+    index = toxicity.BlockMaxIndex(list(range(500)), labels, [toxicity.terms_of(t) for t in texts], block=16)
+    assert 0 < len(index.long) < len(index.names)
+    vectors = {}
+    for at in range(len(index.names)):
+        for k in range(index.starts[at], index.starts[at + 1]):
+            vectors.setdefault(int(index.rows[k]), {})[at] = float(index.values[k])
+    assert all(abs(sqrt(sum(w * w for w in v.values())) - 1) < 1e-6 for v in vectors.values())
+    for i in range(60):
+        terms = toxicity.terms_of(texts[i] if i % 2 else " ".join("%s%d" % (RNG.choice("tuv"), RNG.randrange(30)) for _ in range(12)))
+        query = dict(zip(*(x.tolist() for x in index.vector(*terms)), strict=True))
+        brute = [sum(w * vectors[row].get(t, 0) for t, w in query.items()) for row in range(500)]
+        best = sorted((s for s in brute if s > 1e-12), reverse=True)[: toxicity.NEIGHBOURS]
+        found = index.nearest(*terms)
+        assert len(found) == len(best) and all(abs(s - t) < 1e-8 and abs(brute[row] - s) < 1e-8 for (s, row), t in zip(found, best, strict=True))
+
+
+def test_a_copy_of_an_example_finds_it_and_labels_stay_apart(spark):
+    words = _words("abcdefgh", 40)
+    rows = [(i, _words("abcdefgh", 40), i % 2) for i in range(40)]
+    rows += [(100, words, 0), (101, words + " gruh", 1), (103, words, 0)]  # near copies with unlike labels
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    index = toxicity.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    assert {r[0] for r in rows} - {100, 103} <= set(index.ids.tolist()) and len({100, 103} & set(index.ids.tolist())) == 1
+    cosine, place = index.nearest(*toxicity.terms_of(rows[5][1].upper()))[0]
+    assert index.ids[place] == rows[5][0] and abs(cosine - 1) < 1e-6
 
 
 def test_toxicity(spark):
@@ -86,12 +107,12 @@ def test_toxicity(spark):
         toxic = int(i % 6 == 0)
         rows.append((i, _words("abcdefgh", 30) + (" " + " ".join(RNG.choices(bad, k=3)) if toxic else ""), "x", "y"))
         labels.append((i, toxic))
-    rows += [(900, None, "x", "y"), (901, "", "x", "y"), (902, "GRUH! " * 20_000, "x", "y"), rows[0], rows[0]]
+    rows += [(900, None, "x", "y"), (901, "", "x", "y"), (902, "GRUH! " * 20_000, "x", "y"), rows[0], rows[0], (4, "another text of id four", "x", "y"), (None, "no id", "x", "y")]
     labels += [(5, None), (6, 0), (None, 1), (7777, 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, evidence string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, _tox string")
     index = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
     out = toxicity.score_toxicity(docs, index).collect()
-    held = [r for r in out if r["doc_id"] < 600 and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    held = [r for r in out if (r["doc_id"] or 9999) < 600 and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
     assert held and all(r["toxic"] == int(r["doc_id"] % 6 == 0) for r in held)
     odd = {r["doc_id"]: r for r in out}
     assert odd[900]["toxic"] == odd[901]["toxic"] == 0 and odd[902]["toxic"] == 1 and len(out) == len(rows)

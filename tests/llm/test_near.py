@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.llm import exact_dedup, simhash
+from quernstone.llm import common, exact_dedup, mixing, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 RNG = random.Random(31)
@@ -88,3 +88,36 @@ def test_groups_that_share_an_id_stay_apart(spark, monkeypatch):
     rows = [(5, "0"), (9, "1"), (5, str((1 << 40) - 1)), (4, str((1 << 40) - 2))]  # two groups whose fingerprints share id 5
     found = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(4, 4), (5, 4), (5, 5), (9, 5)]
+
+
+CLASHING = ("_gone", "_sha", "_key_id", "_key_text", "_bucket", "_bits", "_at", "_none", "_source", "_size", "_key", "_n", "_passes", "_stop", "_pass", "_row", "gone", "node", "keys", "a.b")
+
+
+@pytest.mark.parametrize("of", [exact_dedup.drop_exact, simhash.drop_near, mixing.mixed])
+def test_rows_stand_for_themselves_and_columns_stay(spark, of):
+    texts = [" ".join(_prose(60)) for _ in range(12)]
+    rows = [(7, texts[0]), (5, texts[0].upper() if of is exact_dedup.drop_exact else texts[0]), (5, texts[1]), (None, texts[0]), (None, texts[2]), (9, texts[3]), (9, texts[3]), (9, texts[4]), (None, texts[5]), (None, texts[5])]
+    names = ", ".join(f"`{c}` string" for c in CLASHING)
+    docs = spark.createDataFrame([(*r, "s", *map(str, range(len(CLASHING)))) for r in rows], f"doc_id long, text string, source string, {names}").repartition(3)
+    out = of(docs)
+    assert out.columns == docs.columns
+    found = out.collect()
+    assert all(list(r)[3:] == list(map(str, range(len(CLASHING)))) for r in found)
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in found)
+    if of is mixing.mixed:
+        words = sum(len(r["text"].split()) for r in found)
+        assert abs(words - 1.5 * 60 * len(rows)) <= 90  # half a document, and equal rows go together
+        assert {texts.index(t) for _, t in kept} == {0, 1, 2, 3, 4, 5}
+    else:
+        stays = (7, texts[0]) if of is exact_dedup.drop_exact else (5, texts[0])
+        assert kept == sorted([stays, (5, texts[1]), (0, texts[2]), (9, texts[3]), (9, texts[4]), (0, texts[5])])
+
+
+def test_no_text_is_lost_with_a_full_bitmap(spark, monkeypatch):
+    monkeypatch.setattr(common, "WIDTH", 4)  # every row may be meant
+    rows = [(i % 50, f"text {i % 70}") for i in range(400)] + [(None, "text 1"), (None, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    best = {}
+    for i, t in rows:
+        best[t] = max(best.get(t, -1), -1 if i is None else i)
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"]) for r in exact_dedup.drop_exact(docs).collect()) == sorted((i, t) for t, i in best.items())

@@ -31,12 +31,19 @@ def test_base_matches_brute_force(spark):
 def test_battery_finds_random_tokens_only(spark):
     rng = random.Random(5)
     token = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
-    random_ones = [token(string.ascii_letters + string.digits + "+/", 40) for _ in range(200)]
-    ordinary = [f"internationalization{y}" for y in range(1900, 2000)] + [f"release-candidate-2024-{i:02d}-final-build" for i in range(60)] + ["0123456789abcdefghijklmnop", "xy1" * 12]
-    rows = [(i, f"see {t} there") for i, t in enumerate(random_ones + ordinary)]
+    alphabets = [string.ascii_letters + string.digits + "+/", string.ascii_letters, "0123456789ABCDEF", string.ascii_lowercase + string.digits]
+    befores = ["see ", "sig=", "sig: ", 'sig="', "?key=", "x:"]
+    planted = [(before, token(alphabet, n)) for before in befores for alphabet in alphabets for n in (24, 40) for _ in range(12)]
+    ordinary = [f"internationalization{y}" for y in range(1900, 2000)] + [f"release-candidate-2024-{i:02d}-final-build" for i in range(60)] + ["0123456789abcdefghijklmnop", "xy1" * 12, "acknowledgementsandreferences", "getElementByIdFromDocumentNode", "src/main/java/org/example/util"]
+    rows = [(i, f"text {b}{t} there") for i, (b, t) in enumerate(planted)] + [(10_000 + i, f"see {t} there") for i, t in enumerate(ordinary)]
     out = {r["doc_id"]: r["spans"] for r in secrets.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert sum(out[i] == "random:4:44" for i in range(200)) >= 190
-    assert not any(out[200 + i] for i in range(len(ordinary)))
+    caught = {}
+    for i, (before, t) in enumerate(planted):
+        start = 5 + len(before)
+        caught.setdefault((before, len(t)), []).append(f"random:{start}:{start + len(t)}" in out[i])
+    share = {k: sum(x) / len(x) for k, x in caught.items()}
+    assert all(share[before, 40] >= 0.95 and share[before, 24] >= 0.75 for before in befores), share  # few characters are little evidence
+    assert not any(out[10_000 + i] for i in range(len(ordinary)))
 
 
 def test_empty_table(spark):

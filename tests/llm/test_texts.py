@@ -5,11 +5,16 @@ import random
 import re
 import struct
 from collections import defaultdict
+from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 import pytest
-import tiktoken
 import xxhash
+from brute import library
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quernstone.llm import bpe, exact_dedup, mixing, parsing, simhash
 
@@ -93,7 +98,8 @@ def test_mixing(docs, rows):
 
 def test_fingerprints(docs, rows):
     out = parsing.fingerprints(docs).collect()
-    order = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (-r[0], r[1]))
+    mark = {r["text"] or "": r["mark"] for r in docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")).collect()}
+    order = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (-r[0], mark[r[1]]))
     sketch = lambda t: parsing._text(parsing.sketch(t))
     want = []
     for (i, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
@@ -118,21 +124,41 @@ def test_likeness_does_not_jump_at_a_length():
     assert min(near) > 0.6
 
 
-def test_bpe(docs, rows, spark):
+def test_bpe(docs, rows):
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
         ranks = file.read()
-    tree = bpe.TreeBpe(ranks, leaf=8)
-    plain = tree._of.encode_ordinary
+    plain = library().encode_ordinary
+    trees = [bpe.TreeBpe(ranks, leaf=leaf) for leaf in (2, 7, 48)]
     sha = lambda b: hashlib.sha256(b).hexdigest()
     want = []
     for r in rows:
         text = r[1] or ""
         ids = plain(text)
         if len(text) < 5000:
-            assert tree.encode(text) == ids
+            assert all(tree.encode(text) == ids for tree in trees)
         want.append((r[0], len(ids), sha(struct.pack(f"<{len(ids)}I", *ids)), sha(text.encode())))
     assert sorted(map(tuple, bpe.digests(docs).collect())) == sorted(want)
-    assert isinstance(tree._of, tiktoken.Encoding)
+    assert all(trees[0]._bytes(token) == [token] for token in list(trees[0].rank)[::97])  # each token is what its bytes merge to
+    assert bpe.encode_documents(docs.withColumnRenamed("key", "_bpe")).columns == [c if c != "key" else "_bpe" for c in docs.columns] + ["ids", "decoded"]
+
+
+ALPHABETS = ["xyz", "ab ", "  \n\t a", "éß😀 a", "0123456789", "the ing and", "'ts re ll\x1c\u3000\x85", "aA", "=-_ "]
+
+
+@given(st.sampled_from(ALPHABETS).flatmap(lambda letters: st.text(letters, max_size=200)), st.sampled_from([2, 3, 16]))
+@settings(max_examples=300, deadline=None)
+def test_bpe_joins_are_exact(text, leaf):
+    assert _tree_of(leaf).encode(text) == _library().encode_ordinary(text)
+    assert _tree_of(leaf).decode(np.array(_tree_of(leaf).encode(text), "<u4")) == text.encode()
+
+
+@lru_cache
+def _tree_of(leaf):
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        return bpe.TreeBpe(file.read(), leaf=leaf)
+
+
+_library = lru_cache(library)
 
 
 def _simhash(text):
