@@ -20,9 +20,9 @@ from quernstone.llm.common import fresh
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Characters of a text, bytes of a match and ids below which a piece is a leaf of the tree.
-LEAF = 96
+LEAF = 256
 #: Matches whose ids a Python worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: A text is cut at a space within so many characters from its middle, if there is one.
 NEAR = 24
 _NONE = 1 << 62

@@ -77,28 +77,47 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total
     return on_hot.unionByName(on_cold)
 
 
+def _bitmap(keys: DataFrame) -> DataFrame:
+    """bucket, bits: a bitmap of WIDTH bits (8 MB at most) in which the hashes of rows are set."""
+    at = keys.select((F.pmod(F.xxhash64(*quoted(keys)), F.lit(WIDTH)) + 1).alias("at"))
+    return cut(at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")))
+
+
+def _looked_up(rows: DataFrame, keys: list[str], bitmap: DataFrame, name: str) -> DataFrame:
+    """rows with a column `name`: whether the bit of their keys is set in the bitmap, which is broadcast."""
+    bucket, bits, at = fresh(rows, "bucket", "bits", "at")
+    placed = rows.withColumn(at, F.pmod(F.xxhash64(*keys), F.lit(WIDTH)) + 1).withColumn(bucket, F.bitmap_bucket_number(at))
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+    found = placed.join(F.broadcast(bitmap.withColumnsRenamed({"bucket": bucket, "bits": bits})), bucket, "left")
+    return found.withColumn(name, is_set).drop(bucket, bits, at)
+
+
+def having(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among keys (one column of that name); only rows that can be are shuffled, by a bitmap of hashed keys."""
+    maybe = fresh(rows, "maybe")
+    able = _looked_up(rows, [key], _bitmap(keys), maybe).where(maybe).drop(maybe)
+    return able.join(keys, key, "left_semi")
+
+
 def without(docs: DataFrame, gone: DataFrame, again: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """docs without the rows whose keys gone has, and with one row for each of the keys that again has; all columns stay.
 
     keys are expressions over docs, named like the columns of gone and again; nulls are equal. Only rows that can be meant are shuffled: those whose
-    hashed keys are set in a bitmap of WIDTH bits, 8 MB at most, which is broadcast. Of rows with the same keys the one of least hash stays.
+    hashed keys are set in a bitmap. Of rows with the same keys the one of least hash stays.
     """
-    marked = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(WIDTH)) + 1
-    bits = gone.select(*keys).unionByName(again.select(*keys)).select(marked.alias("at"))
-    bits = bits.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    names = fresh(docs, *keys, *[f"other_{k}" for k in keys], "bucket", "bits", "at")
-    made, other, (bucket, has, at) = dict(zip(keys, names, strict=False)), dict(zip(keys, names[len(keys) :], strict=False)), names[-3:]
-    keyed = docs.withColumns({made[k]: c for k, c in keys.items()}).withColumn(at, F.pmod(F.xxhash64(*made.values()), F.lit(WIDTH)) + 1)
-    looked = keyed.withColumn(bucket, F.bitmap_bucket_number(at)).join(F.broadcast(cut(bits).withColumnsRenamed({"bucket": bucket, "bits": has})), bucket, "left")
-    place = F.bitmap_bit_position(at)
-    byte = F.conv(F.hex(F.substring(F.col(has), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    can_be = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
-    stay = looked.where(~can_be).select(*quoted(docs))
+    gone, again = gone.select(*keys), again.select(*keys)
+    names = fresh(docs, *keys, *[f"other_{k}" for k in keys], "maybe", "row")
+    made, other, (maybe, row) = dict(zip(keys, names, strict=False)), dict(zip(keys, names[len(keys) :], strict=False)), names[-2:]
+    keyed = docs.withColumns({made[k]: c for k, c in keys.items()})
+    looked = _looked_up(keyed, list(made.values()), _bitmap(gone.unionByName(again)), maybe)
+    stay = looked.where(~F.col(maybe)).select(*quoted(docs))
     match = [F.col(made[k]).eqNullSafe(F.col(other[k])) for k in keys]
-    left = looked.where(can_be).join(gone.select(*keys).withColumnsRenamed(other), match, "left_anti")
+    left = looked.where(maybe).join(gone.withColumnsRenamed(other), match, "left_anti")
     plain = [f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    one = left.groupBy(*made.values()).agg(F.min_by(F.struct(*quoted(docs)), F.xxhash64(*plain)).alias(has))
-    return stay.unionByName(one.select(f"{has}.*"))
+    one = left.groupBy(*made.values()).agg(F.min_by(F.struct(*quoted(docs)), F.xxhash64(*plain)).alias(row))
+    return stay.unionByName(one.select(f"{row}.*"))
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, LongType
 
-from quernstone.llm.common import attach, cut, without
+from quernstone.llm.common import attach, cut, having, without
 from quernstone.llm.components import components
 
 WORDS = 4
@@ -28,7 +28,9 @@ COPY_JACCARD = 0.8
 #: Texts meet if they agree in all least hashes of a band. At a likeness of 0.8 a pair misses all 20 bands of 4 with a chance of 3 in 100,000, above it with less.
 BANDS, BAND = 20, 4
 #: Rows and bytes of text of a bucket that are compared in one task; larger buckets are split into pairs of tiles.
-COPY_TILE, COPY_BYTES = 4096, 16 << 20
+COPY_TILE, COPY_BYTES = 4096, 6 << 20
+#: Bands that are compared together. Most copies are linked by the first ones, and a bucket whose texts are all linked already needs no texts.
+ROUNDS = (range(0, 2), range(2, BANDS))
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _BLOCK = 1 << 16
 
@@ -193,13 +195,13 @@ def band_keys_udf(text: pd.Series) -> pd.Series:
     return pd.Series([band_keys(t) for t in text])
 
 
-def _copies(texts: list[str | None]) -> list[tuple[int, int]]:
-    """Links (place, place) that span the same components as all pairs of texts whose shingles have Jaccard likeness COPY_JACCARD or more."""
+def _copies(texts: list[str | None], linked: list[int]) -> list[tuple[int, int]]:
+    """Links (place, place) that, beside those there are (texts with one number in linked), span the same components as all pairs of texts whose shingles have Jaccard likeness COPY_JACCARD or more."""
     sets = [_shingle_set(t) for t in texts]
     size = np.array([len(x) for x in sets])
     names, held = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.r_[0, np.cumsum(size)]
-    root = np.arange(len(sets))
+    root = np.unique(np.array(linked), return_inverse=True)[1]
     mark = np.zeros(len(names), bool)
     out = []
     for i in range(len(sets) - 1):
@@ -224,9 +226,9 @@ def _compare_texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rest: pd.DataFrame | None = None
 
     def links(x: pd.DataFrame) -> pd.DataFrame:
-        grp, nodes, texts = x["grp"].to_numpy(), x["node"].to_numpy(), x["text"].tolist()
+        grp, nodes, texts, linked = x["grp"].to_numpy(), x["node"].to_numpy(), x["text"].tolist(), x["component"].tolist()
         edges = np.r_[0, np.flatnonzero(grp[1:] != grp[:-1]) + 1, len(grp)].tolist()
-        found = [(a + i, a + j) for a, b in zip(edges[:-1], edges[1:], strict=True) if b - a > 1 for i, j in _copies(texts[a:b])]
+        found = [(a + i, a + j) for a, b in zip(edges[:-1], edges[1:], strict=True) if b - a > 1 for i, j in _copies(texts[a:b], linked[a:b])]
         at = np.array(found, np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": nodes[at[:, 0]], "b": nodes[at[:, 1]]})
 
@@ -235,30 +237,30 @@ def _compare_texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         whole = int(np.searchsorted(x["grp"].to_numpy(), x["grp"].iloc[-1])) if len(x) else 0
         if whole:
             yield links(x.iloc[:whole])
-        rest = x.iloc[whole:]
+        rest = x.iloc[whole:].copy() if whole else x
     if rest is not None and len(rest):
         yield links(rest)
 
 
 def copy_links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (a, b) of nodes that span the components of near copies. nodes: node, bytes, keys, checkpointed, each node once; texts: node, text.
+    """Links (a, b) of nodes that span the components of near copies. nodes: node, bytes, keys, component, checkpointed, each node once; texts: node, text.
 
-    Buckets with the same members are compared once. Pairs are confirmed by the exact likeness of their texts.
+    Nodes of one component are linked already; only buckets of more than one component are compared. Buckets with the same members are compared once. Pairs are
+    confirmed by the exact likeness of their texts; only texts of such buckets are shuffled.
     """
-    keyed = nodes.select("node", "bytes", F.explode("keys").alias("key"))
+    keyed = nodes.select("node", "bytes", "component", F.explode("keys").alias("key"))
     members = F.bit_xor(F.xxhash64("node")).alias("members")
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"), members).where("n > 1")
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"), members, F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     parts = F.greatest(F.ceil(F.col("n") / (COPY_TILE // 2)), F.ceil(F.col("size") / (COPY_BYTES // 2))).cast("int")
     tiles = F.when((F.col("n") <= COPY_TILE) & (F.col("size") <= COPY_BYTES), 1).otherwise(parts).alias("tiles")
     buckets = cut(buckets.groupBy("n", "size", "members").agg(F.min("key").alias("key")).select("key", tiles))
     part = F.pmod(F.xxhash64("node", "key"), F.col("tiles")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: (o != part) | (F.col("tiles") == 1))
     pair = F.explode(F.transform(others, lambda o: F.concat_ws("-", F.least(o, part), F.greatest(o, part)))).alias("pair")
-    met = keyed.join(buckets, "key").select("node", "key", pair).select("node", F.xxhash64("key", "pair").alias("grp"))
-    met = cut(met)
-    wanted = texts.join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    met = cut(keyed.join(buckets, "key").select("node", "component", "key", pair).select("node", "component", F.xxhash64("key", "pair").alias("grp")))
+    wanted = having(texts, met.select("node").distinct(), "node").dropDuplicates(["node"])
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = met.join(wanted, "node").select("grp", "node", "text").repartition(n, "grp").sortWithinPartitions("grp")
+    dealt = met.join(wanted, "node").select("grp", "node", "component", "text").repartition(n, "grp").sortWithinPartitions("grp")
     return dealt.mapInPandas(_compare_texts, "a long, b long")
 
 
@@ -273,7 +275,13 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     length = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
     rows = cut(docs.select(F.col(id_col).alias("id"), node.alias("node"), length.alias("bytes"), band_keys_udf(F.col(text_col)).alias("keys")))
     nodes = cut(rows.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("bytes").alias("bytes"), F.first("keys").alias("keys")))
-    parts = components(cut(copy_links(docs.select(node.alias("node"), F.col(text_col).alias("text")), nodes.select("node", "bytes", "keys"))))
+    links, texts = None, docs.select(node.alias("node"), F.col(text_col).alias("text"))
+    parts = nodes.select("node", F.col("node").alias("component")).limit(0)
+    for bands in ROUNDS:
+        now = nodes.join(parts, "node", "left").select("node", "bytes", F.slice("keys", bands.start + 1, len(bands)).alias("keys"), F.coalesce("component", "node").alias("component"))
+        found = cut(copy_links(texts, cut(now)))
+        links = found if links is None else links.unionByName(found)
+        parts = cut(components(links))
     of_node = nodes.select("node", "id", "n").join(parts, "node", "left").where("component is not null or n > 1")
     of_node = cut(of_node.withColumn("component", F.coalesce("component", "node")))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first")
