@@ -26,9 +26,12 @@ _ONE = np.uint64(1)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _B
-    x = (x ^ (x >> np.uint64(27))) * _C
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= _B
+    x ^= x >> np.uint64(27)
+    x *= _C
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def _phrases(names: np.ndarray) -> np.ndarray:
@@ -38,24 +41,48 @@ def _phrases(names: np.ndarray) -> np.ndarray:
     bit in which it differs from its left neighbour, three times over, which leaves labels below 8 that differ from their neighbours'. A
     phrase starts at each local maximum, so where phrases start depends on a few symbols around and never on the offset.
     """
-    new = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
-    run = np.diff(np.r_[new, len(names)]).astype(np.uint64)
-    symbols = names[new]
-    symbols = np.where(run > 1, _mixed(symbols + run * _A), symbols)
+    symbols, unlike = names, names[1:] != names[:-1]
+    if not unlike.all():
+        new = np.flatnonzero(np.concatenate(([True], unlike)))
+        run = _sizes(new, len(names))
+        symbols = names[new]
+        long = np.flatnonzero(run > 1)
+        symbols[long] = _mixed(symbols[long] + run[long].astype(np.uint64) * _A)
     n = len(symbols)
     labels = symbols
-    for _ in range(3 if n > 2 else 0):
+    for _ in range(3 if n > 2 else 0):  # labels are below 128 after the first time and take one byte
+        one = labels.dtype.type(1)
         differ = labels[1:] ^ labels[:-1]
-        low = np.bitwise_count((differ & (~differ + _ONE)) - _ONE).astype(np.uint64)
-        labels = np.r_[labels[:1] & _ONE, 2 * low + ((labels[1:] >> (low & np.uint64(63))) & _ONE)]
+        low = np.bitwise_count((differ & (~differ + one)) - one)
+        tossed = np.empty(n, np.uint8)
+        tossed[0] = labels[0] & one
+        tossed[1:] = 2 * low + ((labels[1:] >> low.astype(labels.dtype)) & one).astype(np.uint8)
+        labels = tossed
     peak = np.zeros(n, bool)
     peak[0] = True
     if n > 2:
         peak[1:-1] = (labels[1:-1] > labels[:-2]) & (labels[1:-1] >= labels[2:])
     starts = np.flatnonzero(peak)
-    sizes = np.diff(np.r_[starts, n])
-    place = (np.arange(n) - np.repeat(starts, sizes)).astype(np.uint64)
-    return _mixed(np.add.reduceat(_mixed(symbols + (place + _ONE) * _A), starts) + sizes.astype(np.uint64))
+    sizes = _sizes(starts, n)
+    place = np.arange(n) - np.repeat(starts, sizes)
+    moved = _PLACES[place] if sizes.max() <= len(_PLACES) else (place.astype(np.uint64) + _ONE) * _A
+    return _mixed(np.add.reduceat(_mixed(symbols + moved), starts) + sizes.astype(np.uint64))
+
+
+def _sizes(starts: np.ndarray, n: int) -> np.ndarray:
+    out = np.empty(len(starts), np.int64)
+    out[:-1] = starts[1:] - starts[:-1]
+    out[-1] = n - starts[-1]
+    return out
+
+
+#: What the first places of a phrase add to a name, and the names of the commonest code points.
+_PLACES = (np.arange(64, dtype=np.uint64) + _ONE) * _A
+_NAMES = _mixed(np.arange(1 << 14, dtype=np.uint64) + _A)
+
+
+def _named(codes: np.ndarray) -> np.ndarray:
+    return _NAMES[codes] if codes.max(initial=0) < len(_NAMES) else _mixed(codes.astype(np.uint64) + _A)
 
 
 def sketch(text: str) -> np.ndarray:
@@ -63,14 +90,13 @@ def sketch(text: str) -> np.ndarray:
     out = np.zeros(BINS, np.uint16)
     if not text:
         return out
-    names = _mixed(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + _A)
-    levels = [names]
+    levels = [_named(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"))]
     while len(levels) <= max(LEVELS):
         levels.append(_phrases(levels[-1]))
     for use, start, count in (((1,), 0, SHORT), (LEVELS, SHORT, BINS - SHORT)):
         found = np.sort(np.concatenate([_mixed(levels[k] + np.uint64(k)) for k in use]))
         bins = start + (((found >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
+        first = np.flatnonzero(np.concatenate(([True], bins[1:] != bins[:-1])))
         out[bins[first]] = (found[first] & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1)
     return out
 
