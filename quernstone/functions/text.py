@@ -32,8 +32,17 @@ def slug_text(text: str | None) -> str:
 
 
 @pandas_udf(StringType())
-def slug(text: pd.Series) -> pd.Series:
-    return text.map(slug_text)
+def _slug_of_others(text: pd.Series) -> pd.Series:
+    return text.map(slug_text, na_action="ignore")
+
+
+def slug(text: Column | str) -> Column:
+    """slug_text of a column. Pure ASCII texts stay with the built-in functions; only the others are sent to Python."""
+    given = F.col(text) if isinstance(text, str) else text
+    ascii_only = F.octet_length(given) == F.char_length(given)
+    kept = F.regexp_replace(F.translate(F.lower(given), "-_'", "   "), "[^a-z0-9 ]", "")
+    plain = F.trim(F.regexp_replace(kept, " +", " "))
+    return F.coalesce(F.when(ascii_only, plain), _slug_of_others(F.when(~ascii_only, given)), F.lit(""))
 
 
 def is_unknown(text: Column) -> Column:

@@ -13,6 +13,7 @@ from quernstone.functions.fixed import TIERS, UNKNOWN
 from quernstone.functions.text import collapse, find_email, find_phone, is_unknown, slug
 from quernstone.operators.query import completeness, overlaps
 from quernstone.operators.resolve import TEXTS, identify
+from quernstone.plans.steps import settle
 
 FEWEST_LETTERS = 4
 JOINT = " \n "
@@ -40,7 +41,7 @@ def normalise(raws: DataFrame, sources: DataFrame, gazetteer: places.Gazetteer,
     raws: ord, source_id, page_url, name, date_text, start_iso, end_iso, time_text, description, location_name, address, organizer, phone, email,
     website, price_text, ticket_url, detail_url, raw_text, categories. sources: id, name, homepage, agenda_urls, tier (1 to 6),
     discovered, default_village, default_location_name, default_address, default_categories. All may hold nulls. Narrow but for the join with the
-    sources, a small table. The gates come as early as what they need.
+    sources, a small table. The gates come as early as what they need. Rows are settled twice, as one plan of all expressions takes long to compile.
     """
     src = sources.select(*[F.col(c).alias(f"src_{c}") for c in ("id", "name", "homepage", "agenda_urls", "tier", "discovered", "default_village", "default_location_name", "default_address", "default_categories")])
     rows = raws.join(src, F.col("source_id") == F.col("src_id"))
@@ -52,9 +53,10 @@ def normalise(raws: DataFrame, sources: DataFrame, gazetteer: places.Gazetteer,
     end_day, end_at = names.read_iso(F.col("end_iso"))
     span = dates.date_range(F.coalesce("date_text", "raw_text"), F.lit(year))
     clock = dates.times(F.coalesce("time_text", "raw_text"))
-    rows = rows.withColumns({"_span": F.when(start_day.isNull(), span), "date": start_day, "end_date": end_day, "start": start_at, "end": end_at})
-    rows = rows.withColumns({"date": F.coalesce("date", "_span.start"), "end_date": F.coalesce("end_date", "_span.end")}).where("date is not null")
-    rows = rows.withColumn("_clock", F.when(F.col("start").isNull(), clock)).withColumns({"start": F.coalesce("start", "_clock.start"), "end": F.coalesce("end", "_clock.end")})
+    read = {"_day": start_day, "_until": end_day, "_at": start_at, "_to": end_at, "_span": F.when(start_day.isNull(), span), "_clock": F.when(start_at.isNull(), clock)}
+    rows = settle(rows.withColumns(read))  # what finds dates and times is long: planned once here, it isn't repeated in all that is made of it
+    rows = rows.withColumns({"date": F.coalesce("_day", "_span.start"), "end_date": F.coalesce("_until", "_span.end")}).where("date is not null")
+    rows = rows.withColumns({"start": F.coalesce("_at", "_clock.start"), "end": F.when(F.col("_at").isNull(), F.coalesce("_to", "_clock.end")).otherwise(F.col("_to"))}).drop(*read)
     rows = rows.withColumns(dates.sane(F.col("date"), F.col("end_date"), F.col("start"), F.col("end")))
     if first is not None:
         rows = rows.where(overlaps(F.col("date"), F.col("end_date"), first, last or first))
@@ -63,7 +65,7 @@ def normalise(raws: DataFrame, sources: DataFrame, gazetteer: places.Gazetteer,
     rows = rows.withColumn("_in_name", gazetteer.find(F.col("name"))).where(~gazetteer.only_place(slug("name"), F.col("_in_name")))
     found = gazetteer.village(F.col("terms"))
     cleaned = {c: names.clean(F.col(c)) for c in ("description", "location_name", "address", "organizer", "phone", "email", "website", "ticket_url")}
-    rows = rows.withColumns({f"_{c}": v for c, v in cleaned.items()} | {"_found_address": names.clean(names.find_address(F.col("raw_text")))})
+    rows = settle(rows.withColumns({f"_{c}": v for c, v in cleaned.items()} | {"_found_address": names.clean(names.find_address(F.col("raw_text")))}))
     organizer = F.col("_organizer")
     registered = (F.col("src_tier") == 1) & ~F.coalesce("src_discovered", F.lit(False)) & names.is_organizer(F.col("src_name"))
     detail = F.coalesce("detail_url", "page_url")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.fixed import CONFIDENCE
 from quernstone.functions.text import slug_text
+from quernstone.plans.steps import settle
 
 # Fixed values. Days that a query covers by default and at most.
 DEFAULT_DAYS, MOST_DAYS = 14, 400
@@ -61,13 +62,17 @@ def all_words(slugged: Column, question: str | None) -> Column:
 
 def in_order(rows: DataFrame, by: str, date: str, start: str, name: str, village: str, confidence: str, tie: str) -> DataFrame:
     """rows by naam, dorp, betrouwbaarheid or (else) date and time; times that aren't known come last."""
+    return rows.orderBy(*order_of(by, date, start, name, village, confidence), tie)
+
+
+def order_of(by: str, date: str, start: str, name: str, village: str, confidence: str) -> list[Column]:
+    """The columns by which in_order sorts."""
     rank = F.coalesce(*[F.when(F.col(confidence) == c, i) for i, c in enumerate(CONFIDENCE)], F.lit(-1))
-    keys = {
+    return {
         "naam": [F.lower(name)],
         "dorp": [F.lower(village), F.col(date), F.col(start).asc_nulls_last()],
         "betrouwbaarheid": [rank.desc(), F.col(date), F.col(start).asc_nulls_last()],
     }.get(by, [F.col(date), F.col(start).asc_nulls_last(), F.lower(name)])
-    return rows.orderBy(*keys, tie)
 
 
 def facets(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -99,5 +104,27 @@ def first_per(rows: DataFrame, keys: list[Column], order: list[Column], most: in
     return rows.withColumn("_row", row).where(F.col("_row") <= most).drop("_row")
 
 
+def numbered(rows: DataFrame, keys: list[Column], order: list[Column], name: str) -> DataFrame:
+    """rows with their number in each key's order, from 1."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def ranked(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with their number in the order of the whole table, from 1.
+
+    Rows are sorted in ranges and counted by range, so no task sees them all; what comes to the driver is one count for each range.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = settle(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    counts = {r["_part"]: r["count"] for r in parts.groupBy("_part").count().collect()}
+    before, total = [], 0
+    for part in range(max(counts, default=-1) + 1):
+        before.append(total)
+        total += counts.get(part, 0)
+    offset = F.get(F.array(*map(F.lit, before)), F.col("_part")) if before else F.lit(0)
+    row = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.withColumn(name, (row + offset).cast("long")).drop("_part")
+
+
 def contains_any(value: Column, parts: tuple[str, ...]) -> Column:
     return reduce(or_, [F.contains(value, F.lit(p)) for p in parts])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import names, places, text
 from quernstone.operators import normalise, resolve
-from quernstone.plans.registry import fixture, golden, query_of, table
+from quernstone.plans.registry import case_of, fixture, golden, query_of, table
 
 GAZETTEER = places.Gazetteer([
     places.Place("West-Terschelling", "dorp", None, ("West-Skylge",)), places.Place("Midsland", "dorp"), places.Place("Hoorn", "dorp", None, (), True), places.Place("Kaard", "buurtschap"),
@@ -18,7 +18,7 @@ KEYWORDS = {"Muziek": ("concert", "koor"), "Markt": ("markt",), "Festival": ("fe
 SAID = ["Concert in Midsland", "Tocht vanaf west-skylge naar Kaard", "Feest in de Grote Kerk", "Duinmeer", "Markt op Texel", "Markt te Hoorn", "Oerol, niet op Texel", "Midslander weg", ""]
 
 
-@query_of(golden("id, terms, village", [
+@case_of(golden("id, terms, village", [
     "(0, 'Midsland', 'Midsland')", "(1, 'West-Terschelling,Kaard', 'West-Terschelling')", "(2, 'Grote Kerk', 'Midsland')", "(3, 'Duinmeer', 'Onbekend')", "(4, '', 'Onbekend')", "(5, 'Hoorn', 'Hoorn')",
     "(6, '', 'Onbekend')", "(7, '', 'Onbekend')", "(8, '', 'Onbekend')",
 ]))
@@ -27,7 +27,7 @@ def q_gazetteer(spark, sf_dir):
     return hits.select("id", F.array_join("hits", ",").alias("terms"), GAZETTEER.village(F.col("hits")).alias("village"))
 
 
-@query_of(golden("id, here, by_source, elsewhere", [
+@case_of(golden("id, here, by_source, elsewhere", [
     "(0, true, true, false)", "(1, true, true, false)", "(2, true, true, false)", "(3, false, true, false)", "(4, false, false, true)", "(5, false, true, false)", "(6, true, true, false)", "(7, false, true, false)", "(8, false, true, false)",
 ]))
 def q_geo_gate(spark, sf_dir):
@@ -46,7 +46,7 @@ def q_gazetteer_nations(spark, sf_dir):
     return rows.select("c_custkey", F.array_join(found.find(said), ",").alias("terms"))
 
 
-@query_of(golden("id, name, fits", [
+@case_of(golden("id, name, fits", [
     "(0, 'Veemarkt', true)", "(1, 'Lees meer over ons', false)", "(2, 'zaterdag 12 juni 2026', false)", "(3, 'Concert', true)", "(4, '2026Tijd: 14.30', false)", "(5, 'Wandeling 3', true)",
 ]))
 def q_name_gate(spark, sf_dir):
@@ -55,7 +55,7 @@ def q_name_gate(spark, sf_dir):
     return rows.select("id", "name", names.is_name(F.col("name")).alias("fits"))
 
 
-@query_of(golden("id, address, contact, listed, organizer", [
+@case_of(golden("id, address, contact, listed, organizer", [
     "(0, 'Kerkstraat 12, 8881 AB', CAST(NULL AS VARCHAR), 'kom naar de Kerkstraat 12 te 8881 AB Midsland', true)", "(1, NULL, 'Jan Vries', 'contact: Jan Vries', true)", "(2, NULL, NULL, 'Midsland, Kerk', true)", "(3, NULL, NULL, 'Agenda 2026', false)", "(4, NULL, NULL, '', false)",
 ]))
 def q_text_finders(spark, sf_dir):
@@ -64,7 +64,7 @@ def q_text_finders(spark, sf_dir):
     return fixture(spark, said).select("id", names.find_address(t).alias("address"), names.find_contact(t).alias("contact"), names.once_each(t).alias("listed"), names.is_organizer(t).alias("organizer"))
 
 
-@query_of(golden("id, day, minutes", ["(0, DATE '2026-09-11', CAST(NULL AS INT))", "(1, DATE '2026-09-11', 1200)", "(2, DATE '2026-09-11', 0)", "(3, NULL, NULL)", "(4, NULL, NULL)", "(5, DATE '2026-09-11', 1200)"]))
+@case_of(golden("id, day, minutes", ["(0, DATE '2026-09-11', CAST(NULL AS INT))", "(1, DATE '2026-09-11', 1200)", "(2, DATE '2026-09-11', 0)", "(3, NULL, NULL)", "(4, NULL, NULL)", "(5, DATE '2026-09-11', 1200)"]))
 def q_iso(spark, sf_dir):
     day, minutes = names.read_iso(F.col("text"))
     return fixture(spark, ["2026-09-11", "2026-09-11T20:00:00+02:00", "2026-09-11T00:00:00", "11 september", "2026-02-31", "2026-09-11 20:00"]).select("id", day.alias("day"), minutes.alias("minutes"))
@@ -103,7 +103,7 @@ def activities(spark):
     return normalise.normalise(raws, spark.createDataFrame(SOURCES, SOURCE), GAZETTEER, KEYWORDS, 2026, datetime(2026, 6, 1))
 
 
-@query_of(golden('ord, name, date, end_date, "start", village, location_name, address, organizer, contact_person, phone, price, price_kind, reservation, categories, description', [
+@case_of(golden('ord, name, date, end_date, "start", village, location_name, address, organizer, contact_person, phone, price, price_kind, reservation, categories, description', [
     "(0, 'Concert bij kaarslicht', DATE '2026-06-12', CAST(NULL AS DATE), 1200, 'Midsland', 'Grote Kerk', 'Onbekend', 'Het Koor', 'Jan Vries', '0562 123456', '€ 12,50', 'Betaald', 'Onbekend', 'Muziek', 'Koor zingt & speelt')",
     "(1, 'Concert bij kaarslicht', DATE '2026-06-12', NULL, 1215, 'Midsland', 'Onbekend', 'Onbekend', 'Onbekend', 'Onbekend', 'Onbekend', 'Gratis', 'Gratis', 'Onbekend', 'Muziek', 'Onbekend')",
     "(4, 'Kindermiddag', DATE '2026-06-13', DATE '2026-06-15', NULL, 'Hoorn', 'Dorpshuis Hoorn', 'Dorpsstraat 1', 'Onbekend', 'Onbekend', 'Onbekend', 'Onbekend', 'Onbekend', 'Nee', 'Kinderen,Familie', 'Onbekend')",
@@ -114,7 +114,7 @@ def q_normalise(spark, sf_dir):
     return activities(spark).select(*kept, F.array_join("categories", ",").alias("categories"))
 
 
-@query_of(golden('ord, name, date, "start", reservation, duplicate_count, n_sources, n_conflicts', [
+@case_of(golden('ord, name, date, "start", reservation, duplicate_count, n_sources, n_conflicts', [
     "(0, 'Concert bij kaarslicht', DATE '2026-06-12', 1200, 'Onbekend', 2, 2, 2)", "(4, 'Kindermiddag', DATE '2026-06-13', 840, 'Nee', 2, 2, 0)",
 ]))
 def q_resolve(spark, sf_dir):
@@ -136,7 +136,7 @@ def q_buckets(spark, sf_dir):
     return resolve.buckets(given).select("ord", "bucket")
 
 
-@query_of(golden("id, n", ["(0, 1)", "(1, 2)", "(2, 0)"]))
+@case_of(golden("id, n", ["(0, 1)", "(1, 2)", "(2, 0)"]))
 def q_websites(spark, sf_dir):
     """Independent websites: pages of one host are one, and so are hosts that one registered source names."""
     given = [(0, [("discovery:a-nl:1", "https://www.a.nl/x"), ("a", "https://a.nl/y")]), (1, [("a", "https://a.nl"), ("b", "https://b.nl"), ("B ", "https://c.nl")]), (2, [(None, None)])]

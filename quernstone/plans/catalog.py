@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import categories, dates, price, text
 from quernstone.operators import joins, query
-from quernstone.plans import activities, intake  # noqa: F401  (they register their queries)
-from quernstone.plans.registry import QUERIES, SQL, fixture, golden, query_of, table
+from quernstone.plans import activities, answers, derived, intake  # noqa: F401  (they register their queries)
+from quernstone.plans.registry import QUERIES, SQL, case_of, fixture, golden, query_of, table
 from quernstone.sources import calendar, health, pages, structured
 
 FIRST, LAST = date(1996, 3, 1), date(1996, 3, 14)
@@ -56,15 +56,20 @@ def _sorted(by: str):
     def of(spark, sf_dir):
         rows = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), F.when(F.col("o_totalprice") > 1000, F.col("o_totalprice")).alias("start"), "o_orderpriority", "o_orderstatus")
         named = rows.withColumn("confidence", F.when(F.col("o_orderstatus") == "F", "Bevestigd").when(F.col("o_orderstatus") == "O", "Onzeker").otherwise("Onbekend"))
-        return query.in_order(named, by, "day", "start", "o_orderpriority", "o_orderstatus", "confidence", "o_orderkey")
+        order = query.order_of(by, "day", "start", "o_orderpriority", "o_orderstatus", "confidence")
+        return query.ranked(named, [*order, F.col("o_orderkey")], "place")
 
     return of
 
 
 _SORTED = """SELECT o_orderkey, o_orderdate::DATE AS day, CASE WHEN o_totalprice > 1000 THEN o_totalprice END AS "start", o_orderpriority, o_orderstatus,
     CASE o_orderstatus WHEN 'F' THEN 'Bevestigd' WHEN 'O' THEN 'Onzeker' ELSE 'Onbekend' END AS confidence FROM orders"""
-for _name, _by in (("q_sort_default", ""), ("q_sort_name", "naam"), ("q_sort_place", "dorp"), ("q_sort_confidence", "betrouwbaarheid")):
-    QUERIES[_name], SQL[_name] = _sorted(_by), _SORTED
+_RANK = "CASE confidence WHEN 'Onbekend' THEN 0 WHEN 'Onzeker' THEN 1 ELSE 2 END"
+for _name, _by, _order in (
+    ("q_sort_default", "", 'day, "start" NULLS LAST, lower(o_orderpriority)'), ("q_sort_name", "naam", "lower(o_orderpriority)"), ("q_sort_place", "dorp", 'lower(o_orderstatus), day, "start" NULLS LAST'),
+    ("q_sort_confidence", "betrouwbaarheid", f'{_RANK} DESC, day, "start" NULLS LAST'),
+):
+    QUERIES[_name], SQL[_name] = _sorted(_by), f"SELECT *, row_number() OVER (ORDER BY {_order}, o_orderkey) AS place FROM ({_SORTED})"
 
 
 @query_of("SELECT DISTINCT 'priority' AS facet, o_orderpriority AS value FROM orders WHERE o_orderpriority IS NOT NULL UNION ALL SELECT DISTINCT 'status', o_orderstatus FROM orders WHERE o_orderstatus IS NOT NULL")
@@ -263,7 +268,7 @@ def q_alternate_paths(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.explode(pages.alternate_paths(F.col("url"))).alias("url"))
 
 
-@query_of(golden('id, "start", "end"', [
+@case_of(golden('id, "start", "end"', [
     "(0, DATE '2026-06-12', CAST(NULL AS DATE))", "(1, DATE '2026-06-12', NULL)", "(2, DATE '2026-06-12', NULL)", "(3, DATE '2026-06-12', DATE '2026-06-14')", "(4, DATE '2026-06-12', NULL)",
     "(5, DATE '2026-06-12', DATE '2026-06-15')", "(6, DATE '2026-06-30', DATE '2026-07-03')", "(7, DATE '2025-12-30', DATE '2026-01-02')", "(8, NULL, NULL)", "(9, NULL, NULL)", "(10, DATE '2026-05-05', DATE '2026-05-09')",
 ]))
@@ -273,21 +278,21 @@ def q_dates(spark, sf_dir):
     return fixture(spark, said).select("id", found["start"].alias("start"), found["end"].alias("end"))
 
 
-@query_of(golden('id, "start", "end"', ["(0, 1200, 1380)", "(1, 1200, CAST(NULL AS INT))", "(2, 1200, 1380)", "(3, 1200, NULL)", "(4, 726, NULL)", "(5, NULL, NULL)", "(6, NULL, NULL)"]))
+@case_of(golden('id, "start", "end"', ["(0, 1200, 1380)", "(1, 1200, CAST(NULL AS INT))", "(2, 1200, 1380)", "(3, 1200, NULL)", "(4, 726, NULL)", "(5, NULL, NULL)", "(6, NULL, NULL)"]))
 def q_times(spark, sf_dir):
     said = ["20.00 - 23.00", "20:00 uur", "van 20.00 tot 23.00 uur", "om 20 uur", "12.06.2026", "25:00", ""]
     found = dates.times(F.col("text"))
     return fixture(spark, said).select("id", found["start"].alias("start"), found["end"].alias("end"))
 
 
-@query_of(golden('id, end_date, "start", "end"', ["(0, CAST(NULL AS DATE), CAST(NULL AS INT), CAST(NULL AS INT))", "(1, NULL, 1380, NULL)", "(2, DATE '2026-06-14', 600, 540)", "(3, NULL, 0, 60)", "(4, NULL, 600, 660)"]))
+@case_of(golden('id, end_date, "start", "end"', ["(0, CAST(NULL AS DATE), CAST(NULL AS INT), CAST(NULL AS INT))", "(1, NULL, 1380, NULL)", "(2, DATE '2026-06-14', 600, 540)", "(3, NULL, 0, 60)", "(4, NULL, 600, 660)"]))
 def q_midnight(spark, sf_dir):
     rows = [(0, None, 0, 1439), (1, None, 1380, 60), (2, "2026-06-14", 600, 540), (3, "2026-12-14", 0, 60), (4, "2026-06-11", 600, 660)]
     given = spark.createDataFrame(rows, "id int, until string, first int, last int")
     return given.select("id", *[c.alias(k) for k, c in dates.sane(F.lit("2026-06-12").cast("date"), F.col("until").cast("date"), F.col("first"), F.col("last")).items()])
 
 
-@query_of(golden("id, price, kind", [
+@case_of(golden("id, price, kind", [
     "(0, '€ 12,50', 'Betaald')", "(1, '€ 5 – € 7', 'Betaald')", "(2, 'Gratis', 'Gratis')", "(3, '€ 5 (deels gratis)', 'Betaald')", "(4, 'Vrije gift', 'Gratis')", "(5, '€ 1.25', 'Betaald')", "(6, 'Onbekend', 'Onbekend')",
 ]))
 def q_price(spark, sf_dir):
@@ -296,7 +301,7 @@ def q_price(spark, sf_dir):
     return fixture(spark, said).select("id", found["price"].alias("price"), found["kind"].alias("kind"))
 
 
-@query_of(golden("id, reservation", ["(0, 'Nee')", "(1, 'Nee')", "(2, 'Ja')", "(3, 'Nee')", "(4, 'Onbekend')"]))
+@case_of(golden("id, reservation", ["(0, 'Nee')", "(1, 'Nee')", "(2, 'Ja')", "(3, 'Nee')", "(4, 'Onbekend')"]))
 def q_reservation(spark, sf_dir):
     said = ["reserveren niet nodig", "vrije inloop", "reserveren verplicht", "Reserveren verplicht, of vrije inloop", "welkom"]
     return fixture(spark, said).select("id", price.reservation(text.slug("text")).alias("reservation"))
@@ -308,7 +313,7 @@ CALENDAR = "\r\n".join([
 ])
 
 
-@query_of(golden("id, name, start_iso, end_iso, location_name, organizer, n_categories", [
+@case_of(golden("id, name, start_iso, end_iso, location_name, organizer, n_categories", [
     "(0, 'Concert in de kerk', '2026-06-12T20:00:00Z', '2026-06-12T22:00:00Z', 'Kerk, Midsland', 'Het Koor', 2)", "(0, 'Markt', '2026-06-14', NULL, NULL, 'markt@example.org', 0)",
 ]))
 def q_calendar(spark, sf_dir):
@@ -319,7 +324,7 @@ def q_calendar(spark, sf_dir):
 KEYWORDS = {"Muziek": ("concert", "koor"), "Festival": ("festival",), "Kinderen": ("kinder",), "Nachtleven": ("disco", "bal"), "Eten & Drinken": ("high tea",)}
 
 
-@query_of(golden("id, found, merged", [
+@case_of(golden("id, found, merged", [
     "(0, 'Kinderen,Familie', 'Muziek,Kinderen,Familie')", "(1, 'Nachtleven', 'Muziek,Nachtleven')", "(2, 'Cultuur,Festival', 'Muziek,Cultuur,Festival')", "(3, 'Overig', 'Muziek')", "(4, '', 'Muziek')", "(5, 'Eten & Drinken', 'Muziek,Eten & Drinken')",
 ]))
 def q_categories(spark, sf_dir):
@@ -333,7 +338,7 @@ PAGE = """<html><script type="application/ld+json">{"@context": "https://schema.
 <script type='application/ld+json'>{broken</script></html>"""
 
 
-@query_of(golden("id, ordinal, name, start_iso, location_name, organizer", ["(0, 0, 'Concert & meer', '2026-06-12T20:00', 'Kerk', CAST(NULL AS VARCHAR))", "(0, 1, 'Toegift', NULL, NULL, 'Koor')"]))
+@case_of(golden("id, ordinal, name, start_iso, location_name, organizer", ["(0, 0, 'Concert & meer', '2026-06-12T20:00', 'Kerk', CAST(NULL AS VARCHAR))", "(0, 1, 'Toegift', NULL, NULL, 'Koor')"]))
 def q_linked_data(spark, sf_dir):
     return structured.linked_data(fixture(spark, [PAGE, "<html></html>"]), "id", "text").select("id", "ordinal", "name", "start_iso", "location_name", "organizer")
 
@@ -342,6 +347,6 @@ FEED = "<rss><channel><item><title>Markt</title><link>https://a.nl/1</link><desc
 ATOM = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>Tocht</title><link href="https://b.nl/1"/><summary>13 juni</summary></entry></feed>'
 
 
-@query_of(golden("id, ordinal, name, detail_url, description", ["(0, 0, 'Markt', 'https://a.nl/1', '12 juni 10.00')", "(1, 0, 'Tocht', 'https://b.nl/1', '13 juni')"]))
+@case_of(golden("id, ordinal, name, detail_url, description", ["(0, 0, 'Markt', 'https://a.nl/1', '12 juni 10.00')", "(1, 0, 'Tocht', 'https://b.nl/1', '13 juni')"]))
 def q_feed(spark, sf_dir):
     return structured.feed_items(fixture(spark, [FEED, ATOM, "<rss><broken", "text"]), "id", "text")

@@ -7,7 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import functions as F
 
 from quernstone.functions import dates
-from quernstone.plans.registry import golden, query_of, table
+from quernstone.plans.registry import case_of, golden, query_of, table
 from quernstone.sources import markup, registry, site_json, structured
 
 FIRST, LAST = date(2026, 6, 12), date(2026, 7, 3)
@@ -21,7 +21,7 @@ ITEM = """<div itemscope itemtype="https://schema.org/MusicEvent"><h2 itemprop="
 <span itemprop="location">Kerk <b>Midsland</b></span><meta itemprop="price" content="5"><a href="/concert">verder</a></div><div itemscope itemtype="Event"><p itemprop="description">naamloos</p></div>"""
 
 
-@query_of(golden("id, ordinal, name, start_iso, location_name, price_text, detail_url", ["(0, 0, 'Concert & meer', '2026-06-12T20:00', 'Kerk Midsland', '5', 'https://a.nl/concert')"]))
+@case_of(golden("id, ordinal, name, start_iso, location_name, price_text, detail_url", ["(0, 0, 'Concert & meer', '2026-06-12T20:00', 'Kerk Midsland', '5', 'https://a.nl/concert')"]))
 def q_microdata(spark, sf_dir):
     return markup.microdata(_pages(spark, [ITEM, "<p>niets", None]), "id", "url", "body").select("id", "ordinal", "name", "start_iso", "location_name", "price_text", "detail_url")
 
@@ -31,7 +31,7 @@ CARDS = """<ul class="agenda-lijst"><li class="event"><h3>Veemarkt op het plein<
 <li class="event"><h3>Grote tocht langs zee</h3> 14 juni 2026</ul> <article><h2>Ander bericht van ons</h2> 15 juni</article>"""
 
 
-@query_of(golden("id, place, name, start_iso, end_iso, location_name, detail_url", [
+@case_of(golden("id, place, name, start_iso, end_iso, location_name, detail_url", [
     "(0, 1, 'Veemarkt op het plein', '2026-06-12T10:00:00', NULL, 'Plein', 'https://a.nl/agenda/veemarkt')", "(0, 2, 'Concert van het koor', '2026-06-13T20:00:00', NULL, NULL, 'https://a.nl/agenda')", "(0, 3, 'Grote tocht langs zee', '2026-06-14', NULL, NULL, 'https://a.nl/agenda')",
 ]))
 def q_dated_blocks(spark, sf_dir):
@@ -40,14 +40,14 @@ def q_dated_blocks(spark, sf_dir):
     return found.select("id", "place", "name", "start_iso", "end_iso", "location_name", "detail_url")
 
 
-@query_of(golden("id, place, link", ["(0, 1, 'https://a.nl/agenda/veemarkt')", "(0, 2, 'https://a.nl/event/tocht')"]))
+@case_of(golden("id, place, link", ["(0, 1, 'https://a.nl/agenda/veemarkt')", "(0, 2, 'https://a.nl/event/tocht')"]))
 def q_detail_links(spark, sf_dir):
     body = '<a href="/agenda/veemarkt">12 juni</a><a href="/AGENDA/veemarkt">12 juni</a><a href="https://b.nl/agenda/x">een lange titel</a><a href="/agenda/p.pdf">een lange titel</a><a href="event/tocht">Een lange tocht langs zee</a><a href="/contact/event">een lange titel</a><a href="/event/derde">een lange titel</a>'
     pages = _pages(spark, [body, None]).withColumn("url", F.lit("https://a.nl/"))
     return markup.detail_links(pages, "id", "url", "body", F.lit(2))
 
 
-@query_of(golden("id, name, start_iso, end_iso, location_name, address, organizer, price_text, detail_url, n_categories", [
+@case_of(golden("id, name, start_iso, end_iso, location_name, address, organizer, price_text, detail_url, n_categories", [
     "(0, 'Markt & meer', '2026-06-12 10:00:00', NULL, 'Plein', 'Dorpsstraat 1, Midsland', 'Dorp', '5', 'https://a.nl/markt', 1)", "(1, 'Bericht', '2026-06-13', NULL, NULL, NULL, NULL, NULL, 'https://a.nl/b', 0)",
     "(1, 'Kort', NULL, NULL, NULL, NULL, NULL, NULL, 'https://a.nl/agenda', 0)",
 ]))
@@ -61,7 +61,7 @@ def q_site_json(spark, sf_dir):
 RAW_SOURCE = "ord int, name string, homepage string, agenda_url string, agenda_urls array<string>, category string, tier string, feed_url string, feed_type string, rendering string, blocked boolean"
 
 
-@query_of(golden("id, agenda_urls, category, tier, feed_type, enabled, max_detail_pages", [
+@case_of(golden("id, agenda_urls, category, tier, feed_type, enabled, max_detail_pages", [
     "('de-kerk', 'https://k.nl/agenda', 'kerk en gemeenschap', 2, 'ics', true, 25)", "('vvv-agenda', 'https://v.nl', 'toeristische website', 5, NULL, false, 12)", "('bron', 'https://b.nl/1|https://b.nl/2', 'overige openbare bron', 6, 'rss', true, 12)",
 ]))
 def q_source_registry(spark, sf_dir):
@@ -77,13 +77,13 @@ def q_source_registry(spark, sf_dir):
     return out.select("id", F.array_join("agenda_urls", "|").alias("agenda_urls"), "category", "tier", "feed_type", "enabled", "max_detail_pages")
 
 
-@query_of(golden("id, url", ["(0, 'https://a.nl/?van=2026-06-12&tot=03-07-2026&m=06')", "(0, 'https://a.nl/agenda')", "(1, 'https://b.nl')"]))
+@case_of(golden("id, url", ["(0, 'https://a.nl/?van=2026-06-12&tot=03-07-2026&m=06')", "(0, 'https://a.nl/agenda')", "(1, 'https://b.nl')"]))
 def q_addresses(spark, sf_dir):
     rows = spark.createDataFrame([(0, "https://a.nl/?van={from}&tot={toNl}&m={month}", ["https://a.nl/agenda", "https://A.nl/agenda"], "https://a.nl"), (1, None, [], "https://b.nl"), (2, "", None, None)], "id int, t string, urls array<string>, home string")
     return rows.select("id", F.explode(registry.addresses(F.col("t"), F.col("urls"), F.col("home"), FIRST, LAST)).alias("url"))
 
 
-@query_of(golden("id_part, name, homepage, tier", [
+@case_of(golden("id_part, name, homepage, tier", [
     "('discovery:wwwvvvnl', 'Uit', 'https://www.vvv.nl', 4)", "('discovery:vvvterschellingnl', 'vvvterschelling.nl', 'https://vvvterschelling.nl', 3)", "('discovery:oerolfestivalorg', 'Oerol', 'https://oerolfestival.org', 1)",
 ]))
 def q_found_sources(spark, sf_dir):
@@ -91,7 +91,7 @@ def q_found_sources(spark, sf_dir):
     return registry.found_sources(hits).select(F.substring_index("id", ":", 2).alias("id_part"), "name", "homepage", "tier")
 
 
-@query_of(golden("rank, place, n, question", [
+@case_of(golden("rank, place, n, question", [
     "(0, '', 0, 'agenda eiland')", "(0, '', 1, 'agenda eiland juni 2026')", "(0, '', 2, 'agenda eiland juli 2026')", "(1, 'Hoorn', 0, 'Hoorn Terschelling agenda')", "(1, 'Hoorn', 1, 'Hoorn Terschelling markt')", "(1, 'Hoorn', 2, 'Hoorn Terschelling concert')",
     "(1, 'Hoorn', 3, 'Hoorn Terschelling film')", "(1, 'Hoorn', 4, 'Hoorn Terschelling agenda juni 2026')", "(4, 'Grote Kerk', 0, 'Grote Kerk agenda')", "(4, 'Grote Kerk', 1, 'Grote Kerk markt')",
 ]))
@@ -100,7 +100,7 @@ def q_questions(spark, sf_dir):
     return registry.questions(places, ["agenda eiland"], ["agenda", "markt", "concert", "film", "kermis"], FIRST, LAST, 4)
 
 
-@query_of(golden("url, strategy, n", ["('a', 'Direct', 500)", "('b', 'AlternatePath', 401)", "('c', 'WebArchive', 450)"]))
+@case_of(golden("url, strategy, n", ["('a', 'Direct', 500)", "('b', 'AlternatePath', 401)", "('c', 'WebArchive', 450)"]))
 def q_fetch_ladder(spark, sf_dir):
     now, old, young = datetime(2026, 6, 12), datetime(2026, 4, 1), datetime(2026, 5, 1)
     tried = [("a", "Direct", 200, "x" * 500, None), ("a", "Browser", 200, "x" * 900, None), ("b", "Direct", 403, "x" * 900, None), ("b", "HostVariant", 200, "x" * 400, None), ("b", "AlternatePath", 200, "x" * 401, None)]
@@ -109,7 +109,7 @@ def q_fetch_ladder(spark, sf_dir):
     return registry.first_usable(attempts, "url", now).select("url", "strategy", F.char_length("body").alias("n"))
 
 
-@query_of(golden("source, status, events", ["('a', 'ok', 2)", "('b', 'geblokkeerd', 1)", "('c', 'fout', 0)", "('d', 'leeg', 0)", "('e', 'leeg', 0)"]))
+@case_of(golden("source, status, events", ["('a', 'ok', 2)", "('b', 'geblokkeerd', 1)", "('c', 'fout', 0)", "('d', 'leeg', 0)", "('e', 'leeg', 0)"]))
 def q_outcomes(spark, sf_dir):
     attempts = spark.createDataFrame([("a", 200, None, 3), ("a", 500, "x", 0), ("b", 403, "x", 0), ("b", 200, None, 1), ("c", 500, "x", 0), ("d", 500, "x", 2), ("e", 200, None, 0)], "source string, status int, error string, raws int")
     events = spark.createDataFrame([("a",), ("a",), ("b",)], "source string")
@@ -122,7 +122,7 @@ def q_strategies(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("strategy")).agg(F.count("*").alias("n"))
 
 
-@query_of(golden("id, price_text, ticket_url", [
+@case_of(golden("id, price_text, ticket_url", [
     "(0, '€ 12,5', 'https://t.nl/1')", "(1, 'Gratis', NULL)", "(2, '€ 10 – € 9', 'https://t.nl/2')", "(3, 'vanaf tien', NULL)", "(4, NULL, NULL)",
 ]))
 def q_offers(spark, sf_dir):
@@ -132,7 +132,7 @@ def q_offers(spark, sf_dir):
     return structured.linked_data(_pages(spark, bodies), "id", "body").select("id", "price_text", "ticket_url")
 
 
-@query_of(golden('day, said, "start", "end"', [
+@case_of(golden('day, said, "start", "end"', [
     "(DATE '2026-06-10', 'woensdag 10 juni 2026', DATE '2026-06-12', DATE '2026-06-14')", "(DATE '2026-06-12', 'vrijdag 12 juni 2026', DATE '2026-06-12', DATE '2026-06-14')",
     "(DATE '2026-06-13', 'zaterdag 13 juni 2026', DATE '2026-06-13', DATE '2026-06-14')", "(DATE '2026-06-14', 'zondag 14 juni 2026', DATE '2026-06-14', DATE '2026-06-14')",
 ]))

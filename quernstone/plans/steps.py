@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
 
@@ -11,5 +9,8 @@ def settle(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder and read from there, so that plans stay short and lost executors cost little."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quern-steps-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

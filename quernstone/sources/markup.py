@@ -42,6 +42,7 @@ FILLER = (
 DETAIL = r"event|agenda|activiteit|evenement|programma|voorstelling|concert|expositie|workshop|excursie|kalender|uitagenda|/\d{4}/\d{2}"
 NOT_DETAIL = r"/(?:wp-admin|wp-login|privacy|cookie|contact|nieuwsbrief|sitemap|tag|author|feed)"
 SHORTEST, LONGEST, ENOUGH, MOST_BLOCKS = 12, 1400, 3, 400
+JOINT = " \n "
 _DATED = re.compile(DATED)
 
 

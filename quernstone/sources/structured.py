@@ -13,8 +13,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.sources.markup import absolute
+
 DEPTH = 8
-_FIELDS = ("name", "start_iso", "end_iso", "description", "location_name", "organizer", "detail_url", "price_text", "ticket_url")
+_FIELDS = ("name", "start_iso", "end_iso", "description", "location_name", "address", "phone", "email", "organizer", "website", "detail_url", "price_text", "ticket_url", "raw_text")
+# Fixed values. Parts of an address in their order, and properties that name categories.
+_ADDRESS, _CATEGORIES = ("streetAddress", "postalCode", "addressLocality", "addressRegion"), ("keywords", "genre", "about", "eventAttendanceMode")
+_JOINT = " \n "
+#: What may stand in JSON that is read with patience: texts, which stay, and comments, which don't.
+_LENIENT = re.compile(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', re.DOTALL)
+_TRAILING = re.compile(r'("(?:\\.|[^"\\])*")|,(?=\s*[}\]])')
 _SCRIPT = r"(?is)<script[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script>"
 _TAG = re.compile(r"<[^>]+>")
 
@@ -40,7 +48,7 @@ def _events(node: object, depth: int = 0) -> Iterator[dict]:
             yield from _events(part, depth + 1)
     elif isinstance(node, dict):
         kinds = node.get("@type")
-        if any(isinstance(k, str) and k.endswith("Event") for k in (kinds if isinstance(kinds, list) else [kinds])):
+        if any(isinstance(k, str) and k.lower().endswith("event") for k in (kinds if isinstance(kinds, list) else [kinds])):
             yield node
         for key, part in node.items():
             if key != "@context":
@@ -64,38 +72,73 @@ def _offers(value: object) -> tuple[str | None, str | None]:
     return shown, next((u for o in offers if (u := _text(o.get("url")))), None)
 
 
-def _row(event: dict) -> dict | None:
-    if "cancelled" in str(event.get("eventStatus", "")).lower():
+def _first(value: object, fields: dict[str, object]) -> dict[str, str | None]:
+    """What the first part of a value that has a name says; fields tell how each text is had of an object."""
+    said: dict[str, str | None] = dict.fromkeys(fields)
+    for part in value if isinstance(value, list) else [value]:
+        if isinstance(part, str):
+            said["name"] = part
+        elif isinstance(part, dict):
+            said = {k: said[k] or take(part) for k, take in fields.items()}
+        if said["name"] is not None:
+            break
+    return said
+
+
+def _address(place: dict) -> str | None:
+    given = place.get("address")
+    if isinstance(given, dict):
+        return ", ".join(t for k in _ADDRESS if (t := _text(given.get(k)))) or None
+    return given if isinstance(given, str) else None
+
+
+def _row(event: dict, page: str) -> dict | None:
+    if not _text(event.get("name")) or "cancelled" in str(event.get("eventStatus", "")).lower():
         return None
-    said = (event.get("name"), event.get("startDate"), event.get("endDate"), event.get("description"), event.get("location"), event.get("organizer") or event.get("performer"), event.get("url"))
-    row = dict(zip(_FIELDS, [*map(_text, said), *_offers(event.get("offers"))], strict=True))
-    return row if row["name"] else None
+    of = lambda key: lambda part: _text(part.get(key))
+    place = _first(event.get("location"), {"name": of("name"), "phone": of("telephone"), "email": of("email"), "address": _address})
+    host = _first(event.get("organizer"), {"name": of("name"), "phone": of("telephone"), "email": of("email"), "website": lambda part: absolute(_text(part.get("url")), page)})
+    shown, ticket = _offers(event.get("offers"))
+    row = {
+        "name": _text(event["name"]), "start_iso": _text(event.get("startDate")), "end_iso": _text(event.get("endDate")), "description": _text(event.get("description")), "location_name": place["name"], "address": place["address"],
+        "phone": place["phone"] or host["phone"], "email": place["email"] or host["email"], "organizer": host["name"] or _text(event.get("performer")), "website": host["website"],
+        "detail_url": absolute(_text(event.get("url")), page) or page or None, "price_text": shown, "ticket_url": absolute(ticket, page),
+    }
+    row["raw_text"] = _JOINT.join(row[k] for k in ("name", "description", "location_name", "address", "organizer", "price_text") if row[k])
+    return row | {"categories": [t for k in _CATEGORIES if (t := _text(event.get(k)))]}
 
 
 def _parsed(block: str) -> object:
+    """A block's JSON, comments and commas before a closing bracket left out; None if it is broken."""
     try:
         return json.loads(block)
     except ValueError:
-        return None
+        try:
+            keep = lambda m: m[1] or ""
+            return json.loads(_TRAILING.sub(keep, _LENIENT.sub(keep, block)))
+        except (ValueError, RecursionError):
+            return None
 
 
-def linked_data(payloads: DataFrame, id_col: str, body: str) -> DataFrame:
-    """A row (id, ordinal, fields) for each named event in a page's ld+json scripts that isn't cancelled, nested ones too.
+def linked_data(payloads: DataFrame, id_col: str, body: str, url: str | None = None) -> DataFrame:
+    """A row (id, ordinal, fields) for each named event in a page's ld+json scripts that isn't cancelled, nested ones too; addresses are made whole by the page's url.
 
     Spark cuts the scripts out of the pages and only pages that have any reach Python. Broken scripts, nulls and pages without any give no row.
     """
     scripts = F.regexp_extract_all(F.coalesce(F.col(body), F.lit("")), F.lit(_SCRIPT), F.lit(1))
-    found = payloads.select(F.col(id_col).cast("long").alias("id"), scripts.alias("scripts")).where(F.size("scripts") > 0)
+    page = F.coalesce(F.col(url), F.lit("")) if url else F.lit("")
+    found = payloads.select(F.col(id_col).cast("long").alias("id"), page.alias("page"), scripts.alias("scripts")).where(F.size("scripts") > 0)
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
             out = []
-            for i, blocks in zip(x["id"], x["scripts"], strict=True):
-                rows = [r for b in blocks for r in map(_row, _events(_parsed(b))) if r]
+            for i, page, blocks in zip(x["id"], x["page"], x["scripts"], strict=True):
+                rows = [r for b in blocks for e in _events(_parsed(b)) if (r := _row(e, page))]
                 out += [{"id": i, "ordinal": k} | r for k, r in enumerate(rows)]
-            yield pd.DataFrame(out, columns=["id", "ordinal", *_FIELDS])
+            yield pd.DataFrame(out, columns=["id", "ordinal", *_FIELDS, "categories"])
 
-    return found.mapInPandas(read, "id long, ordinal int, " + ", ".join(f"{f} string" for f in _FIELDS)).withColumnRenamed("id", id_col)
+    schema = "id long, ordinal int, " + ", ".join(f"{f} string" for f in _FIELDS) + ", categories array<string>"
+    return found.mapInPandas(read, schema).withColumnRenamed("id", id_col)
 
 
 def _items(body: str) -> list[dict]:
