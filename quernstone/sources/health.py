@@ -14,7 +14,7 @@ FAILURES, HOURS, FORGET_DAYS = 2, 6, 30
 def host_health(attempts: DataFrame, host: str, at: str, failed: str, now: datetime) -> DataFrame:
     """host, failures (since the last answer), last_failure, skip; hosts not seen for FORGET_DAYS are gone.
 
-    One aggregate lists a host's failures no further back than it must: attempts are first counted by host and whether they are later than its last answer.
+    Attempts are read once and counted by host and moment; the last answer of a host is told over those counts.
     """
     stamp = F.lit(now).cast("timestamp")
     seen = attempts.where(F.col(at) <= stamp).select(F.col(host).alias("host"), F.col(at).alias("at"), F.coalesce(F.col(failed), F.lit(False)).alias("failed"))
