@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,22 +31,33 @@ BANDS, BAND = 20, 4
 COPY_TILE, COPY_BYTES = 4096, 6 << 20
 #: Bands that are compared together. Most copies are linked by the first ones, and a bucket whose texts are all linked already needs no texts.
 ROUNDS = (range(0, 2), range(2, BANDS))
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _BLOCK = 1 << 16
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
-    """Hashes of a text's word shingles in order; a text of fewer words is one shingle, null or no words none."""
-    found = _WORD.findall(text.encode().lower()) if text else []  # bytes.lower() changes A-Z only
-    if not found:
+    """Hashes of a text's word shingles in order; a text of fewer words is one shingle, null or no words none.
+
+    Words are found in the text's bytes as a whole and shingles hashed block by block, so a very long text takes little more memory than its bytes.
+    """
+    data = np.frombuffer((text or "").encode().lower(), np.uint8)  # bytes.lower() changes A-Z only
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    keep = ~space
+    keep[1:] |= space[1:] & ~space[:-1]  # one space after each word
+    kept = np.where(space, 32, data)[keep] if len(data) else data
+    kept = kept[: len(kept) - 1] if len(kept) and kept[-1] == 32 else kept
+    kept = kept[1:] if len(kept) and kept[0] == 32 else kept
+    if not len(kept):
         return np.zeros(0, "<u8")
-    line = b" ".join(found)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    n = max(1, len(found) - words + 1)
-    starts = [0, *(ends[: n - 1] + 1).tolist()]
-    stops = ends[min(words, len(found)) - 1 :].tolist()
-    of = xxhash.xxh64_intdigest
-    return np.array([of(line[i:j], SEED) for i, j in zip(starts, stops, strict=True)], dtype="<u8")
+    line, gaps = kept.astype(np.uint8).tobytes(), np.flatnonzero(kept == 32)
+    n = max(1, len(gaps) + 2 - words)
+    out, of = np.empty(n, "<u8"), xxhash.xxh64_intdigest
+    for at in range(0, n, _BLOCK):
+        many = min(_BLOCK, n - at)
+        starts = (gaps[at - 1 : at - 1 + many] + 1 if at else np.concatenate(([0], gaps[: many - 1] + 1))).tolist()
+        stops = gaps[at + words - 1 : at + words - 1 + many].tolist()
+        stops += [len(line)] * (many - len(stops))
+        out[at : at + many] = [of(line[i:j], SEED) for i, j in zip(starts, stops, strict=True)]
+    return out
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -181,8 +192,8 @@ def band_keys(text: str | None) -> np.ndarray:
     """For each band a hash of the band's place and of its least hashes."""
     found = _shingle_set(text)
     least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), 4096):
-        np.minimum(least, (found[None, at : at + 4096] * _TIMES + _PLUS).min(axis=1), out=least)
+    for at in range(0, len(found), 1024):
+        np.minimum(least, (found[None, at : at + 1024] * _TIMES + _PLUS).min(axis=1), out=least)
     key = np.arange(1, BANDS + 1, dtype=np.uint64) * _FOLD
     for row in least.reshape(BANDS, BAND).T:
         key = (key ^ row) * _FOLD
@@ -191,8 +202,10 @@ def band_keys(text: str | None) -> np.ndarray:
 
 
 @pandas_udf(ArrayType(LongType()))
-def band_keys_udf(text: pd.Series) -> pd.Series:
-    return pd.Series([band_keys(t) for t in text])
+def band_keys_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for text in batches:
+        yield pd.Series([band_keys(t) for t in text])
+    pa.default_memory_pool().release_unused()
 
 
 def _copies(texts: list[str | None], linked: list[int]) -> list[tuple[int, int]]:
@@ -240,6 +253,7 @@ def _compare_texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = x.iloc[whole:].copy() if whole else x
     if rest is not None and len(rest):
         yield links(rest)
+    pa.default_memory_pool().release_unused()
 
 
 def copy_links(texts: DataFrame, nodes: DataFrame) -> DataFrame:

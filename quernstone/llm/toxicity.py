@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -188,6 +189,7 @@ def score_toxicity(docs: DataFrame, index: BlockMaxIndex, text_col: str = "text"
         known = shared.value
         for texts in batches:
             yield pd.DataFrame([known.score(*terms_of(t)) for t in texts], columns=["score", "evidence"])
+        pa.default_memory_pool().release_unused()  # idle workers keep nothing of the texts
 
     made = fresh(docs, "tox")
     out = docs.withColumn(made, vote(F.col(text_col)))
