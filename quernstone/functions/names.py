@@ -29,6 +29,8 @@ CONTACT = (
     r"([A-ZÀ-Ý][\p{L}'’\-]+(?:\s+(?:van|de|den|der|ter|te)\s+)?(?:\s+[A-ZÀ-Ý][\p{L}'’\-]+){0,2})"
 )
 ADDRESS = r"(?U)\b[A-ZÀ-Ý][\w'’\-]*(?:\s+[A-ZÀ-Ýa-zà-ÿ][\w'’\-]*){0,3}(?:straat|laan|weg|plein|dijk|pad|kade|singel|dwarsstraat|buren|wal|hoek|steeg|gracht)\s+\d+\s?[a-zA-Z]?\b"
+# Fixed values. Lengths of names, organizers and contacts, and words that an organizer has at most, with a dash and without.
+LEAST_LETTERS, ORGANIZER_LENGTH, CONTACT_LENGTH, ORGANIZER_WORDS, DASHED_WORDS = 4, (2, 80), (3, 60), 9, 5
 POSTCODE, FARTHEST_POSTCODE = r"\b\d{4}\s?[A-Z]{2}\b", 30
 
 
@@ -56,19 +58,19 @@ def is_name(name: Column) -> Column:
     words = F.split(collapse(F.regexp_replace(without_weekdays(F.regexp_replace(name, r"[\d:.\-–—/]+", " ")), DATE_WORDS, " ")), " ")
     kept = F.filter(words, lambda w: (F.char_length(w) >= 2) & w.rlike(r"\p{L}"))
     digits = F.regexp_count(name, F.lit(r"\p{Nd}"))
-    return ~name.rlike(MENU) & ~name.rlike(r"\d[A-Z][a-z]") & (digits <= F.floor(F.char_length(name) / 2)) & (F.char_length(F.array_join(kept, "")) >= 4)
+    return ~name.rlike(MENU) & ~name.rlike(r"\d[A-Z][a-z]") & (digits <= F.floor(F.char_length(name) / 2)) & (F.char_length(F.array_join(kept, "")) >= LEAST_LETTERS)
 
 
 def is_organizer(text: Column) -> Column:
     """Whether a text can name an organizer: not the title of a site, no year, few words."""
     words = F.size(F.filter(F.split(text, " "), lambda w: w != ""))
-    dashed = (words > 5) & text.rlike(r"\s[-–—]\s")
-    return F.char_length(text).between(2, 80) & ~text.rlike(SITE_TITLE) & ~F.contains(text, F.lit("|")) & ~text.rlike(r"\b(?:19|20)\d{2}\b") & (words <= 9) & ~dashed
+    dashed = (words > DASHED_WORDS) & text.rlike(r"\s[-–—]\s")
+    return F.char_length(text).between(*ORGANIZER_LENGTH) & ~text.rlike(SITE_TITLE) & ~F.contains(text, F.lit("|")) & ~text.rlike(r"\b(?:19|20)\d{2}\b") & (words <= ORGANIZER_WORDS) & ~dashed
 
 
 def find_contact(text: Column) -> Column:
     found = collapse(F.regexp_extract(F.coalesce(text, F.lit("")), CONTACT, 1))
-    return F.when(F.char_length(found).between(3, 60), found)
+    return F.when(F.char_length(found).between(*CONTACT_LENGTH), found)
 
 
 def find_address(text: Column) -> Column:

@@ -13,6 +13,11 @@ from pyspark.sql.types import DoubleType, StringType
 
 from quernstone.functions.fixed import UNKNOWN
 
+# Fixed values. How e-mail addresses and phone numbers are written, addresses that don't count, digits of a number, and segments of a path that name a language.
+EMAIL, NO_EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", r"(?i)(\.png$|\.jpg$|example\.|^sentry)"
+PHONE, PHONE_DIGITS = r"(?<!\d)(?:\+31[\s\-]?\(?0?\)?[\s\-]?|0)(?:\d[\s\-]?){8,10}\d(?!\d)", (9, 12)
+LANGUAGES = r"(?i)/(?:nl-nl|en-gb|en-us|de-de|nl|en|de|fr)(?=/|$)"
+
 _SPACE_LIKE = str.maketrans({c: " " for c in "-_'’"})
 _ASCII_JUNK = re.compile(r"[^a-z0-9 ]")
 
@@ -137,15 +142,14 @@ def containment(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def find_email(text: Column) -> Column:
     """The first address in a text; null if there is none or it is a picture's name or a placeholder."""
-    found = F.regexp_extract(F.coalesce(text, F.lit("")), r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", 0)
-    return F.when((found != "") & ~found.rlike(r"(?i)(\.png$|\.jpg$|example\.|^sentry)"), found)
+    found = F.regexp_extract(F.coalesce(text, F.lit("")), EMAIL, 0)
+    return F.when((found != "") & ~found.rlike(NO_EMAIL), found)
 
 
 def find_phone(text: Column) -> Column:
     """The first Dutch phone number of 9 to 12 digits; null without one."""
-    pattern = r"(?<!\d)(?:\+31[\s\-]?\(?0?\)?[\s\-]?|0)(?:\d[\s\-]?){8,10}\d(?!\d)"
-    fits = lambda m: F.char_length(F.regexp_replace(m, r"\D", "")).between(9, 12)
-    return collapse_null(F.get(F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0)), fits), F.lit(0)))
+    fits = lambda m: F.char_length(F.regexp_replace(m, r"\D", "")).between(*PHONE_DIGITS)
+    return collapse_null(F.get(F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PHONE), F.lit(0)), fits), F.lit(0)))
 
 
 def collapse_null(text: Column) -> Column:
@@ -175,7 +179,7 @@ def path_of(url: Column) -> Column:
 
 def without_language(path: Column) -> Column:
     """A path without segments that name a language and without slashes at its end."""
-    return F.regexp_replace(F.regexp_replace(path, r"/+$", ""), r"(?i)/(?:nl-nl|en-gb|en-us|de-de|nl|en|de|fr)(?=/|$)", "")
+    return F.regexp_replace(F.regexp_replace(path, r"/+$", ""), LANGUAGES, "")
 
 
 @pandas_udf(DoubleType())

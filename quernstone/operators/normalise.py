@@ -15,14 +15,15 @@ from quernstone.operators.query import completeness, overlaps
 from quernstone.operators.resolve import TEXTS, identify
 from quernstone.plans.steps import settle
 
-FEWEST_LETTERS = 4
+# Fixed values. Letters that a name has at least, and signs that a source is about the island.
+FEWEST_LETTERS, OWN_SOURCES = 4, "terschelling|oerol|skylge|schylge"
 JOINT = " \n "
 
 
 def island_source(homepage: Column, urls: Column, name: Column, default_village: Column) -> Column:
     """Whether a source is about the island by its addresses, name or village."""
     said = F.lower(F.concat_ws(" ", homepage, F.array_join(F.coalesce(urls, F.array().cast("array<string>")), " "), name))
-    return said.rlike("terschelling|oerol|skylge|schylge") | F.coalesce(F.trim(default_village) != "", F.lit(False))
+    return said.rlike(OWN_SOURCES) | F.coalesce(F.trim(default_village) != "", F.lit(False))
 
 
 def _known(*values: Column) -> Column:

@@ -60,11 +60,15 @@ def addresses(template: Column, urls: Column, homepage: Column, first: date, las
     return F.filter(every, lambda u, i: F.array_position(F.transform(every, lambda x: F.lower(x)), F.lower(u)) == i + 1)
 
 
+# Fixed values. Tiers of pages found by searching, by what their host says, the first that fits.
+FOUND_TIERS = (
+    (r"terschelling\.nl|gemeente", 3), (r"vvv|wadden\.nl|friesland\.nl", 4), ("uitagenda|allevents|eventbrite|langetermijnagenda|dagjeweg|festivalinfo|evenementen", 5), ("terschelling|skylge|oerol", 1),
+)
+
+
 def guess_tier(host: Column) -> Column:
     """The tier of a page found by searching, by its host."""
-    says = lambda p: host.rlike(p)
-    ours = F.when(says(r"terschelling\.nl|gemeente"), 3).when(says(r"vvv|wadden\.nl|friesland\.nl"), 4)
-    return ours.when(says("uitagenda|allevents|eventbrite|langetermijnagenda|dagjeweg|festivalinfo|evenementen"), 5).when(says("terschelling|skylge|oerol"), 1).otherwise(5)
+    return F.coalesce(*[F.when(host.rlike(p), tier) for p, tier in FOUND_TIERS], F.lit(OTHER_TIER))
 
 
 def found_sources(hits: DataFrame) -> DataFrame:
