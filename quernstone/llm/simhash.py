@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, LongType
 
-from quernstone.llm.common import attach, cut, having, without
+from quernstone.llm.common import attach, batches_of, cut, having, without
 from quernstone.llm.components import components
 
 WORDS = 4
@@ -32,6 +32,8 @@ COPY_TILE, COPY_BYTES = 4096, 6 << 20
 #: Bands that are compared together. Most copies are linked by the first ones, and a bucket whose texts are all linked already needs no texts.
 ROUNDS = (range(0, 2), range(2, BANDS))
 _BLOCK = 1 << 16
+#: Rows with texts that a Python worker gets at once.
+ROWS_AT_ONCE = 1000
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -287,13 +289,15 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     length = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
-    rows = cut(docs.select(F.col(id_col).alias("id"), node.alias("node"), length.alias("bytes"), band_keys_udf(F.col(text_col)).alias("keys")))
+    with batches_of(docs.sparkSession, ROWS_AT_ONCE):
+        rows = cut(docs.select(F.col(id_col).alias("id"), node.alias("node"), length.alias("bytes"), band_keys_udf(F.col(text_col)).alias("keys")))
     nodes = cut(rows.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("bytes").alias("bytes"), F.first("keys").alias("keys")))
     links, texts = None, docs.select(node.alias("node"), F.col(text_col).alias("text"))
     parts = nodes.select("node", F.col("node").alias("component")).limit(0)
     for bands in ROUNDS:
         now = nodes.join(parts, "node", "left").select("node", "bytes", F.slice("keys", bands.start + 1, len(bands)).alias("keys"), F.coalesce("component", "node").alias("component"))
-        found = cut(copy_links(texts, cut(now)))
+        with batches_of(docs.sparkSession, ROWS_AT_ONCE):
+            found = cut(copy_links(texts, cut(now)))
         links = found if links is None else links.unionByName(found)
         parts = cut(components(links))
     of_node = nodes.select("node", "id", "n").join(parts, "node", "left").where("component is not null or n > 1")
