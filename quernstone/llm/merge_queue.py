@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,7 +24,7 @@ VOCABULARY = "byte_bpe_50k.json"
 REMEMBERED = 300_000
 #: Characters of a text whose matches are held at once; a piece ends at the next place where a match surely ends.
 PIECE = 1 << 20
-#: What the last two shares of a queue entry are: a place takes so many bits.
+#: Bits of a place in a queue entry; the rank stands above them.
 _PLACE = 40
 
 # Letters and numbers that came with Unicode 17, which the tokenizer's own tables (Unicode 16) take for neither.
@@ -62,6 +63,13 @@ class _Remembered(dict):
         return found
 
 
+class _Tokens(dict):
+    """Bytes of ids; none for ids that stand for nothing."""
+
+    def __missing__(self, token: int) -> bytes:
+        return b""
+
+
 class QueueBpe:
     """Encoder and decoder for the content of one tokenizer file (a byte-level BPE with a list of merges and added tokens)."""
 
@@ -71,22 +79,22 @@ class QueueBpe:
         letters = byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}
         self.of_byte = [vocabulary[c] for c in letters]
-        self.rank: dict[tuple[int, int], int] = {}
+        self.entry: dict[tuple[int, int], int] = {}  # of a pair, its rank before the place
         self.made: list[int] = []
         for rank, pair in enumerate(merges):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.rank.setdefault((vocabulary[left], vocabulary[right]), rank)
+            self.entry.setdefault((vocabulary[left], vocabulary[right]), rank << _PLACE)
             self.made.append(vocabulary[left + right])
         added = {t["content"]: t["id"] for t in file["added_tokens"]}
         written = {i: t for t, i in (vocabulary | added).items()}
-        self.token = {i: bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for i, t in written.items()}
+        self.token = _Tokens((i, bytes(map(byte_of.__getitem__, t)) if set(t) <= set(byte_of) else t.encode()) for i, t in written.items())
         self.added = added
         self.at_added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")").split if added else lambda text: [text]
         plain = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")  # what is white space goes by Unicode, as in the library
         self.split = regex.compile(plain).findall
         older = plain.replace(r"\p{L}", rf"[\p{{L}}--[{LATER_LETTERS}]]").replace(r"\p{N}", rf"[\p{{N}}--[{LATER_NUMBERS}]]")
         self.split_later = regex.compile(older, regex.V1).findall
-        self.later = regex.compile(f"[{LATER_LETTERS}{LATER_NUMBERS}]").search
+        self.later = re.compile(f"[{LATER_LETTERS}{LATER_NUMBERS}]").search
         self.ids_of = _Remembered(self.merged)
 
     def merged(self, match: bytes) -> tuple[int, ...]:
@@ -95,26 +103,30 @@ class QueueBpe:
         The symbols are a doubly linked list over the places of the match. The queue holds (rank, place of the left symbol) as one number; an entry whose place is gone or whose
         pair has another rank by now is stale and is skipped. So a match of n bytes takes O(n log n).
         """
-        rank, of_byte = self.rank.get, self.of_byte
-        symbol = [of_byte[b] for b in match]
+        symbol = [*map(self.of_byte.__getitem__, match)]
         n = len(symbol)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [r << _PLACE | i for i in range(n - 1) if (r := rank((symbol[i], symbol[i + 1]))) is not None]
+        queue = [r | i for i, r in enumerate(map(self.entry.get, zip(symbol, symbol[1:]))) if r is not None]
+        if not queue:
+            return tuple(symbol)
         heapify(queue)
+        entry, made, at = self.entry.get, self.made, (1 << _PLACE) - 1
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        symbol.append(None)  # the end, which no pair has
         while queue:
-            entry = heappop(queue)
-            least, i = entry >> _PLACE, entry & (1 << _PLACE) - 1
-            j = after[i]
-            if symbol[i] is None or j == n or rank((symbol[i], symbol[j])) != least:
+            least = heappop(queue)
+            i = least & at
+            left, j = symbol[i], after[i]
+            if left is None or entry((left, symbol[j])) != least - i:
                 continue
-            symbol[i], symbol[j], after[i] = self.made[least], None, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                if (r := rank((symbol[i], symbol[after[i]]))) is not None:
-                    heappush(queue, r << _PLACE | i)
-            if before[i] >= 0 and (r := rank((symbol[before[i]], symbol[i]))) is not None:
-                heappush(queue, r << _PLACE | before[i])
-        return tuple(s for s in symbol if s is not None)
+            symbol[i], symbol[j] = new, _ = made[least >> _PLACE], None
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := entry((new, symbol[k]))) is not None:
+                    heappush(queue, r | i)
+            if (k := before[i]) >= 0 and (r := entry((symbol[k], new))) is not None:
+                heappush(queue, r | k)
+        return tuple([s for s in symbol if s is not None])
 
     def encode(self, text: str) -> array:
         out = array("I")
@@ -122,15 +134,24 @@ class QueueBpe:
             if k % 2:
                 out.append(self.added[part])
                 continue
-            split = self.split if part.isascii() or not self.later(part) else self.split_later
+            split = self.split if _latin(part) or not self.later(part) else self.split_later
             for piece in pieces(part):
                 out.extend(chain.from_iterable(map(self.ids_of.__getitem__, split(piece))))
         return out
 
     def decode(self, ids: np.ndarray, skip: frozenset[int] = frozenset()) -> str:
         """The tokens' strings one after another; ids that stand for nothing are left out, bytes that are no UTF-8 become U+FFFD."""
-        token = self.token.get
-        return b"".join(token(i, b"") for i in ids.tolist() if i not in skip).decode("utf-8", "replace")
+        kept = (i for i in ids.tolist() if i not in skip) if skip else ids.tolist()
+        return b"".join(map(self.token.__getitem__, kept)).decode("utf-8", "replace")
+
+
+def _latin(text: str) -> bool:
+    """Whether text has Latin-1 characters only, as a quick test."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def pieces(text: str, size: int = PIECE) -> Iterator[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import bpe, exact_dedup, language, mixing, parsing, pii, secrets, simhash, toxicity, url_filter
+from quernstone.llm import bpe, exact_dedup, language, merge_queue, mixing, parsing, pii, secrets, simhash, toxicity, url_filter
 from quernstone.llm.common import crc_mod, table
 
 
@@ -53,7 +53,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic").alias("predicted"), "evidence")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_fingerprints, op4_exact_dedup, op5_bpe, op6_simhash, op7_pii, op8_secrets, op9_language, op10_toxicity)}
+def op11_merge_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_queue.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_fingerprints, op4_exact_dedup, op5_bpe, op6_simhash, op7_pii, op8_secrets, op9_language, op10_toxicity, op11_merge_queue)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
