@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Most keys that are ever broadcast as "hot": a key is hot if it holds more than rows / HOT_KEYS rows.
@@ -145,3 +145,17 @@ def about(rows: DataFrame, key: Column, bound: int, count: int) -> DataFrame:
     if count <= bound:
         return rows
     return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * bound / count))
+
+
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with a column `name` (1, 2, ... in the given order): sorted in ranges, with the rows of the ranges before counted.
+
+    Give an order without ties, so that no range holds a third of all rows. The counts of the ranges (one row for each shuffle partition) are broadcast.
+    """
+    part, inside, before = fresh(df, "part", "inside", "before")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = cut(df.repartitionByRange(n, *order).withColumn(part, F.spark_partition_id()))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = parts.groupBy(part).agg(F.count("*").alias(inside)).select(part, F.coalesce(F.sum(inside).over(earlier), F.lit(0)).alias(before))
+    row = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return parts.join(F.broadcast(counts), part).withColumn(name, (row + F.col(before)).cast("long")).drop(part, before)

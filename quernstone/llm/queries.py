@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import bpe, exact_dedup, language, merge_queue, mixing, parsing, pii, secrets, simhash, toxicity, url_filter
+from quernstone.llm import bpe, divergence, exact_dedup, language, merge_queue, mixing, parsing, pii, resampling, secrets, simhash, toxicity, url_filter
 from quernstone.llm.common import crc_mod, table
 
 
@@ -57,7 +57,16 @@ def op11_merge_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_queue.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_fingerprints, op4_exact_dedup, op5_bpe, op6_simhash, op7_pii, op8_secrets, op9_language, op10_toxicity, op11_merge_queue)}
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resampling.resample(docs, table(spark, sf_dir, "benchmark").select("text"), keep_text=False)
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_fingerprints, op4_exact_dedup, op5_bpe, op6_simhash, op7_pii, op8_secrets, op9_language, op10_toxicity, op11_merge_queue, op12_resampling, op13_divergence)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
@@ -77,4 +86,22 @@ ORACLE_SQL = {
               FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, size, source_size, target::DOUBLE AS target,
                (passes * size + least(size, greatest(0, floor(target)::BIGINT - passes * source_size - pos)))::BIGINT AS taken FROM r""",
+    "op13_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS found FROM documents),
+        t AS (SELECT r, lang, source, unnest(found) AS term FROM d),
+        k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+        v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+        c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        s AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+        p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (s.n + 2 * v.v)::HUGEINT AS p,
+                     1 + (1000000000::HUGEINT * (k.n + 2)) // (v.n + 2 * v.v)::HUGEINT AS q
+              FROM s JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+        f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+              UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q),
+        o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r)
+        SELECT * FROM o WHERE part = 'pair' OR rank <= 10""",
 }
