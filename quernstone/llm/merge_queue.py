@@ -17,11 +17,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
+
+from quernstone.llm.common import fresh
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Matches whose ids a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+#: Rows of a batch whose ids are held at once.
+ROWS = 500
 #: Characters of a text whose matches are held at once; a piece ends at the next place where a match surely ends.
 PIECE = 1 << 20
 #: Bits of a place in a queue entry; the rank stands above them.
@@ -174,27 +178,34 @@ def _queue(content: bytes) -> QueueBpe:
     return QueueBpe(content)
 
 
+_OUT = StructType([StructField("ids", BinaryType()), StructField("decoded", StringType())])
+
+
 def _content(path: str | None) -> bytes:
     with open(path or public_tokenizers.path(VOCABULARY), "rb") as file:
         return file.read()
 
 
-def encode_documents(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """docs with ids: token ids as little-endian unsigned 32-bit integers, without special tokens around them.
+def encode_documents(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None, decoded_col: str | None = None) -> DataFrame:
+    """docs with ids: token ids as little-endian unsigned 32-bit integers, without special tokens around them; with decoded_col also the text they decode to.
 
     Null and empty texts have no ids. An added token's own string in a text is that token, as in the library whose ids these are. Very long texts are read whole, piece by
-    piece; a run of one character without an end takes O(n log n). Repeated rows are encoded each time; an empty table gives an empty result. A
-    column named like ids_col is replaced, all others stay. The tokenizer file (path; bounded by its size) is read by the driver and sent with the function.
+    piece; a run of one character without an end takes O(n log n). Repeated rows are encoded each time; an empty table gives an empty result.
+    Columns named like the new ones are replaced, all others stay. The tokenizer file (path; bounded by its size) is read by the driver and sent with the function.
     """
     content = _content(path)
 
-    @pandas_udf(BinaryType())
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @pandas_udf(_OUT)
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = _queue(content)
-        for texts in batches:
-            yield pd.Series([np.asarray(bpe.encode(t or ""), dtype="<u4").tobytes() for t in texts], dtype=object)
+        for batch in batches:
+            for start in range(0, len(batch), ROWS):
+                ids = [np.asarray(bpe.encode(t or ""), dtype="<u4") for t in batch.iloc[start : start + ROWS]]
+                yield pd.DataFrame({"ids": [x.tobytes() for x in ids], "decoded": [bpe.decode(x) for x in ids] if decoded_col else None}, columns=["ids", "decoded"], dtype=object)
 
-    return docs.withColumn(ids_col, ids(F.col(text_col)))
+    made = fresh(docs, "bpe")
+    columns = {ids_col: F.col(f"{made}.ids")} | ({decoded_col: F.col(f"{made}.decoded")} if decoded_col else {})
+    return docs.withColumn(made, both(F.col(text_col))).withColumns(columns).drop(made)
 
 
 def decode_documents(rows: DataFrame, ids_col: str = "ids", text_col: str = "decoded", path: str | None = None, skip_special_tokens: bool = False) -> DataFrame:
@@ -218,7 +229,7 @@ def decode_documents(rows: DataFrame, ids_col: str = "ids", text_col: str = "dec
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_tokens, and the hashes of its ids and of the text they decode to. Odd rows are as in encode_documents."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = decode_documents(encode_documents(rows))
+    out = encode_documents(rows, decoded_col="decoded")
     return out.select(
         F.col("doc_id").alias(id_col),
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
