@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import StringType
 
 from quernstone.functions.fixed import UNKNOWN
 
@@ -41,13 +41,31 @@ def _slug_of_others(text: pd.Series) -> pd.Series:
     return text.map(slug_text, na_action="ignore")
 
 
+def _latin() -> tuple[str, str]:
+    """What becomes of the characters of Latin texts in a slug, as two strings for translate: those beyond the second one's end vanish."""
+    one, none = {}, []
+    for c in map(chr, [*range(0x250), *range(0x2000, 0x2070), 0x20AC]):
+        made = " " if c == " " else slug_text(f"x{c}x")[1:-1]
+        if not made:
+            none.append(c)
+        elif made != c:
+            one[c] = made
+    return "".join([*one, *none]), "".join(one.values())
+
+
+#: Texts of no other characters are folded by built-in functions: Latin letters with and without marks, general punctuation, the euro sign.
+LATIN_ONLY = "^[\\x{0}-\\x{24F}\\x{2000}-\\x{206F}\\x{20AC}]*$"
+_FROM, _TO = _latin()
+
+
 def slug(text: Column | str) -> Column:
-    """slug_text of a column. Pure ASCII texts stay with the built-in functions; only the others are sent to Python."""
+    """slug_text of a column. Latin texts stay with the built-in functions; only the others are sent to Python."""
     given = F.col(text) if isinstance(text, str) else text
-    ascii_only = F.octet_length(given) == F.char_length(given)
+    ascii_only, latin = F.octet_length(given) == F.char_length(given), given.rlike(LATIN_ONLY)
+    once = lambda c: F.trim(F.regexp_replace(c, " +", " "))
     kept = F.regexp_replace(F.translate(F.lower(given), "-_'", "   "), "[^a-z0-9 ]", "")
-    plain = F.trim(F.regexp_replace(kept, " +", " "))
-    return F.coalesce(F.when(ascii_only, plain), _slug_of_others(F.when(~ascii_only, given)), F.lit(""))
+    built_in = F.when(ascii_only, once(kept)).when(latin, once(F.translate(given, _FROM, _TO)))
+    return F.coalesce(built_in, _slug_of_others(F.when(~ascii_only & ~latin, given)), F.lit(""))
 
 
 def is_unknown(text: Column) -> Column:
@@ -83,61 +101,62 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).when((a == "") | (b == ""), 0.0).otherwise(1 - F.levenshtein(a, b) / F.greatest(longest, F.lit(1)))
 
 
-def _near(a: str, b: str) -> bool:
-    """Whether two words are the same but for an ending, a part or a fifth of their letters."""
-    if a == b:
-        return True
-    if min(len(a), len(b)) < 5:
-        return False
-    if a in b or b in a:
-        return True
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        corner, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            corner, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, corner + (x != y))
-    return 1 - row[-1] / max(len(a), len(b)) >= 0.80
+# Fixed values. Letters from which words may differ, their least likeness then, letters of a name that may be contained, and what containing it is worth.
+LONG_WORD, NEAR_WORD, LONG_NAME, CONTAINED = 5, 0.80, 8, 0.75
+
+
+def words(text: Column | str) -> Column:
+    """The words of a name in order, without years."""
+    given = F.col(text) if isinstance(text, str) else text
+    return tokens(slug(F.regexp_replace(F.coalesce(given, F.lit("")), r"(?U)\b(19|20)\d{2}\b", " ")))
 
 
-def _paired(a: list[str], b: list[str]) -> int:
-    """Words of a, in order, that find a word of b of their own."""
-    left, count = list(b), 0
-    for word in a:
-        at = next((k for k, other in enumerate(left) if _near(word, other)), None)
-        if at is not None:
-            del left[at]
-            count += 1
-    return count
+def words_match(a: Column, b: Column) -> Column:
+    """Whether two words are the same but for an ending, a part or a fifth of their letters."""
+    long = F.least(F.char_length(a), F.char_length(b)) >= LONG_WORD
+    near = 1 - F.levenshtein(a, b) / F.greatest(F.char_length(a), F.char_length(b), F.lit(1)) >= NEAR_WORD
+    return (a == b) | (long & (F.contains(a, b) | F.contains(b, a) | near))
 
 
-_YEAR = re.compile(r"\b(19|20)\d{2}\b")
+def paired(a: Column, b: Column) -> Column:
+    """How many words of list a, in order, find a word of list b of their own: the first left that matches. The state of the fold is the words left and the count."""
+    start = F.struct(b.alias("left"), F.lit(0).alias("n"))
 
+    def step(state: Column, word: Column) -> Column:
+        left, n = state["left"], state["n"]
+        at = F.array_position(F.transform(left, lambda other: words_match(word, other)), True)
+        rest = F.filter(left, lambda _, i: i + 1 != at)
+        return F.struct(rest.alias("left"), (n + F.when(at > 0, 1).otherwise(0)).alias("n"))
 
-def _words(text: str | None) -> list[str]:
-    return slug_text(_YEAR.sub(" ", text or "")).split()
+    return F.aggregate(a, start, step, lambda state: state["n"])
 
 
-@pandas_udf(DoubleType())
-def fuzzy_token_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Words paired one to one with tolerance, over all words of both names; years don't count."""
+def words_alike(a: Column, b: Column, found: Column | None = None) -> Column:
+    """Words of two lists that are paired one to one with tolerance, over all words of both; 0 if either has none. found: paired(a, b), if it is known."""
+    found = paired(a, b) if found is None else found
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(found / F.greatest(F.size(a) + F.size(b) - found, F.lit(1)))
 
-    def of(x: str, y: str) -> float:
-        p, q = _words(x), _words(y)
-        found = _paired(p, q)
-        return found / (len(p) + len(q) - found) if p and q else 0.0
 
-    return pd.Series([of(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+def words_contained(a: Column, b: Column, found: Column | None = None, back: Column | None = None) -> Column:
+    """CONTAINED if each word of the shorter list (a if both are as long) has a match of its own in the longer one and has letters enough together; else 0.
 
+    found and back: paired(a, b) and paired(b, a), if they are known.
+    """
+    first = F.size(a) <= F.size(b)
+    few, many = F.when(first, a).otherwise(b), F.when(first, b).otherwise(a)
+    letters = F.char_length(F.array_join(few, ""))
+    whole = paired(few, many) if found is None else F.when(first, found).otherwise(back)
+    return F.when((F.size(few) > 0) & (letters >= LONG_NAME) & (whole == F.size(few)), CONTAINED).otherwise(0.0)
 
-@pandas_udf(DoubleType())
-def containment(a: pd.Series, b: pd.Series) -> pd.Series:
-    """0.75 if each word of the shorter name, of 8 letters at least, has its own match in the longer one; else 0."""
 
-    def of(x: str, y: str) -> float:
-        p, q = sorted((_words(x), _words(y)), key=len)
-        return 0.75 if p and sum(map(len, p)) >= 8 and _paired(p, q) == len(p) else 0.0
+def fuzzy_token_similarity(a: Column | str, b: Column | str) -> Column:
+    """Words of two names paired one to one with tolerance, over all words of both; years don't count."""
+    return words_alike(words(a), words(b))
 
-    return pd.Series([of(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+
+def containment(a: Column | str, b: Column | str) -> Column:
+    """0.75 if each word of the shorter name, of 8 letters at least, has its own match in the longer one; else 0."""
+    return words_contained(words(a), words(b))
 
 
 def find_email(text: Column) -> Column:
@@ -182,17 +201,7 @@ def without_language(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"/+$", ""), LANGUAGES, "")
 
 
-@pandas_udf(DoubleType())
-def word_likeness(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The larger one of fuzzy_token_similarity and containment, with the words paired once where both ways agree."""
-
-    def of(x: str, y: str) -> float:
-        p, q = _words(x), _words(y)
-        if not p or not q:
-            return 0.0
-        found = _paired(p, q)
-        few, many = sorted((p, q), key=len)
-        whole = sum(map(len, few)) >= 8 and (found if few is p else _paired(few, many)) == len(few)
-        return max(found / (len(p) + len(q) - found), 0.75 if whole else 0.0)
-
-    return pd.Series([of(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+def word_likeness(a: Column | str, b: Column | str) -> Column:
+    """The larger one of fuzzy_token_similarity and containment."""
+    p, q = words(a), words(b)
+    return F.greatest(words_alike(p, q), words_contained(p, q))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -14,3 +15,21 @@ def settle(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+#: Most keys that are broadcast as hot ones: a key is hot if it has more than total / HOT_KEYS rows.
+HOT_KEYS = 20_000
+
+
+def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
+    """rows joined with groups (one slim row for each key) so that no hot key meets in one task.
+
+    groups has the number of rows of its key in column `size`. Keys of more than a 20,000th of all these rows, of which there are 20,000 at most, are broadcast; the others meet in
+    a shuffle. Both inputs are read twice, so pass settled ones. Keys must not be null. how is inner or left.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = groups.where(F.col(size) > total // HOT_KEYS)
+    cold = groups.where(F.col(size) <= total // HOT_KEYS)
+    on_hot = rows.join(F.broadcast(hot), keys)
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return on_hot.unionByName(others.join(cold, keys, how))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 from quernstone.functions import text
 from quernstone.operators import resolve
@@ -34,14 +35,34 @@ def lev(a, b):
     return row[-1]
 
 
+def near(a, b):
+    return a == b or (min(len(a), len(b)) >= 5 and (a in b or b in a or 1 - lev(a, b) / max(len(a), len(b)) >= 0.80))
+
+
+def paired(a, b):
+    left, n = list(b), 0
+    for word in a:
+        at = next((k for k, other in enumerate(left) if near(word, other)), None)
+        if at is not None:
+            del left[at]
+            n += 1
+    return n
+
+
+def words(name):
+    return text.slug_text(re.sub(r"\b(19|20)\d{2}\b", " ", name)).split()
+
+
 def alike(a, b):
     x, y = text.slug_text(a), text.slug_text(b)
+    if not x or not y:
+        return float(x == y)
     letters = 1 - lev(x, y) / max(len(x), len(y))
-    p, q = text._words(a), text._words(b)
-    m = text._paired(p, q)
+    p, q = words(a), words(b)
+    m = paired(p, q)
     few, many = sorted((p, q), key=len)
-    whole = 0.75 if sum(map(len, few)) >= 8 and text._paired(few, many) == len(few) else 0
-    return max(letters, len(set(x.split()) & set(y.split())) / len(set(x.split()) | set(y.split())), m / (len(p) + len(q) - m), whole)
+    whole = 0.75 if few and sum(map(len, few)) >= 8 and paired(few, many) == len(few) else 0
+    return max(letters, len(set(x.split()) & set(y.split())) / len(set(x.split()) | set(y.split())), m / (len(p) + len(q) - m) if p and q else 0, whole)
 
 
 def bare(e):
