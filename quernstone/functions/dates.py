@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quernstone.functions.fixed import MONTHS
-from quernstone.functions.text import collapse
+from quernstone.functions.text import collapse, let
 
 _NAMES = "|".join(sorted(MONTHS, key=lambda m: (-len(m), m)))
 # Fixed values. How dates and times are written.
@@ -39,8 +41,10 @@ def _date(y: Column, m: Column, d: Column) -> Column:
     return F.when(y.between(1900, 2200) & m.isNotNull() & d.isNotNull(), made)
 
 
-def _parts(text: Column, pattern: str, count: int) -> list[Column]:
-    return [F.regexp_extract(text, pattern, i) for i in range(1, count + 1)]
+def _parts(text: Column, pattern: str, count: int, use: Callable[..., Column]) -> Column:
+    """use of the groups of the first match, empty without one; the text is scanned once."""
+    groups = lambda found: F.array(*[F.regexp_extract(found, pattern, i) for i in range(1, count + 1)])
+    return let(let(F.regexp_extract(text, pattern, 0), groups), lambda p: use(*[F.get(p, F.lit(i)) for i in range(count)]))
 
 
 def _int(text: Column) -> Column:
@@ -56,40 +60,57 @@ def _span(start: Column, end: Column) -> Column:
     return F.struct(start.alias("start"), end.alias("end"))
 
 
+def _ordered(start: Column, end: Column, farthest: int | None = None) -> Column:
+    """The span from start on, with its end if that comes later and not too late; null without a start."""
+
+    def made(p: Column) -> Column:
+        first, last = p["start"], p["end"]
+        fits = last > first if farthest is None else (last > first) & (F.datediff(last, first) <= farthest)
+        return F.when(first.isNotNull(), _span(first, F.when(fits, last)))
+
+    return let(_span(start, end), made)
+
+
 def date_range(text: Column, year: Column) -> Column:
     """The first date or range of dates in a text (struct start, end), null without one; year stands in where none is given.
 
     ISO dates come first, then ranges across months, ranges within a month, single dates in words, and day-month-year in digits;
     a form whose day doesn't exist gives way to the next one.
     """
-    t = plain(text)
-    iso = F.regexp_extract_all(t, F.lit(ISO), F.lit(0))
-    iso_at = lambda i: (lambda p: _date(_int(p[0]), _int(p[1]), _int(p[2])))(_parts(F.coalesce(F.get(iso, F.lit(i)), F.lit("")), ISO, 3))
-    first, second = iso_at(0), iso_at(1)
-    by_iso = F.when(first.isNotNull(), _span(first, F.when(second > first, second)))
-
-    d1, m1, y1, d2, m2, y2 = _parts(t, ACROSS_MONTHS, 6)
-    end_year = _year(y2, year)
-    start = _date(_year(y1, F.when(_month(m1) > _month(m2), end_year - 1).otherwise(end_year)), _month(m1), _int(d1))
-    end = _date(end_year, _month(m2), _int(d2))
-    across = F.when(start.isNotNull() & end.isNotNull(), _span(start, F.when(end > start, end)))
-
-    d1, d2, m, y = _parts(t, WITHIN_MONTH, 4)
-    start, end = _date(_year(y, year), _month(m), _int(d1)), _date(_year(y, year), _month(m), _int(d2))
-    within = F.when(start.isNotNull() & end.isNotNull(), _span(start, F.when(end > start, end)))
-
-    said = F.regexp_extract_all(t, F.lit(TEXTUAL), F.lit(0))
-    d, m, y = _parts(F.coalesce(F.get(said, F.lit(0)), F.lit("")), TEXTUAL, 3)
-    start = _date(_year(y, year), _month(m), _int(d))
-    d2, m2, y2 = _parts(F.coalesce(F.get(said, F.lit(1)), F.lit("")), TEXTUAL, 3)
-    end = _date(_year(y2, _year(y, year)), _month(m2), _int(d2))
-    textual = F.when(start.isNotNull(), _span(start, F.when((end > start) & (F.datediff(end, start) <= FARTHEST_END), end)))
-
-    d, m, y = _parts(t, NUMERIC, 3)
-    whole = F.when(_int(y) < 100, _int(y) + 2000).otherwise(_int(y))
-    digits = _date(whole, _int(m), _int(d))
-    numeric = F.when(digits.isNotNull(), _span(digits, F.lit(None).cast("date")))
-    return F.coalesce(by_iso, across, within, textual, numeric)
+    def whole(start: Column, end: Column) -> Column:
+        """The span if both days exist."""
+        return let(_span(start, end), lambda p: F.when(p["start"].isNotNull() & p["end"].isNotNull(), _ordered(p["start"], p["end"])))
+
+    def across(d1: Column, m1: Column, y1: Column, d2: Column, m2: Column, y2: Column) -> Column:
+        given = F.struct(_month(m1).alias("m1"), _month(m2).alias("m2"), _year(y2, year).alias("y"))
+        return let(given, lambda g: whole(_date(_year(y1, F.when(g["m1"] > g["m2"], g["y"] - 1).otherwise(g["y"])), g["m1"], _int(d1)), _date(g["y"], g["m2"], _int(d2))))
+
+    def within(d1: Column, d2: Column, m: Column, y: Column) -> Column:
+        return let(F.struct(_month(m).alias("m"), _year(y, year).alias("y")), lambda g: whole(_date(g["y"], g["m"], _int(d1)), _date(g["y"], g["m"], _int(d2))))
+
+    def in_words(said: Column) -> Column:
+        one = _parts(F.coalesce(F.get(said, F.lit(0)), F.lit("")), TEXTUAL, 3, lambda d, m, y: F.struct(_year(y, year).alias("y"), _month(m).alias("m"), _int(d).alias("d")))
+        two = lambda g: _parts(F.coalesce(F.get(said, F.lit(1)), F.lit("")), TEXTUAL, 3, lambda d, m, y: _date(_year(y, g["y"]), _month(m), _int(d)))
+        return let(one, lambda g: _ordered(_date(g["y"], g["m"], g["d"]), two(g), FARTHEST_END))
+
+    def in_digits(d: Column, m: Column, y: Column) -> Column:
+        whole_year = let(_int(y), lambda n: F.when(n < 100, n + 2000).otherwise(n))
+        return let(_date(whole_year, _int(m), _int(d)), lambda day: F.when(day.isNotNull(), _span(day, F.lit(None).cast("date"))))
+
+    def iso(found: Column) -> Column:
+        at = lambda i: _parts(F.coalesce(F.get(found, F.lit(i)), F.lit("")), ISO, 3, lambda y, m, d: _date(_int(y), _int(m), _int(d)))
+        return _ordered(at(0), at(1))
+
+    def read(t: Column) -> Column:
+        return F.coalesce(
+            let(F.regexp_extract_all(t, F.lit(ISO), F.lit(0)), iso),
+            _parts(t, ACROSS_MONTHS, 6, across),
+            _parts(t, WITHIN_MONTH, 4, within),
+            let(F.regexp_extract_all(t, F.lit(TEXTUAL), F.lit(0)), in_words),
+            _parts(t, NUMERIC, 3, in_digits),
+        )
+
+    return let(plain(text), read)
 
 
 def _minutes(h: Column, m: Column) -> Column:
@@ -98,15 +119,18 @@ def _minutes(h: Column, m: Column) -> Column:
 
 def times(text: Column) -> Column:
     """Start and end in minutes of the day (struct start, end), both null if no time is written."""
-    t = plain(text)
-    h1, m1, h2, m2 = _parts(t, TIME_RANGE, 4)
-    ranged = _minutes(h1, m1)
-    each = F.transform(F.regexp_extract_all(t, F.lit(STRICT_TIME), F.lit(0)), lambda x: _minutes(F.regexp_extract(x, STRICT_TIME, 1), F.regexp_extract(x, STRICT_TIME, 2)))
-    found = F.array_compact(each)
-    second = F.when(t.rlike(RANGE_WORD), F.get(found, F.lit(1)))
     none = F.lit(None).cast("int")
-    loose = _minutes(F.regexp_extract(t, LOOSE_TIME, 1), F.lit("0"))
-    return F.when(ranged.isNotNull(), _span(ranged, _minutes(h2, m2))).when(F.size(found) > 0, _span(F.get(found, F.lit(0)), second)).otherwise(_span(loose, none))
+
+    def singly(t: Column) -> Column:
+        each = F.transform(F.regexp_extract_all(t, F.lit(STRICT_TIME), F.lit(0)), lambda x: _minutes(F.regexp_extract(x, STRICT_TIME, 1), F.regexp_extract(x, STRICT_TIME, 2)))
+        second = lambda found: F.when(t.rlike(RANGE_WORD), F.get(found, F.lit(1)))
+        loose = _minutes(F.regexp_extract(t, LOOSE_TIME, 1), F.lit("0"))
+        return let(F.array_compact(each), lambda found: F.when(F.size(found) > 0, _span(F.get(found, F.lit(0)), second(found))).otherwise(_span(loose, none)))
+
+    def ranged(h1: Column, m1: Column, h2: Column, m2: Column) -> Column:
+        return let(_minutes(h1, m1), lambda start: F.when(start.isNotNull(), _span(start, _minutes(h2, m2))))
+
+    return let(plain(text), lambda t: F.coalesce(_parts(t, TIME_RANGE, 4, ranged), singly(t)))
 
 
 def sane(date: Column, end_date: Column, start: Column, end: Column) -> dict[str, Column]:

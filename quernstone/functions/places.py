@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,21 +44,59 @@ class Place:
         return [n for n in (self.name, *self.variants) if n and n.strip()]
 
 
-@dataclass
-class Gazetteer:
-    """A list of places of some hundreds at most, which travels with the functions that use it."""
+_JOINTS = re.compile(r"[\s\-]+")
 
-    places: list[Place]
-    patterns: list[tuple[re.Pattern, str]] = field(init=False)
 
-    def __post_init__(self) -> None:
+def _folded(text: str) -> str:
+    """Text in which all that a name's pattern takes for the same is the same: cases, and runs of white space and hyphens."""
+    return _JOINTS.sub(" ", text.replace("\u00a0", " ").casefold().replace("ı", "i").replace("i\u0307", "i"))
+
+
+class _Finder:
+    """One automaton over all names of a gazetteer: a text is read once, and only names that are found in it are looked at closely."""
+
+    def __init__(self, places: tuple[Place, ...]):
         found = []
-        for p in self.places:
+        for p in places:
             for name in {n.lower(): n for n in reversed(p.names)}.values():
                 if len(name) >= FEWEST_LETTERS:
-                    body = r"[\s\-]+".join(map(re.escape, name.split(" ")))
-                    found.append((-WEIGHTS.get(p.kind, OTHER_WEIGHT) - min(len(name), MOST_LETTERS), re.compile(rf"(?<![^\W_]){body}(?![^\W_])", re.IGNORECASE), p.name))
-        self.patterns = [(rx, name) for _, rx, name in sorted(found, key=lambda x: x[0])]  # stable, so equal ones keep their order
+                    found.append((-WEIGHTS.get(p.kind, OTHER_WEIGHT) - min(len(name), MOST_LETTERS), name, p.name))
+        self.names = [(name, place) for _, name, place in sorted(found, key=lambda x: x[0])]  # stable, so equal ones keep their order
+        by_letters: dict[str, list[int]] = {}
+        for i, (name, _) in enumerate(self.names):
+            by_letters.setdefault(_folded(name), []).append(i)
+        self.automaton = ahocorasick.Automaton()
+        for letters, which in by_letters.items():
+            self.automaton.add_word(letters, which)
+        if by_letters:
+            self.automaton.make_automaton()
+        self.patterns: dict[int, re.Pattern] = {}
+
+    def _fits(self, i: int, hay: str) -> bool:
+        """Whether name i stands in hay between other characters than letters and digits."""
+        if i not in self.patterns:
+            body = r"[\s\-]+".join(map(re.escape, self.names[i][0].split(" ")))
+            self.patterns[i] = re.compile(rf"(?<![^\W_]){body}(?![^\W_])", re.IGNORECASE)
+        return self.patterns[i].search(hay) is not None
+
+    def __call__(self, text: str | None) -> list[str]:
+        hay = (text or "").replace("\u00a0", " ")
+        if not self.names or not hay.strip():
+            return []
+        near = sorted({i for _, which in self.automaton.iter(_folded(hay)) for i in which})
+        return list(dict.fromkeys(self.names[i][1] for i in near if self._fits(i, hay)))
+
+
+@lru_cache(4)
+def _finder(places: tuple[Place, ...]) -> _Finder:
+    return _Finder(places)
+
+
+@dataclass
+class Gazetteer:
+    """A list of places of some thousands at most, which travels with the functions that use it."""
+
+    places: list[Place]
 
     @classmethod
     def of(cls, rows: DataFrame) -> Gazetteer:
@@ -68,14 +108,17 @@ class Gazetteer:
 
     def found_in(self, text: str | None) -> list[str]:
         """Names of the places that a text mentions, the weightiest first."""
-        hay = (text or "").replace(" ", " ")
-        return list(dict.fromkeys(name for rx, name in self.patterns if rx.search(hay))) if hay.strip() else []
+        return _finder(tuple(self.places))(text)
 
     def find(self, text: Column) -> Column:
+        """found_in of a column. A Python worker builds the automaton once."""
+        places = tuple(self.places)
+
         @pandas_udf(ArrayType(StringType()))
         def names(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            finder = _finder(places)
             for texts in batches:
-                yield texts.map(self.found_in)
+                yield texts.map(finder)
 
         return names(text)
 

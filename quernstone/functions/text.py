@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -68,6 +69,11 @@ def slug(text: Column | str) -> Column:
     return F.coalesce(built_in, _slug_of_others(F.when(~ascii_only & ~latin, given)), F.lit(""))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def is_unknown(text: Column) -> Column:
     return F.coalesce(F.lower(F.trim(text)).isin("", UNKNOWN.lower()), F.lit(True))
 

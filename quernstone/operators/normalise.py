@@ -42,7 +42,7 @@ def normalise(raws: DataFrame, sources: DataFrame, gazetteer: places.Gazetteer,
     raws: ord, source_id, page_url, name, date_text, start_iso, end_iso, time_text, description, location_name, address, organizer, phone, email,
     website, price_text, ticket_url, detail_url, raw_text, categories. sources: id, name, homepage, agenda_urls, tier (1 to 6),
     discovered, default_village, default_location_name, default_address, default_categories. All may hold nulls. Narrow but for the join with the
-    sources, a small table. The gates come as early as what they need. Rows are settled twice, as one plan of all expressions takes long to compile.
+    sources, a small table. The gates come as early as what they need. Rows are settled three times, so that what is found once isn't worked out again in all that is made of it.
     """
     src = sources.select(*[F.col(c).alias(f"src_{c}") for c in ("id", "name", "homepage", "agenda_urls", "tier", "discovered", "default_village", "default_location_name", "default_address", "default_categories")])
     rows = raws.join(src, F.col("source_id") == F.col("src_id"))
@@ -79,14 +79,14 @@ def normalise(raws: DataFrame, sources: DataFrame, gazetteer: places.Gazetteer,
         "_reservation": price.reservation(slug(F.coalesce("raw_text", "description"))),
         "primary_url": detail,
     })
+    rows = rows.withColumns({"_contact": names.find_contact(F.col("raw_text")), "_phone": _known(F.col("_phone"), names.clean(find_phone(F.col("raw_text")))), "_email": _known(F.col("_email"), names.clean(find_email(F.col("raw_text"))))})
     none = F.array().cast("array<string>")
     defaults = F.coalesce("src_default_categories", none)
     rows = rows.withColumn("_said", names.slug_of(F.col("name"), F.col("_description"), F.col("_location"), F.array_join(F.coalesce("categories", none), " "), F.array_join(defaults, " ")))
     own = classify(F.col("_said"), keywords)
     out = {
-        "description": F.col("_description"), "location_name": F.col("_location"), "address": F.col("_address"), "organizer": F.col("_organizer"), "contact_person": names.find_contact(F.col("raw_text")),
-        "phone": _known(F.col("_phone"), names.clean(find_phone(F.col("raw_text")))), "email": _known(F.col("_email"), names.clean(find_email(F.col("raw_text")))),
-        "website": F.col("_website"), "price": F.col("_price.price"), "ticket_url": F.col("_ticket_url"), "village": F.col("village"),
+        "description": F.col("_description"), "location_name": F.col("_location"), "address": F.col("_address"), "organizer": F.col("_organizer"), "contact_person": F.col("_contact"),
+        "phone": F.col("_phone"), "email": F.col("_email"), "website": F.col("_website"), "price": F.col("_price.price"), "ticket_url": F.col("_ticket_url"), "village": F.col("village"),
     }
     plain = {c: F.coalesce(F.when(~is_unknown(v), v), F.lit(UNKNOWN)) for c, v in out.items()}
     method = F.col("method") if "method" in raws.columns else F.lit(None).cast("string")
@@ -97,6 +97,7 @@ def normalise(raws: DataFrame, sources: DataFrame, gazetteer: places.Gazetteer,
         F.array(F.struct("source_id", F.col("src_name").alias("source_name"), F.col("src_tier").cast("int").alias("tier"), F.col("primary_url").alias("url"))).alias("sources"),
         method.alias("method"), F.lit(now).alias("checked_at"), "page_url", "raw_text", island_source(F.col("src_homepage"), F.col("src_agenda_urls"), F.col("src_name"), F.col("src_default_village")).alias("_island"),
     )
+    rows = settle(rows)  # else the gate's expressions, that is all of them, are worked out twice
     hay = F.concat_ws(JOINT, "name", "description", "location_name", "address", "village", "raw_text", "page_url")
     rows = rows.where(gazetteer.on_island(hay, F.col("page_url"), F.col("_island"))).drop("_island", "page_url", "raw_text")
     filled = [~is_unknown(F.col(c)) for c in ("name", *TEXTS)] + [F.col(c).isNotNull() for c in ("date", "start", "end")] + [F.col("price_kind") != UNKNOWN, F.col("reservation") != UNKNOWN, F.size("categories") > 0]

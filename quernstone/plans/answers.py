@@ -238,8 +238,8 @@ def _payloads(spark, sf_dir) -> DataFrame:
 
 
 @query_of("""WITH e AS (SELECT DATE '2026-06-01' + (s_suppkey % 28)::INT AS date, 'Concert ' || ['veemarkt', 'zangkoor', 'luchtballon'][s_suppkey % 3 + 1] AS name, s_suppkey % 4 < 2 AS own, s_suppkey % 4 = 2 AS old FROM supplier),
-    g AS (SELECT date, name, count(*) AS duplicate_count, bool_or(own) AS own, bool_or(old) AS old FROM e GROUP BY ALL)
-    SELECT date, name, duplicate_count, CASE WHEN duplicate_count = 1 AND old THEN 'Onzeker' WHEN own OR duplicate_count > 1 THEN 'Bevestigd' ELSE 'Onzeker' END AS confidence FROM g WHERE date BETWEEN DATE '2026-06-05' AND DATE '2026-06-20' AND (contains(name, 'oo') OR own)""")
+    g AS (SELECT date, name, count(*) AS duplicate_count, count(DISTINCT own) AS sources, bool_or(own) AS own, bool_or(old) AS old FROM e GROUP BY ALL)
+    SELECT date, name, duplicate_count, CASE WHEN duplicate_count = 1 AND old THEN 'Onzeker' WHEN own OR sources > 1 THEN 'Bevestigd' ELSE 'Onzeker' END AS confidence FROM g WHERE date BETWEEN DATE '2026-06-05' AND DATE '2026-06-20' AND (contains(name, 'oo') OR own)""")
 def q_search(spark, sf_dir):
     """From recorded payloads to the answer to a question: read, normalised, resolved, graded, asked. The choir's own concerts have oo in their organizer."""
     asked = answer.Question(first=date(2026, 6, 5), last=date(2026, 6, 20), village="Midsland,Hoorn", category="muziek", text="conc oo", reservation="*")
