@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import categories, dates, price, text
 from quernstone.operators import joins, query
-from quernstone.plans import activities, answers, derived, intake  # noqa: F401  (they register their queries)
+from quernstone.plans import activities, answers, derived, intake, resolution  # noqa: F401  (they register their queries)
 from quernstone.plans.registry import QUERIES, SQL, case_of, fixture, golden, query_of, table
 from quernstone.sources import calendar, health, pages, structured
 
@@ -153,16 +153,6 @@ def q_lev_similarity(spark, sf_dir):
     return rows.select("p_partkey", text.similarity(F.col("a"), F.col("b")).alias("score"))
 
 
-@query_of()
-def q_fuzzy_token(spark, sf_dir):
-    return _neighbours(spark, sf_dir).select("p_partkey", text.fuzzy_token_similarity("p_name", "other").alias("score"))
-
-
-@query_of()
-def q_containment(spark, sf_dir):
-    return _neighbours(spark, sf_dir).select("p_partkey", text.containment("p_name", "other").alias("score"))
-
-
 @query_of(r"""WITH f AS (SELECT doc_id, regexp_extract(replace(coalesce(text, ''), 'example.', 'sample.'), '[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}') AS e FROM documents)
     SELECT doc_id, CASE WHEN e <> '' AND NOT regexp_matches(e, '(?i)(\.png$|\.jpg$|example\.|^sentry)') THEN e END AS email FROM f""")
 def q_email(spark, sf_dir):
@@ -171,7 +161,9 @@ def q_email(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.find_email(renamed).alias("email"))
 
 
-@query_of()
+@query_of(r"""WITH f AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(^|[^0-9])((?:\+31[\s\-]?\(?0?\)?[\s\-]?|0)(?:\d[\s\-]?){8,10}\d)', 2) AS found FROM documents),
+    k AS (SELECT doc_id, list_filter(found, lambda m: length(regexp_replace(m, '\D', '', 'g')) BETWEEN 9 AND 12) AS fits FROM f)
+    SELECT doc_id, trim(regexp_replace(fits[1], '\s+', ' ', 'g')) AS phone FROM k""")
 def q_phone(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.find_phone(F.col("text")).alias("phone"))
 
