@@ -247,6 +247,26 @@ def q_search(spark, sf_dir):
     return found.select("date", "name", "duplicate_count", "confidence")
 
 
+@query_of("""SELECT DATE '2026-06-01' + (s_suppkey % 28)::INT AS date, 'Concert ' || ['veemarkt', 'zangkoor', 'luchtballon'][s_suppkey % 3 + 1] AS name, count(*) AS duplicate_count
+    FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 AND s_suppkey % 28 BETWEEN 4 AND 19 GROUP BY ALL""")
+def q_search_details(spark, sf_dir):
+    """Suppliers' pages lead to recorded pages of single activities; every fifth source is switched off and every seventh host doesn't answer."""
+    k = F.col("s_suppkey")
+    text, site, none = k.cast("string"), F.concat(F.lit("https://bron"), k.cast("string"), F.lit(".nl")), F.lit(None).cast("string")
+    day = F.concat(F.lit("2026-06-"), F.lpad((k % 28 + 1).cast("string"), 2, "0"), F.lit("T20:00"))
+    name = F.concat(F.lit("Concert "), F.get(F.array(*map(F.lit, ("veemarkt", "zangkoor", "luchtballon"))), (k % 3).cast("int")))
+    listing = F.concat(F.lit('<a href="/agenda/concert-'), text, F.lit('">Een mooi concert langs de zee</a><a href="/contact">Contact met ons allen</a>'))
+    single = F.concat(F.lit('<script type="application/ld+json">'), F.to_json(F.struct(F.lit("Event").alias("@type"), name.alias("name"), day.alias("startDate"), F.lit("Midsland").alias("location"))), F.lit("</script>"))
+    of = lambda i, source, url, body: F.struct(i.cast("long").alias("id"), source.alias("source_id"), url.alias("url"), body.alias("body"))
+    both = F.array(of(k, F.when(k % 5 == 0, "uit").otherwise("koor"), F.concat(site, F.lit("/agenda")), listing), of(k + 10_000_000, none, F.concat(site, F.lit("/agenda/concert-"), text), single))
+    rows = table(spark, sf_dir, "supplier").select(F.explode(both).alias("x")).select("x.*", F.lit("text/html").alias("content_type"), F.lit("Direct").alias("strategy"), none.alias("feed_type"), F.lit(False).alias("is_feed"), F.lit(None).cast("timestamp").alias("archived_at"))
+    known = _source_table(spark)
+    sources = known.withColumn("enabled", F.lit(True)).unionByName(known.where("id = 'kalender'").withColumns({"id": F.lit("uit"), "enabled": F.lit(False)}))
+    health = table(spark, sf_dir, "supplier").where("s_suppkey % 7 = 0").select(F.concat(F.lit("bron"), text, F.lit(".nl")).alias("host"), F.lit(True).alias("skip"))
+    asked = answer.Question(first=date(2026, 6, 5), last=date(2026, 6, 20))
+    return search.search(rows, sources, GAZETTEER, KEYWORDS, NOW, asked, health).select("date", "name", "duplicate_count")
+
+
 _ASKED = """a AS (SELECT o_orderkey, o_orderdate::DATE AS date, CASE o_orderkey % 3 WHEN 0 THEN 'Gratis' WHEN 1 THEN 'Betaald' ELSE 'Onbekend' END AS price_kind, CASE o_orderkey % 2 WHEN 0 THEN 'Ja' ELSE 'Nee' END AS reservation,
     CASE WHEN o_orderstatus = 'F' THEN 'Bevestigd' WHEN o_orderstatus = 'O' THEN 'Onzeker' ELSE 'Onbekend' END AS confidence FROM orders)"""
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import categories, dates, price, text
 from quernstone.operators import joins, query
-from quernstone.plans import activities, answers, derived, intake, resolution  # noqa: F401  (they register their queries)
+from quernstone.plans import activities, answers, derived, intake, resolution, streams  # noqa: F401  (they register their queries)
 from quernstone.plans.registry import QUERIES, SQL, case_of, fixture, golden, query_of, table
 from quernstone.sources import calendar, health, pages, structured
 

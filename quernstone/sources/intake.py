@@ -16,9 +16,10 @@ TEXTS = (
 )
 #: Ways to read a page, in order; a raw row's place in its payload goes by way and ordinal.
 METHODS = ("ics", "rss", "json", "jsonld", "microdata", "html")
-PER_METHOD = 1_000_000
-# Fixed values. Activities of a page with pages of their own from which its other links aren't followed.
-ENOUGH_LINKS = 3
+#: Places that each way has for its rows.
+PER_METHOD = 1 << 40
+# Fixed values. Activities of a page with pages of their own from which its other links aren't followed, and pages that are followed where a source doesn't tell.
+ENOUGH_LINKS, MOST_DETAILS = 3, 25
 
 
 def format_of(content_type: Column, body: Column, strategy: Column, feed_type: Column, is_feed: Column) -> Column:
@@ -40,7 +41,7 @@ def _shaped(rows: DataFrame, method: str, id_col: str) -> DataFrame:
     has = set(rows.columns)
     texts = [(F.col(c) if c in has else F.lit(None).cast("string")).alias(c) for c in TEXTS]
     categories = F.col("categories") if "categories" in has else F.array().cast("array<string>")
-    place = F.col("ordinal" if "ordinal" in has else "place").cast("long") + METHODS.index(method) * PER_METHOD
+    place = F.col("ordinal" if "ordinal" in has else "place").cast("long") + F.lit(METHODS.index(method) * PER_METHOD)
     return rows.select(F.col(id_col).cast("long").alias("payload"), place.alias("place"), F.lit(method).alias("method"), *texts, categories.alias("categories"))
 
 
@@ -80,6 +81,11 @@ def links_to_follow(pages: DataFrame, raws: DataFrame, most: str) -> DataFrame:
     return once.withColumn("place", order).where(F.col("place") <= F.col(most)).select("id", "place", "link")
 
 
+def enabled(sources: DataFrame) -> DataFrame:
+    """The sources that aren't switched off; all if none can be."""
+    return sources.where(F.coalesce("enabled", F.lit(True))) if "enabled" in sources.columns else sources
+
+
 def with_details(pages: DataFrame, links: DataFrame, payloads: DataFrame) -> DataFrame:
     """The payloads of the linked pages: links (id, link) joined to payloads (url, ...), each payload once however many pages lead to it."""
     wanted = links.select(F.lower("link").alias("_link")).distinct()

@@ -44,14 +44,14 @@ def test_reports_of_empty_tables(spark):
 def test_stores(spark, tmp_path):
     assert store.read_or_empty(spark, f"{tmp_path}/none", "a int, b string").collect() == []
     store.save_results(spark.createDataFrame([(1,)], "a int"), f"{tmp_path}/events")
-    assert [tuple(r) for r in store.read_or_empty(spark, f"{tmp_path}/events", "a long, b string").collect()] == [(1, None)]
+    assert [tuple(r) for r in store.read_last(spark, f"{tmp_path}/events", "a long, b string").collect()] == [(1, None)]
     store.save_json(spark.createDataFrame([(1, None), (2, "x")], "a int, some_text string"), f"{tmp_path}/json")
     assert sorted(tuple(r) for r in store.read_or_empty(spark, f"{tmp_path}/json", "a int, someText string", "json").collect()) == [(1, None), (2, "x")]
     for i in range(43):
         if i in (0, 1, 42):
             rows = [(f"r{j}", dt.datetime(2026, 1, 1) + dt.timedelta(days=j)) for j in ([i] if i < 2 else range(2, 43))]
             store.add_run(spark.createDataFrame(rows, "run_id string, searched_at timestamp"), f"{tmp_path}/runs")
-    kept = [r["run_id"] for r in spark.read.parquet(f"{tmp_path}/runs").collect()]
+    kept = [r["run_id"] for r in store.read_last(spark, f"{tmp_path}/runs", "run_id string, searched_at timestamp").collect()]
     assert sorted(kept) == sorted(f"r{j}" for j in range(3, 43))
 
 
@@ -61,7 +61,7 @@ def test_health_table(spark, tmp_path):
     of = lambda *rows: spark.createDataFrame(rows, store.HEALTH)
     store.save_health(of(("a", 1, now, None), ("b", 3, old, None), ("c", 2, now, None)), f"{tmp_path}/health", now)
     store.save_health(of(("a", 0, None, now), ("d", 1, now, None)), f"{tmp_path}/health", now)
-    assert sorted((r["host"], r["failures"]) for r in spark.read.parquet(f"{tmp_path}/health").collect()) == [("a", 0), ("c", 2), ("d", 1)]
+    assert sorted((r["host"], r["failures"]) for r in store.read_last(spark, f"{tmp_path}/health", store.HEALTH).collect()) == [("a", 0), ("c", 2), ("d", 1)]
     urls = spark.createDataFrame([("https://a.nl/x",), ("https://B.nl:8080/y",), ("geen",)], "url string")
     left = health.reachable(urls, "url", spark.createDataFrame([("b.nl", True), ("a.nl", False)], "host string, skip boolean"))
     assert sorted(r["url"] for r in left.collect()) == ["geen", "https://a.nl/x"]
