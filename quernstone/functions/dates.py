@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -158,3 +159,13 @@ def coming_weekend(today: Column) -> Column:
     n = F.dayofweek(today)  # 1 is Sunday, 6 Friday, 7 Saturday
     start = F.when(n.isin(1, 6, 7), today).otherwise(F.next_day(today, "Fri"))
     return _span(start, F.when(n == 1, today).otherwise(F.next_day(start, "Sun")))
+
+
+def quick_range(today: Column, asked: str) -> Column:
+    """The days (struct start, end) that a short word asks for: today, tomorrow, weekend, or a number of days from today on; null for other words."""
+    if asked == "weekend":
+        return coming_weekend(today)
+    if asked in ("today", "tomorrow"):
+        return let(F.date_add(today, int(asked == "tomorrow")), lambda day: _span(day, day))
+    number = re.match(r"\s*([+-]?\d+)", asked)
+    return _span(today, F.date_add(today, int(number[1]) - 1)) if number else F.lit(None).cast("struct<start: date, end: date>")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,6 +107,24 @@ def listed(rows: DataFrame, value: Column) -> DataFrame:
     return rows.select(value.alias("value")).where(F.trim("value") != "").distinct().orderBy("value")
 
 
+def report(events: DataFrame, sources: DataFrame, attempts: DataFrame) -> DataFrame:
+    """One row that tells of a run: how many activities of each confidence and how many were merged, what they lack, how sources fared, and the ways that pages were had.
+
+    events are graded; sources: name, category, status, error; attempts: strategy. Each part is an aggregate of its own and has one row; they are put side by side.
+    """
+    graded_ = {"confirmed": ("Bevestigd",), "uncertain": ("Onzeker",), "unknown": ("Onbekend",)}
+    merged = events.agg(F.coalesce(F.sum(F.col("duplicate_count") - 1), F.lit(0)).alias("merged"))
+    lacking = unverified(events).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("missing")).alias("n"), "ordinal", "field"))), lambda x: F.struct(x["field"].alias("field"), (-x["n"]).alias("missing"))).alias("unverified"))
+    failed = sources.where(F.col("status").isin(*FAILED)).select(F.concat(F.col("name"), F.lit(" — "), F.coalesce("error", "status")).alias("value"))
+    in_order = lambda rows, name: rows.where(F.trim("value") != "").distinct().agg(F.array_sort(F.collect_list("value")).alias(name))
+    parts = [
+        tally(events, "confidence", graded_).withColumnRenamed("total", "unique_events"), merged, lacking, tally(sources, "status", {"sources_ok": FINE, "sources_failed": FAILED}).withColumnRenamed("total", "sources_total"),
+        in_order(failed, "unreachable"), in_order(sources.select(F.col("category").alias("value")), "source_types"), histogram(attempts, "strategy").withColumnRenamed("histogram", "fetch_strategies"),
+    ]
+    one = [p.withColumn("_run", F.lit(1)) for p in parts]
+    return reduce(lambda a, b: a.join(b, "_run"), one).drop("_run")
+
+
 def facets(events: DataFrame) -> DataFrame:
     """facet, place, value: villages and organizers in order of their names (MOST_ORGANIZERS at most, as the feature has it), categories in theirs."""
     known = lambda c: F.when(~is_unknown(F.col(c)), F.col(c))

@@ -7,7 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.functions import names, places
+from quernstone.functions import dates, names, places
 from quernstone.operators import answer, normalise, query, resolve, search
 from quernstone.plans.registry import query_of, table
 from quernstone.sources import health, pages, registry
@@ -179,6 +179,41 @@ def q_questions(spark, sf_dir):
     return registry.questions(rows, ["agenda eiland"], ["agenda", "markt", "concert", "film", "kermis"], date(1996, 3, 1), date(1996, 3, 14), 4)
 
 
+@query_of("""WITH q AS (SELECT n_name AS place, i AS n, n_nationkey % 3 AS rank, n_name || ' ' || ['agenda', 'markt', 'concert'][i + 1] AS question FROM nation, unnest([0, 1, 2]) AS t(i)) SELECT question FROM q ORDER BY rank, place, n LIMIT 20""")
+def q_first_questions(spark, sf_dir):
+    """The questions that a run may ask, when it may ask twenty."""
+    asked = table(spark, sf_dir, "nation").select((F.col("n_nationkey") % 3).alias("rank"), F.col("n_name").alias("place"), F.posexplode(F.array(*[F.concat("n_name", F.lit(f" {t}")) for t in ("agenda", "markt", "concert")])).alias("n", "question"))
+    return registry.first_questions(asked, 20).select("question")
+
+
+@query_of("""WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS d, dayofweek(o_orderdate) AS w FROM orders), r AS (SELECT o_orderkey, d AS today, d + 1 AS tomorrow, d + 13 AS fortnight, CASE WHEN w IN (0, 5, 6) THEN d ELSE d + (5 - w)::INT END AS friday, w FROM o)
+    SELECT o_orderkey, today AS today_end, tomorrow AS tomorrow_start, fortnight AS fortnight_end, friday AS weekend_start, CASE WHEN w = 0 THEN friday ELSE friday + ((7 - dayofweek(friday)) % 7)::INT END AS weekend_end, true AS nothing FROM r""")
+def q_quick_ranges(spark, sf_dir):
+    """What short words ask for on the days of orders."""
+    day = F.to_date("o_orderdate")
+    of = lambda word: dates.quick_range(day, word)
+    return table(spark, sf_dir, "orders").select("o_orderkey", of("today")["end"].alias("today_end"), of("tomorrow")["start"].alias("tomorrow_start"), of("14")["end"].alias("fortnight_end"), of("weekend")["start"].alias("weekend_start"), of("weekend")["end"].alias("weekend_end"), of("ooit").isNull().alias("nothing"))
+
+
+@query_of("""WITH RECURSIVE p AS (SELECT user_id % 200 AS host, event_id AS ord, row_number() OVER (PARTITION BY user_id % 200 ORDER BY event_id) AS n, [200, 404, 0, 503, 403, 0, 410, 500][event_id % 8 + 1] AS direct, event_id % 8 = 0 AND event_id % 3 > 0 AS direct_fits,
+        CASE event_id % 4 WHEN 0 THEN NULL WHEN 3 THEN 200 ELSE 0 END AS variant, event_id % 4 = 3 AND event_id % 7 = 0 AS variant_fits, event_id % 11 = 0 AS data, CASE WHEN event_id % 5 > 0 THEN event_id * 37 % 830 END AS shown, event_id % 13 = 0 AS archived FROM events),
+    q AS (SELECT *, CASE WHEN shown > 800 THEN 'Browser' WHEN archived THEN 'WebArchive' ELSE 'Failed' END AS late FROM p),
+    f AS (SELECT host, 0::BIGINT AS ord, 0::BIGINT AS n, '' AS strategy, false AS browser, false AS silent FROM (SELECT DISTINCT host FROM q) UNION ALL
+    SELECT host, ord, n, s, browser OR s = 'Browser', silent OR (s = 'Failed' AND NOT browser AND direct = 0 AND coalesce(variant, 0) = 0) FROM (SELECT q.host, q.ord, q.n, f.browser, f.silent, q.direct, q.variant,
+        CASE WHEN f.silent THEN 'Skipped' WHEN f.browser THEN late WHEN direct_fits THEN 'Direct' WHEN direct IN (404, 410) THEN 'Failed' WHEN variant_fits THEN 'HostVariant' WHEN (direct <> 0 OR coalesce(variant, 0) <> 0) AND data THEN 'AlternatePath' ELSE late END AS s
+        FROM f JOIN q ON q.host = f.host AND q.n = f.n + 1))
+    SELECT host, ord, strategy FROM f WHERE n > 0""")
+def q_climbed_ladder(spark, sf_dir):
+    """Events as pages of hosts in order of time, and by which way each is had; the SQL goes from page to page."""
+    i = F.col("event_id")
+    of = lambda *values: F.get(F.array(*map(F.lit, values)), (i % len(values)).cast("int"))
+    pages_ = table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 200).alias("host"), i.alias("ord"), of(200, 404, 0, 503, 403, 0, 410, 500).alias("direct"), ((i % 8 == 0) & (i % 3 > 0)).alias("direct_fits"), of(None, 0, 0, 200).alias("variant"), ((i % 4 == 3) & (i % 7 == 0)).alias("variant_fits"),
+        (i % 11 == 0).alias("data"), F.when(i % 5 > 0, i * 37 % 830).alias("shown"), (i % 13 == 0).alias("archived"),
+    )
+    return registry.climbed(pages_)
+
+
 # --- from raw rows to answers
 
 
@@ -304,3 +339,18 @@ def q_event_facets(spark, sf_dir):
 def q_unverified(spark, sf_dir):
     """How often each of the fourteen fields of stored activities isn't known."""
     return answer.unverified(_stored(spark, sf_dir))
+
+
+@query_of(f"""WITH {_ASKED}, s AS (SELECT s_name, ['ok', 'leeg', 'fout', 'geblokkeerd'][s_suppkey % 4 + 1] AS status, CASE WHEN s_suppkey % 8 = 2 THEN 'tijd' END AS error, 'c' || s_nationkey % 4 AS category FROM supplier)
+    SELECT (SELECT count(*) FROM a) AS unique_events, (SELECT count(*) FILTER (confidence = 'Bevestigd') FROM a) AS confirmed, (SELECT count(*) FILTER (confidence = 'Onzeker') FROM a) AS uncertain, (SELECT sum(o_orderkey % 3)::BIGINT FROM a) AS merged,
+    count(*) AS sources_total, count(*) FILTER (status IN ('ok', 'leeg')) AS sources_ok, count(*) FILTER (status IN ('fout', 'geblokkeerd')) AS sources_failed, string_agg(s_name || ' — ' || coalesce(error, status), ';' ORDER BY s_name) FILTER (status IN ('fout', 'geblokkeerd')) AS unreachable,
+    (SELECT string_agg(DISTINCT category, ';' ORDER BY category) FROM s) AS source_types, (SELECT string_agg(k || '=' || n, ';' ORDER BY k) FROM (SELECT event_type AS k, count(*) AS n FROM events GROUP BY 1)) AS ways FROM s""")
+def q_report(spark, sf_dir):
+    """What is told of a run, as one row."""
+    k = F.col("s_suppkey")
+    status = F.get(F.array(*map(F.lit, ("ok", "leeg", "fout", "geblokkeerd"))), (k % 4).cast("int"))
+    sources = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), status.alias("status"), F.when(k % 8 == 2, "tijd").alias("error"), F.concat(F.lit("c"), (F.col("s_nationkey") % 4).cast("string")).alias("category"))
+    events = _stored(spark, sf_dir).withColumn("duplicate_count", F.col("o_orderkey") % 3 + 1)
+    told = answer.report(events, sources, table(spark, sf_dir, "events").select(F.col("event_type").alias("strategy")))
+    ways = F.transform(F.map_entries("fetch_strategies"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return told.select("unique_events", "confirmed", "uncertain", "merged", "sources_total", "sources_ok", "sources_failed", F.array_join("unreachable", ";").alias("unreachable"), F.array_join("source_types", ";").alias("source_types"), F.array_join(ways, ";").alias("ways"))

@@ -203,6 +203,18 @@ def q_dated_blocks(spark, sf_dir):
     return markup.dated_blocks(rows, "c_custkey", "url", "body", 2026).select("c_custkey", "place", "name", "start_iso", "location_name", "detail_url")
 
 
+@query_of("""SELECT c_custkey, row_number() OVER (PARTITION BY c_custkey ORDER BY i)::INT AS place, 'Grote ' || lower(c_mktsegment) || ' markt ' || ['een', 'twee', 'drie'][i] AS name FROM customer, unnest([1, 2, 3]) AS t(i)
+    WHERE CASE c_custkey % 5 WHEN 0 THEN i <= 2 WHEN 1 THEN i = 3 WHEN 2 THEN i = 1 WHEN 3 THEN i IN (1, 3) ELSE false END""")
+def q_selector_hints(spark, sf_dir):
+    """Customers as pages of three blocks that no kind fits; what their sources' hints find is read: classes in two ways, an attribute inside an id, direct children, and no selector."""
+    key = F.col("c_custkey")
+    block = lambda i, word, opened: F.concat(F.lit(opened), F.lit("<h3>Grote "), F.lower("c_mktsegment"), F.lit(f" markt {word}</h3> <p>{i} juni 2026</p></div>"))
+    body = F.concat(F.lit('<div id="hier">'), block(1, "een", '<div class="rij los" data-soort="Week">'), F.lit("<section>"), block(2, "twee", '<div class="rij">'), F.lit("</section>"), block(3, "drie", '<div data-soort="dag">'), F.lit("</div>"))
+    hint = _one(key, ".rij", "#hier [data-soort=dag]", "div.rij.los, span", "#hier > div[data-soort]", "div:nth-child(")
+    rows = table(spark, sf_dir, "customer").select(key, F.lit("https://a.nl/agenda").alias("url"), body.alias("body"), hint.alias("hint"))
+    return markup.dated_blocks(rows, "c_custkey", "url", "body", 2026, "hint").select("c_custkey", "place", "name")
+
+
 @query_of("SELECT c_custkey, 1 AS place, 'https://a.nl/agenda/x' || c_custkey AS link FROM customer WHERE c_custkey % 4 <> 3 UNION ALL SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 THEN 1 ELSE 2 END, 'https://a.nl/event/' || lower(c_mktsegment) FROM customer")
 def q_detail_links(spark, sf_dir):
     key = F.col("c_custkey").cast("string")

@@ -46,11 +46,12 @@ def _shaped(rows: DataFrame, method: str, id_col: str) -> DataFrame:
 
 
 def raw_rows(payloads: DataFrame, year: int) -> DataFrame:
-    """Raw rows (payload, place, method, TEXTS, categories) of payloads (id, url, content_type, body, strategy, feed_type, is_feed).
+    """Raw rows (payload, place, method, TEXTS, categories) of payloads (id, url, content_type, body, strategy, feed_type, is_feed, and selector_hint if sources give any).
 
     Each payload goes to the reader of its format, pages to all three readers of markup. Nulls and what can't be read give no row.
     """
-    rows = payloads.select("id", "url", "body", format_of(F.col("content_type"), F.col("body"), F.col("strategy"), F.col("feed_type"), F.col("is_feed")).alias("format"))
+    hint = F.col("selector_hint") if "selector_hint" in payloads.columns else F.lit(None).cast("string")
+    rows = payloads.select("id", "url", "body", hint.alias("hint"), format_of(F.col("content_type"), F.col("body"), F.col("strategy"), F.col("feed_type"), F.col("is_feed")).alias("format"))
     of = lambda f: rows.where(F.col("format") == f).drop("format")
     pages = of("html")
     found = [
@@ -59,7 +60,7 @@ def raw_rows(payloads: DataFrame, year: int) -> DataFrame:
         _shaped(site_json.site_events(of("json"), "id", "url", "body"), "json", "id"),
         _shaped(structured.linked_data(pages, "id", "body", "url"), "jsonld", "id"),
         _shaped(markup.microdata(pages, "id", "url", "body"), "microdata", "id"),
-        _shaped(markup.dated_blocks(pages, "id", "url", "body", year), "html", "id"),
+        _shaped(markup.dated_blocks(pages, "id", "url", "body", year, "hint"), "html", "id"),
     ]
     return reduce(DataFrame.unionByName, found)
 

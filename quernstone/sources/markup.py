@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import dates, names
 from quernstone.functions.fixed import ASSETS
 from quernstone.functions.text import collapse, find_email, find_phone, path_of, slug, truncate
+from quernstone.sources.selectors import matches
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _CLOSES_ITSELF = {"li": ("ul", "ol"), "tr": ("table",), "p": ("div", "section", "article", "li", "td")}
@@ -125,14 +126,15 @@ def tree(html: str) -> Node:
     return reader.root
 
 
-def _rows(pages: DataFrame, id_col: str, url: str, body: str, hint: Column, take: Callable[[Node, str], Iterator[tuple]], columns: str) -> DataFrame:
-    """take() of each page as rows id, page_url, ordinal and columns; pages without the hint don't reach Python."""
+def _rows(pages: DataFrame, id_col: str, url: str, body: str, sign: Column, take: Callable[[Node, str, str], Iterator[tuple]], columns: str, hint: str | None = None) -> DataFrame:
+    """take() of each page, its address and its source's hint as rows id, page_url, ordinal and columns; pages without the sign don't reach Python."""
     fields = [c.split(" ")[0] for c in columns.split(", ")]
-    given = pages.where(F.coalesce(hint, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url), F.lit("")).alias("page_url"), F.col(body).alias("body"))
+    told = F.coalesce(F.trim(hint), F.lit("")) if hint else F.lit("")
+    given = pages.where(F.coalesce(sign, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url), F.lit("")).alias("page_url"), F.col(body).alias("body"), told.alias("hint"))
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
-            out = [(i, u, k, *row) for i, u, b in zip(x["id"], x["page_url"], x["body"], strict=True) for k, row in enumerate(take(tree(b), u))]
+            out = [(i, u, k, *row) for i, u, b, h in zip(x["id"], x["page_url"], x["body"], x["hint"], strict=True) for k, row in enumerate(take(tree(b), u, h))]
             yield pd.DataFrame(out, columns=["id", "page_url", "ordinal", *fields])
 
     return given.mapInPandas(read, f"id long, page_url string, ordinal int, {columns}").withColumnRenamed("id", id_col)
@@ -150,7 +152,7 @@ def absolute(href: str | None, base: str) -> str | None:
 _PROPERTIES = {"name": "name", "start_iso": "startDate", "end_iso": "endDate", "description": "description", "location_name": "location", "address": "address", "organizer": "organizer", "price_text": "price"}
 
 
-def _items(root: Node, url: str) -> Iterator[tuple]:
+def _items(root: Node, url: str, _: str) -> Iterator[tuple]:
     for scope in root.below():
         if "itemscope" in scope.attrs and "event" in scope.attrs.get("itemtype", "").lower():
             said, link = {}, None
@@ -168,7 +170,7 @@ def microdata(pages: DataFrame, id_col: str, url: str, body: str) -> DataFrame:
     return _rows(pages, id_col, url, body, F.col(body).rlike("(?i)itemscope"), _items, ", ".join(f"{c} string" for c in (*_PROPERTIES, "detail_url", "raw_text")))
 
 
-def _links(root: Node, url: str) -> Iterator[tuple]:
+def _links(root: Node, url: str, _: str) -> Iterator[tuple]:
     for x in root.below():
         if x.fits("a") and (link := absolute(x.attrs["href"], url)):
             yield link, x.text()
@@ -187,16 +189,18 @@ def detail_links(pages: DataFrame, id_col: str, url: str, body: str, most: Colum
     return kept.where(F.col("place") <= most).select(id_col, "place", "link")
 
 
-def _blocks(root: Node, url: str) -> Iterator[tuple]:
-    nodes = list(root.below())
-    fitting = [n for n in nodes if any(n.fits(rule) for rule in BLOCKS)]
-    for n in fitting:
+def _blocks(root: Node, url: str, hint: str) -> Iterator[tuple]:
+    """Blocks under the kinds that they are of; what the source's hint finds comes before all kinds, as number -1."""
+    for n in root.below():
+        kinds = [-1] * (hint != "" and matches(n, hint)) + [k for k, rule in enumerate(BLOCKS) if n.fits(rule)]
+        if not kinds:
+            continue
         text = n.text()
         if SHORTEST <= len(text) <= LONGEST and _DATED.search(text) and sum(bool(_DATED.search(p.text())) for p in n.parts if isinstance(p, Node)) <= 1:
             inside = list(n.below())
             first = lambda rules, inside=inside: [next((x.text() for x in inside if x.fits(r)), "") for r in rules]
             link = next((x.attrs["href"] for x in inside if x.fits("a")), None) or n.link_above()
-            yield [k for k, rule in enumerate(BLOCKS) if n.fits(rule)], text, first(TITLES), first(DESCRIPTIONS), first(LOCATIONS), absolute(link, url) or url
+            yield kinds, text, first(TITLES), first(DESCRIPTIONS), first(LOCATIONS), absolute(link, url) or url
 
 
 def usable_title(t: Column) -> Column:
@@ -210,14 +214,14 @@ def usable_title(t: Column) -> Column:
     return F.char_length(t).between(4, 120) & ~t.rlike(LABEL) & ~t.rlike(SENTENCE) & ~only_date & ~lump & (F.size(words) >= 2) & (F.char_length(left) >= 4)
 
 
-def dated_blocks(pages: DataFrame, id_col: str, url: str, body: str, year: int) -> DataFrame:
+def dated_blocks(pages: DataFrame, id_col: str, url: str, body: str, year: int, hint: str | None = None) -> DataFrame:
     """Activities from blocks of a page that show a date and a title, for pages without better data.
 
-    Kinds of blocks are tried in order until one gives ENOUGH new activities; equal names with equal texts count once, MOST_BLOCKS a page is
+    hint names a column with a selector that the page's source gives for its blocks; it is tried first, and what is no selector is passed over. Kinds of blocks are tried in order until one gives ENOUGH new activities; equal names with equal texts count once, MOST_BLOCKS a page is
     the limit that the feature has.
     """
     columns = "kinds array<int>, text string, titles array<string>, descriptions array<string>, locations array<string>, detail_url string"
-    found = _rows(pages, id_col, url, body, F.col(body).rlike(DATED), _blocks, columns)
+    found = _rows(pages, id_col, url, body, F.col(body).rlike(DATED), _blocks, columns, hint)
     title = F.get(F.filter("titles", usable_title), F.lit(0))
     lead = r"(?i)^\s*(?:lees meer|meer info|bekijk)\s*[:\-–]?\s*"
     named = found.withColumn("name", F.btrim(collapse(F.regexp_replace(title, lead, "")), F.lit(" -–|•:"))).where(title.isNotNull())

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import truncate
-from quernstone.operators.query import first_per
+from quernstone.operators.query import first_per, ranked
+from quernstone.plans.steps import attach, settle
 from quernstone.sources.pages import usable
 
 # Fixed values. Tiers by their raw names; detail pages that are read of sources in the first three tiers and of others.
@@ -116,6 +117,39 @@ def first_usable(attempts: DataFrame, key: str, now: datetime) -> DataFrame:
     return good.groupBy(key).agg(F.min_by("strategy", rank).alias("strategy"), F.min_by("body", rank).alias("body"))
 
 
+# Fixed values. Answers that say that a page doesn't exist, and characters of a page that a browser has to show.
+NO_PAGE, FEWEST_SHOWN = (404, 410), 800
+
+
+def climbed(pages: DataFrame) -> DataFrame:
+    """host, ord and strategy: by which way each page was had, or Failed, or Skipped, when ways are tried in turn and hosts are remembered.
+
+    pages are what each way gives, in the order (ord, long) in which a run asks: host, ord, direct (status, 0 without an answer), direct_fits, variant (null without one), variant_fits, data (whether another path
+    of the host has data), shown (characters in a browser, null without one), archived (whether a young copy is kept). A page that doesn't exist ends the climb; a host that answers neither way isn't asked for
+    data. A host once had by browser only is asked so from then on; one that gave no answer at all is asked no more. What a host is remembered for begins with its first such page, whichever comes
+    first, so one aggregate tells it; hosts with very many pages are joined by broadcast.
+    """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    silent = (F.col("direct") == 0) & (F.coalesce("variant", F.lit(0)) == 0)
+    late = F.when(F.coalesce("shown", F.lit(0)) > FEWEST_SHOWN, "Browser").when(yes("archived"), "WebArchive").otherwise("Failed")
+    first = F.when(yes("direct_fits"), "Direct").when(F.col("direct").isin(*NO_PAGE), "Failed").when(F.col("variant").isNotNull() & yes("variant_fits"), "HostVariant").when(~silent & yes("data"), "AlternatePath").otherwise(late)
+    rows = settle(pages.withColumns({"first": first, "late": late}).withColumn("silent", silent & (F.col("first") == "Failed") & ~F.col("direct").isin(*NO_PAGE)))
+    hosts = rows.groupBy("host").agg(F.count("*").alias("size"), F.min(F.when(F.col("first") == "Browser", F.col("ord"))).alias("shown_at"), F.min(F.when(F.col("silent"), F.col("ord"))).alias("silent_at"))
+    never = F.lit((1 << 63) - 1)
+    known = settle(hosts.withColumns({"shown_at": F.coalesce("shown_at", never), "silent_at": F.coalesce("silent_at", never)}))
+    met = attach(rows, known, ["host"], "size")
+    skipped = (F.col("silent_at") < F.col("shown_at")) & (F.col("ord") > F.col("silent_at"))
+    by_browser = (F.col("shown_at") < F.col("silent_at")) & (F.col("ord") > F.col("shown_at"))
+    return met.select("host", "ord", F.when(skipped, "Skipped").when(by_browser, F.col("late")).otherwise(F.col("first")).alias("strategy"))
+
+
+def first_questions(asked: DataFrame, most: int) -> DataFrame:
+    """The first questions (rank, place, n, question) of a run in their order, `most` at most; all if most is 0 or less."""
+    if most <= 0:
+        return asked
+    return ranked(asked, [F.col("rank"), F.col("place"), F.col("n")], "_turn").where(F.col("_turn") <= most).drop("_turn")
+
+
 def outcomes(attempts: DataFrame, events: DataFrame, key: str) -> DataFrame:
     """Status of each source: geblokkeerd if a site refused, else fout or leeg without activities, else ok. attempts: key, status, error, raws; events: key."""
     tried = attempts.groupBy(key).agg(F.max(F.col("status").isin(401, 403)).alias("refused"), F.max(F.col("error").isNotNull()).alias("failed"), F.sum("raws").alias("raws"))
