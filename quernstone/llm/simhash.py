@@ -285,13 +285,15 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Two documents link if the sets of their shingles of COPY_WORDS words have a Jaccard likeness of COPY_JACCARD or more; equal texts link, and blank
     texts (null, empty, white space) do with each other. A row is known by its id and its text: a null or repeated id does not tie unlike texts together, and a null id
-    stays only in a group without other ids. Of rows with one id and one text one stays. Whole texts are compared. An empty table gives an empty result.
+    stays only in a group without other ids. Texts are known by a 64-bit hash while they are compared; texts that share one by chance are told apart by SHA-256, and stay. Of rows with one id and one text one stays. Whole texts are compared. An empty table gives an empty result.
     """
-    node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    node, sure = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     length = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
     with batches_of(docs.sparkSession, ROWS_AT_ONCE):
-        rows = cut(docs.select(F.col(id_col).alias("id"), node.alias("node"), length.alias("bytes"), band_keys_udf(F.col(text_col)).alias("keys")))
-    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("bytes").alias("bytes"), F.first("keys").alias("keys")))
+        rows = cut(docs.select(F.col(id_col).alias("id"), node.alias("node"), length.alias("bytes"), sure.alias("sure"), band_keys_udf(F.col(text_col)).alias("keys")))
+    one = F.min("sure") == F.max("sure")  # else unlike texts share a hash: none of them is compared or dropped
+    nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("bytes").alias("bytes"), F.first("keys").alias("keys"), one.alias("one"))
+    nodes = cut(nodes.where("one").drop("one"))
     links, texts = None, docs.select(node.alias("node"), F.col(text_col).alias("text"))
     parts = nodes.select("node", F.col("node").alias("component")).limit(0)
     for bands in ROUNDS:

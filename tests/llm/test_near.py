@@ -121,3 +121,22 @@ def test_no_text_is_lost_with_a_full_bitmap(spark, monkeypatch):
     for i, t in rows:
         best[t] = max(best.get(t, -1), -1 if i is None else i)
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"]) for r in exact_dedup.drop_exact(docs).collect()) == sorted((i, t) for t, i in best.items())
+
+
+def test_texts_that_share_a_hash_by_chance_stay(spark, monkeypatch):
+    """With a hash of a few values, unlike texts of one hash are all kept."""
+    real = simhash.F.xxhash64
+
+    class Few:
+        def __getattr__(self, name):
+            return getattr(functions, name)
+
+        @staticmethod
+        def xxhash64(*columns):
+            return functions.pmod(real(*columns), functions.lit(3)) if len(columns) == 1 else real(*columns)
+
+    functions = simhash.F
+    monkeypatch.setattr(simhash, "F", Few())
+    rows = [(i, f"text number {i} has words of its own such as w{i} and v{i * 7}") for i in range(12)]
+    kept = simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(12))
