@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from quernstone.llm.common import fresh
+from quernstone.llm.common import fresh, give_back
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Characters of a text, bytes of a match and ids below which a piece is a leaf of the tree.
 LEAF = 256
 #: Matches whose ids a Python worker remembers.
 REMEMBERED = 300_000
+#: Rows of a batch whose ids are held at once.
+ROWS = 500
 #: A text is cut at a space within so many characters from its middle, if there is one.
 NEAR = 24
 _NONE = 1 << 62
@@ -152,8 +154,10 @@ def encode_documents(docs: DataFrame, text_col: str = "text", path: str | None =
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = _tree(ranks, leaf)
         for texts in batches:
-            ids = [np.array(bpe.encode(t or ""), dtype="<u4") for t in texts]
-            yield pd.DataFrame({"ids": [x.tobytes() for x in ids], "decoded": [bpe.decode(x) for x in ids]})
+            for start in range(0, len(texts), ROWS):
+                ids = [np.array(bpe.encode(t or ""), dtype="<u4") for t in texts.iloc[start : start + ROWS]]
+                yield pd.DataFrame({"ids": [x.tobytes() for x in ids], "decoded": [bpe.decode(x) for x in ids]})
+        give_back()
 
     made = fresh(docs, "bpe")
     return docs.withColumn(made, both(F.col(text_col))).withColumns({"ids": F.col(f"{made}.ids"), "decoded": F.col(f"{made}.decoded")}).drop(made)

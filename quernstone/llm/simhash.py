@@ -7,14 +7,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, LongType
 
-from quernstone.llm.common import attach, batches_of, cut, having, without
+from quernstone.llm.common import attach, batches_of, cut, give_back, having, without
 from quernstone.llm.components import components
 
 WORDS = 4
@@ -207,7 +206,7 @@ def band_keys(text: str | None) -> np.ndarray:
 def band_keys_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for text in batches:
         yield pd.Series([band_keys(t) for t in text])
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def _copies(texts: list[str | None], linked: list[int]) -> list[tuple[int, int]]:
@@ -255,7 +254,7 @@ def _compare_texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = x.iloc[whole:].copy() if whole else x
     if rest is not None and len(rest):
         yield links(rest)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def copy_links(texts: DataFrame, nodes: DataFrame) -> DataFrame:

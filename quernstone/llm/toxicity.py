@@ -8,14 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from quernstone.llm.common import crc_mod, cut, fresh
+from quernstone.llm.common import crc_mod, cut, fresh, give_back
 from quernstone.llm.simhash import RADIUS, _forest, fingerprint_udf
 
 #: About so many labelled rows are learned from, and of those about so many bytes of text; chosen by a hash of their ids.
@@ -189,7 +188,7 @@ def score_toxicity(docs: DataFrame, index: BlockMaxIndex, text_col: str = "text"
         known = shared.value
         for texts in batches:
             yield pd.DataFrame([known.score(*terms_of(t)) for t in texts], columns=["score", "evidence"])
-        pa.default_memory_pool().release_unused()  # idle workers keep nothing of the texts
+        give_back()  # idle workers keep nothing of the texts
 
     made = fresh(docs, "tox")
     out = docs.withColumn(made, vote(F.col(text_col)))
