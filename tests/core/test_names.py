@@ -74,8 +74,8 @@ def tokens(a, b):
 def test_names(spark):
     some = lambda: " ".join(RNG.choice(WORDS) for _ in range(RNG.randint(0, 5)))
     rows = [(i, some(), some()) for i in range(300)]
-    given = spark.createDataFrame(rows, "i int, a string, b string").withColumnsRenamed({"a": "a_name", "b": "b_name"}).withColumns({"a_slug": text.slug("a_name"), "b_slug": text.slug("b_name")})
-    found = given.select("i", "a_slug", text.fuzzy_token_similarity("a_name", "b_name").alias("fuzzy"), text.containment("a_name", "b_name").alias("contained"), resolve.likeness("a_", "b_").alias("like"))
+    given = spark.createDataFrame(rows, "i int, a string, b string").withColumnsRenamed({"a": "a_name", "b": "b_name"}).withColumns({"a_slug": text.slug("a_name"), "b_slug": text.slug("b_name"), "a_words": text.words("a_name"), "b_words": text.words("b_name")})
+    found = given.select("i", "a_slug", text.fuzzy_token_similarity("a_name", "b_name").alias("fuzzy"), text.containment("a_name", "b_name").alias("contained"), resolve.name_likeness("a_", "b_").alias("like"))
     for r in found.collect():
         _, a, b = rows[r["i"]]
         assert r["a_slug"] == " ".join(fold(a))
