@@ -52,7 +52,7 @@ def _has(node: Node, *names: str) -> bool:
     return bool(set(node.attrs.get("class", "").split()) & set(names))
 
 
-def _hits(root: Node, url: str) -> Iterator[tuple]:
+def _hits(root: Node, url: str, _: str) -> Iterator[tuple]:
     """Results of the engines whose pages mark each result: its link, title and snippet."""
     for block in root.below():
         inside = list(block.below())
