@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import slug_text
@@ -15,6 +15,18 @@ IMPLIED = {"Festival": "Cultuur", "Kinderen": "Familie"}
 OTHER = "Overig"
 
 
+#: Keywords that a table of them has at most.
+MOST_KEYWORDS = 5000
+
+
+def keywords_of(rows: DataFrame) -> dict[str, tuple[str, ...]]:
+    """The keywords of each category from a table (category, keyword), for classify. It is a small dimension, which is checked; categories that aren't in ORDER and blank keywords count for nothing."""
+    found = rows.where(F.col("category").isin(*ORDER) & (F.trim("keyword") != "")).select("category", "keyword").distinct().limit(MOST_KEYWORDS + 1).collect()
+    if len(found) > MOST_KEYWORDS:
+        raise ValueError(f"a table of more than {MOST_KEYWORDS} keywords")
+    return {c: tuple(sorted(r["keyword"] for r in found if r["category"] == c)) for c in ORDER}
+
+
 def classify(slugged: Column, keywords: dict[str, tuple[str, ...]]) -> Column:
     """The categories of a slugged text in ORDER: those of which a keyword begins some word; the other one if none fits, none for empty text.
 

@@ -7,7 +7,8 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.functions import dates, names, places
+from quernstone.functions import categories, dates, names, places
+from quernstone.functions.text import slug
 from quernstone.operators import answer, normalise, query, resolve, search
 from quernstone.plans.registry import query_of, table
 from quernstone.sources import health, pages, registry
@@ -214,6 +215,22 @@ def q_climbed_ladder(spark, sf_dir):
     return registry.climbed(pages_)
 
 
+_ORDERED = "['" + "', '".join(categories.ORDER) + "']"
+
+
+@query_of(f"""WITH k AS (SELECT {_ORDERED}[n_nationkey % 16 + 1] AS category, lower(n_name) AS word FROM nation), a AS (SELECT c_custkey, lower(n_name) AS said FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    f AS (SELECT DISTINCT c_custkey, category FROM a JOIN k ON starts_with(said, word)), g AS (SELECT * FROM f UNION SELECT c_custkey, CASE category WHEN 'Festival' THEN 'Cultuur' ELSE 'Familie' END FROM f WHERE category IN ('Festival', 'Kinderen'))
+    SELECT c_custkey, string_agg(category, ',' ORDER BY list_position({_ORDERED}, category)) AS categories FROM g GROUP BY 1""")
+def q_keyword_table(spark, sf_dir):
+    """Customers' nations as texts, classified by a table of keywords in sixteen categories."""
+    nation = table(spark, sf_dir, "nation")
+    named = F.get(F.array(*map(F.lit, categories.ORDER)), (F.col("n_nationkey") % 16).cast("int"))
+    known = categories.keywords_of(nation.select(named.alias("category"), F.lower("n_name").alias("keyword")))
+    said = F.concat(F.lit("De dag voor "), F.col("n_name"), F.lit(" en meer"))
+    rows = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.select("c_custkey", F.array_join(categories.classify(slug(said), known), ",").alias("categories"))
+
+
 # --- from raw rows to answers
 
 
