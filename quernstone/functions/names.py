@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from quernstone.functions.text import collapse, slug, truncate
+from quernstone.functions.text import LATIN_ONLY, collapse, latin_slug, slug, truncate
 
 LONGEST_TEXT = 1200
 # Fixed values. Prefixes and endings that don't belong to a name, and signs around it.
@@ -90,9 +90,9 @@ def once_each(text: Column) -> Column:
 
 
 def _folded(part: Column) -> Column:
-    """Letters and digits of a part without the commonest accents; Python's exact slug can't run inside an array."""
-    plain = F.translate(F.lower(part), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ-_'’", "aaaaaaceeeeiiiinooooouuuuyy    ")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^\p{L}\p{Nd} ]", ""), " +", " "))
+    """The slug of a part of Latin letters; of others, which Python would have to fold, the letters and digits in lower case."""
+    others = F.trim(F.regexp_replace(F.regexp_replace(F.translate(F.lower(part), "-_'’", "    "), r"[^\p{L}\p{Nd} ]", ""), " +", " "))
+    return F.when(part.rlike(LATIN_ONLY), latin_slug(part)).otherwise(others)
 
 
 def read_iso(text: Column) -> tuple[Column, Column]:

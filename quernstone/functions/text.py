@@ -59,13 +59,17 @@ LATIN_ONLY = "^[\\x{0}-\\x{24F}\\x{2000}-\\x{206F}\\x{20AC}]*$"
 _FROM, _TO = _latin()
 
 
+def latin_slug(text: Column) -> Column:
+    """slug_text of texts that are LATIN_ONLY, by built-in functions only, so also inside arrays."""
+    return F.trim(F.regexp_replace(F.translate(text, _FROM, _TO), " +", " "))
+
+
 def slug(text: Column | str) -> Column:
     """slug_text of a column. Latin texts stay with the built-in functions; only the others are sent to Python."""
     given = F.col(text) if isinstance(text, str) else text
     ascii_only, latin = F.octet_length(given) == F.char_length(given), given.rlike(LATIN_ONLY)
-    once = lambda c: F.trim(F.regexp_replace(c, " +", " "))
     kept = F.regexp_replace(F.translate(F.lower(given), "-_'", "   "), "[^a-z0-9 ]", "")
-    built_in = F.when(ascii_only, once(kept)).when(latin, once(F.translate(given, _FROM, _TO)))
+    built_in = F.when(ascii_only, F.trim(F.regexp_replace(kept, " +", " "))).when(latin, latin_slug(given))
     return F.coalesce(built_in, _slug_of_others(F.when(~ascii_only & ~latin, given)), F.lit(""))
 
 
@@ -88,7 +92,7 @@ def truncate(text: Column, most: int) -> Column:
 
 
 def strip_years(text: Column) -> Column:
-    return collapse(F.regexp_replace(text, r"\b(19|20)[0-9]{2}\b", " "))
+    return collapse(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\b(19|20)\d{2}\b", " "))
 
 
 def tokens(slugged: Column) -> Column:
@@ -114,7 +118,7 @@ LONG_WORD, NEAR_WORD, LONG_NAME, CONTAINED = 5, 0.80, 8, 0.75
 def words(text: Column | str) -> Column:
     """The words of a name in order, without years."""
     given = F.col(text) if isinstance(text, str) else text
-    return tokens(slug(F.regexp_replace(F.coalesce(given, F.lit("")), r"(?U)\b(19|20)\d{2}\b", " ")))
+    return tokens(slug(strip_years(given)))
 
 
 def words_match(a: Column, b: Column) -> Column:

@@ -313,6 +313,14 @@ def q_format(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(i, intake.format_of(kind, body, way, F.lit(None).cast("string"), F.lit(False)).alias("format"))
 
 
+@query_of("SELECT page_id, CASE WHEN page_id % 5 IN (0, 4) THEN 'ics' ELSE 'rss' END AS format FROM pages")
+def q_feed_format(spark, sf_dir):
+    """Pages as feeds: by what they are registered as, else by what is in them."""
+    i = F.col("page_id")
+    body = F.when(i % 5 == 4, F.concat(F.col("html"), F.lit(" begin:vcalendar"))).otherwise(F.col("html"))
+    return table(spark, sf_dir, "pages").select(i, intake.format_of(F.lit("text/html"), body, F.lit("Direct"), _one(i, "ICS", "rss", "Atom", F.lit(None), F.lit("")), F.lit(True)).alias("format"))
+
+
 @query_of(r"""WITH u AS (SELECT page_id, regexp_extract(url, '^(https?://)', 1) AS scheme, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+(.*)$', 1) AS rest FROM pages)
     SELECT page_id, CASE WHEN regexp_matches(host, '(?i)^www\.') THEN scheme || substr(host, 5) || rest WHEN length(host) - length(replace(host, '.', '')) = 1 THEN scheme || 'www.' || host || rest END AS other FROM u""")
 def q_host_variant(spark, sf_dir):
