@@ -1,3 +1,7 @@
+from pyspark.sql import functions as F
+
+from quernstone.plans import streams
+from quernstone.streaming import requests
 from quernstone.streaming.health import follow_health
 
 
@@ -19,3 +23,32 @@ def test_failures_in_a_row_by_host(spark, tmp_path):
     # after eight hours a and b have rested and may be tried again
     assert seen[:3] == [[("a", 2, True), ("b", 1, False)], [("a", 1, False), ("b", 2, True)], [("c", 1, False)]]
     assert [r for rows in seen[3:] for r in rows] == [("a", 1, False), ("b", 2, False)]
+
+
+def _given(spark, path, order):
+    """Requests of three engines and 28 addresses, in some order, as the table events of a folder of several files."""
+    rows = spark.range(3000).select(F.col("id").alias("event_id"), (F.col("id") * 37 % 280).alias("user_id"), F.concat(F.lit("e"), (F.col("id") % 3).cast("string")).alias("event_type"))
+    rows.repartition(7).sortWithinPartitions(order).write.parquet(f"{path}/events.parquet")
+    return rows
+
+
+def test_the_first_request_is_the_earliest_whatever_the_order_of_rows(spark, tmp_path):
+    rows = _given(spark, tmp_path, F.desc("event_id"))
+    least = {}
+    for r in rows.orderBy("event_id").collect():
+        least.setdefault((r["user_id"] % 7, r["user_id"] % 40), str(r["event_id"]))
+    found = {r["id"]: r["body"] for r in streams.q_url_cache(spark, str(tmp_path)).collect()}
+    assert found == {r["event_id"]: least[r["user_id"] % 7, r["user_id"] % 40] for r in rows.collect()}
+
+
+def test_engines_rest_across_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(requests, "PIECE", 10)
+    rows = _given(spark, tmp_path, F.desc("event_id")).orderBy("event_id").collect()
+    until, made = {}, []
+    for r in rows:
+        at = r["event_id"] * 7
+        if at >= until.get(r["event_type"], 0):
+            made.append(r["event_id"])
+            if r["event_id"] % 3 == 0:
+                until[r["event_type"]] = at + 40
+    assert sorted(r["id"] for r in streams.q_engine_rest(spark, str(tmp_path)).collect()) == made
