@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import categories, dates, names, price
 from quernstone.functions.text import slug
 from quernstone.operators import resolve
-from quernstone.plans.registry import query_of, table
+from quernstone.plans.registry import query_of, spread, table
 from quernstone.sources import calendar, intake, markup, pages, registry, site_json, structured
 
 _MONTHS = "['" + "', '".join(dates.MONTH_NAMES) + "']"
@@ -32,7 +32,7 @@ def _clock(minutes: Column, sign: str) -> Column:
 
 
 def _orders(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"), "o_orderpriority", "o_orderstatus")
+    return spread(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"), "o_orderpriority", "o_orderstatus")
 
 
 _ORDERS = "o AS (SELECT o_orderkey, o_custkey, o_orderdate::DATE AS day, o_orderpriority, o_orderstatus FROM orders)"
@@ -57,7 +57,7 @@ def q_times(spark, sf_dir):
     ranged = F.concat(F.lit("van "), _clock(a, "."), F.lit(" - "), _clock(b, "."), F.lit(" uur"))
     said = _one(F.col("o_orderkey"), ranged, F.concat(_clock(a, ":"), F.lit(" uur")), F.concat(F.lit("aanvang "), F.floor(a / 60).cast("string"), F.lit(" uur")), "welkom")
     found = dates.times(F.col("said"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", said.alias("said")).select("o_orderkey", found["start"].alias("start"), found["end"].alias("end"))
+    return spread(spark, sf_dir, "orders").select("o_orderkey", said.alias("said")).select("o_orderkey", found["start"].alias("start"), found["end"].alias("end"))
 
 
 @query_of("""WITH g AS (SELECT l_orderkey, l_linenumber, l_shipdate::DATE AS d, l_shipdate::DATE + (l_linenumber - 2) * 40 AS e, (l_partkey % 24 * 60)::INT AS a, CASE WHEN l_suppkey % 5 > 0 THEN (l_suppkey % 25 * 60 - l_suppkey % 25 // 24)::INT END AS b FROM lineitem),
@@ -81,14 +81,14 @@ def q_price(spark, sf_dir):
     x = F.concat(F.lit("€ "), (key % 900 + 1).cast("string"), F.lit(","), F.lpad((F.col("o_custkey") % 100).cast("string"), 2, "0"))
     both = F.concat(x, F.lit(" of € "), (key % 900 + 901).cast("string"), F.lit(", kinderen gratis"))
     said = _one(key, F.concat(F.lit("Entree "), x), "Toegang: gratis!", both, "een vrije gift", "welkom")
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", said.alias("said")).select("o_orderkey", price.price(F.col("said"), slug("said")).alias("p"))
+    rows = spread(spark, sf_dir, "orders").select("o_orderkey", said.alias("said")).select("o_orderkey", price.price(F.col("said"), slug("said")).alias("p"))
     return rows.select("o_orderkey", "p.price", "p.kind")
 
 
 @query_of("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'Nee' WHEN 1 THEN 'Ja' WHEN 2 THEN 'Nee' WHEN 3 THEN 'Ja' ELSE 'Onbekend' END AS reservation FROM orders")
 def q_reservation(spark, sf_dir):
     said = _one(F.col("o_orderkey"), "Reserveren niet nodig", "vooraf reserveren!", "Reserveren verplicht, of vrije inloop", F.concat(F.lit("Klant "), F.col("o_custkey").cast("string"), F.lit(": meld je aan")), "welkom")
-    return table(spark, sf_dir, "orders").select("o_orderkey", said.alias("said")).select("o_orderkey", price.reservation(slug("said")).alias("reservation"))
+    return spread(spark, sf_dir, "orders").select("o_orderkey", said.alias("said")).select("o_orderkey", price.reservation(slug("said")).alias("reservation"))
 
 
 @query_of(f"""WITH {_ORDERS}, w AS (SELECT o_orderkey, day, dayofweek(day) AS n FROM o)
@@ -119,7 +119,7 @@ _HAS = lambda *words: f"regexp_matches(t, '(^|[^a-z0-9])({'|'.join(words)})')"
            CASE WHEN len(found) = 0 THEN 'Muziek' WHEN found[1] = 'Muziek' THEN array_to_string(found, ',') ELSE array_to_string(list_prepend('Muziek', found), ',') END AS merged FROM f""")
 def q_categories(spark, sf_dir):
     """Kinds of parts as texts in which keywords begin words."""
-    rows = table(spark, sf_dir, "part").select("p_partkey", categories.classify(slug("p_type"), _WORDS).alias("f"))
+    rows = spread(spark, sf_dir, "part").select("p_partkey", categories.classify(slug("p_type"), _WORDS).alias("f"))
     return rows.select("p_partkey", F.array_join("f", ",").alias("found"), F.array_join(categories.with_defaults(F.col("f"), F.array(F.lit("Muziek"))), ",").alias("merged"))
 
 
@@ -135,7 +135,7 @@ def q_calendar(spark, sf_dir):
         F.concat(F.lit("DTEND;VALUE=DATE:"), F.date_format("ts", "yyyyMMdd")), F.concat(F.lit("LOCATION:Zaal "), user, F.lit("\\, Midsland")), owner, F.when(i % 3 > 0, F.concat(F.lit("CATEGORIES:Muziek"), F.when(i % 3 == 2, ", Koor").otherwise(""))),
         F.when(i % 7 == 0, "STATUS:CANCELLED"), F.lit("END:VEVENT"), F.lit("END:VCALENDAR"),
     )
-    found = calendar.read_calendar(table(spark, sf_dir, "events").select("event_id", lines.alias("body")), "body")
+    found = calendar.read_calendar(spread(spark, sf_dir, "events").select("event_id", lines.alias("body")), "body")
     return found.select("event_id", "name", "start_iso", "end_iso", "location_name", "organizer", F.size("categories").alias("n_categories"))
 
 
@@ -146,7 +146,7 @@ def q_feed(spark, sf_dir):
     rss = F.concat(F.lit("<rss><channel><item><title>"), F.col("p_name"), F.lit("</title><link>https://a.nl/"), key.cast("string"), F.lit("</link><description>"), told, F.lit("</description></item></channel></rss>"))
     atom = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>'), F.col("p_name"), F.lit('</title><link href="https://a.nl/'), key.cast("string"), F.lit('"/><summary>'), told, F.lit("</summary></entry></feed>"))
     body = F.when(key % 5 == 4, F.concat(F.lit("<rss><item>"), F.col("p_name"))).when(key % 2 == 0, rss).otherwise(atom)
-    return structured.feed_items(table(spark, sf_dir, "part").select("p_partkey", body.alias("body")), "p_partkey", "body")
+    return structured.feed_items(spread(spark, sf_dir, "part").select("p_partkey", body.alias("body")), "p_partkey", "body")
 
 
 def _linked(spark, sf_dir) -> DataFrame:
@@ -160,7 +160,7 @@ def _linked(spark, sf_dir) -> DataFrame:
     ))
     block = F.when(key % 3 == 0, F.concat(F.lit('{"@graph": [// een lijst\n'), event, F.lit(",]}"))).when(key % 3 == 1, F.concat(F.lit('{"@type": "WebPage", "mainEntity": '), event, F.lit("}"))).otherwise(event)
     body = F.concat(F.lit("<html><script type='application/ld+json'>"), F.when(key % 7 == 0, F.concat(F.lit("{"), block)).otherwise(block), F.lit("</script></html>"))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.lit("https://a.nl/agenda/").alias("url"), body.alias("body"))
+    return spread(spark, sf_dir, "customer").select("c_custkey", F.lit("https://a.nl/agenda/").alias("url"), body.alias("body"))
 
 
 _LINKED = "FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 7 <> 0"
@@ -186,7 +186,7 @@ def q_microdata(spark, sf_dir):
         F.lit('<div itemscope itemtype="https://schema.org/Event">'), named, F.lit('<time itemprop="startDate" datetime="2026-06-12">vrijdag</time><span itemprop="location">Kerk <b>Midsland</b></span><meta itemprop="price" content="'),
         F.col("s_nationkey").cast("string"), F.lit('"><a href="/s/'), key, F.lit('">verder</a></div>'),
     )
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.lit("https://a.nl/agenda").alias("url"), body.alias("body"))
+    rows = spread(spark, sf_dir, "supplier").select("s_suppkey", F.lit("https://a.nl/agenda").alias("url"), body.alias("body"))
     return markup.microdata(rows, "s_suppkey", "url", "body").select("s_suppkey", "ordinal", "name", "start_iso", "location_name", "price_text", "detail_url")
 
 
@@ -199,7 +199,7 @@ def q_dated_blocks(spark, sf_dir):
     body = F.concat(
         F.lit('<ul><li class="event"><h3>Grote '), F.lower("c_mktsegment"), F.lit(" markt</h3> <p>"), day, F.lit('</p> <span class="locatie">Plein '), F.col("c_nationkey").cast("string"), F.lit('</span> <a href="/agenda/'), key.cast("string"), F.lit('">meer</a></ul>'),
     )
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.lit("https://a.nl/agenda").alias("url"), body.alias("body"))
+    rows = spread(spark, sf_dir, "customer").select("c_custkey", F.lit("https://a.nl/agenda").alias("url"), body.alias("body"))
     return markup.dated_blocks(rows, "c_custkey", "url", "body", 2026).select("c_custkey", "place", "name", "start_iso", "location_name", "detail_url")
 
 
@@ -211,7 +211,7 @@ def q_selector_hints(spark, sf_dir):
     block = lambda i, word, opened: F.concat(F.lit(opened), F.lit("<h3>Grote "), F.lower("c_mktsegment"), F.lit(f" markt {word}</h3> <p>{i} juni 2026</p></div>"))
     body = F.concat(F.lit('<div id="hier">'), block(1, "een", '<div class="rij los" data-soort="Week">'), F.lit("<section>"), block(2, "twee", '<div class="rij">'), F.lit("</section>"), block(3, "drie", '<div data-soort="dag">'), F.lit("</div>"))
     hint = _one(key, ".rij", "#hier [data-soort=dag]", "div.rij.los, span", "#hier > div[data-soort]", "div:nth-child(")
-    rows = table(spark, sf_dir, "customer").select(key, F.lit("https://a.nl/agenda").alias("url"), body.alias("body"), hint.alias("hint"))
+    rows = spread(spark, sf_dir, "customer").select(key, F.lit("https://a.nl/agenda").alias("url"), body.alias("body"), hint.alias("hint"))
     return markup.dated_blocks(rows, "c_custkey", "url", "body", 2026, "hint").select("c_custkey", "place", "name")
 
 
@@ -220,7 +220,7 @@ def q_detail_links(spark, sf_dir):
     key = F.col("c_custkey").cast("string")
     first = F.when(F.col("c_custkey") % 4 < 3, F.concat(F.lit('<a href="/agenda/x'), key, F.lit('">12 juni</a><a href="/AGENDA/X'), key, F.lit('">12 juni</a>'))).otherwise("")
     body = F.concat(first, F.lit('<a href="https://b.nl/agenda/x">een lange titel</a><a href="/contact/event">een lange titel</a><a href="event/'), F.lower("c_mktsegment"), F.lit('">Een lange tocht langs zee</a><a href="/event/derde">een lange titel</a>'))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.lit("https://a.nl/").alias("url"), body.alias("body"))
+    rows = spread(spark, sf_dir, "customer").select("c_custkey", F.lit("https://a.nl/").alias("url"), body.alias("body"))
     found = markup.detail_links(rows, "c_custkey", "url", "body", F.lit(3))
     return found.where("link <> 'https://a.nl/event/derde'").withColumn("place", F.col("place"))
 
@@ -234,7 +234,7 @@ def q_site_json(spark, sf_dir):
     told = F.struct(F.concat(F.lit("<b>"), F.col("p_name"), F.lit("</b>")).alias("title"), F.lit("2026-06-12 10:00:00").alias("start_date"), F.col("p_size").cast("string").alias("cost"), link("url"), venue, F.array(F.struct(F.lit("Markt").alias("name"))).alias("categories"))
     post = F.struct(F.struct(F.col("p_name").alias("rendered")).alias("title"), link("link"), F.struct(F.lit("2026-06-13").alias("event_start")).alias("meta"))
     body = _one(F.col("p_partkey"), F.to_json(F.struct(F.array(told).alias("events"))), F.to_json(F.array(post)), '{"other": 1}')
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.lit("https://a.nl/agenda").alias("url"), body.alias("body"))
+    rows = spread(spark, sf_dir, "part").select("p_partkey", F.lit("https://a.nl/agenda").alias("url"), body.alias("body"))
     return site_json.site_events(rows, "p_partkey", "url", "body").select("p_partkey", "name", "start_iso", "location_name", "address", "price_text", "detail_url", F.size("categories").alias("n_categories"))
 
 

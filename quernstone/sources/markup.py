@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import dates, names
 from quernstone.functions.fixed import ASSETS
 from quernstone.functions.text import collapse, find_email, find_phone, path_of, slug, truncate
+from quernstone.plans.steps import settle
 from quernstone.sources.selectors import matches
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -224,8 +225,9 @@ def dated_blocks(pages: DataFrame, id_col: str, url: str, body: str, year: int,
     found = _rows(pages, id_col, url, body, F.col(body).rlike(DATED), _blocks, columns, hint)
     title = F.get(F.filter("titles", usable_title), F.lit(0))
     lead = r"(?i)^\s*(?:lees meer|meer info|bekijk)\s*[:\-–]?\s*"
-    named = found.withColumn("name", F.btrim(collapse(F.regexp_replace(title, lead, "")), F.lit(" -–|•:"))).where(title.isNotNull())
-    named = named.withColumn("span", dates.date_range(F.col("text"), F.lit(year))).where("span is not null").withColumn("clock", dates.times(F.col("text"))).withColumn("slug", slug("name"))
+    named = settle(found.withColumns({"_title": title, "span": dates.date_range(F.col("text"), F.lit(year))}))  # long expressions, else worked out again in all that is made of them
+    named = named.where("_title is not null and span is not null").withColumn("name", F.btrim(collapse(F.regexp_replace("_title", lead, "")), F.lit(" -–|•:")))
+    named = settle(named.drop("_title").withColumns({"clock": dates.times(F.col("text")), "slug": slug("name")}))
     each = named.withColumn("kind", F.explode("kinds"))
     once = F.row_number().over(Window.partitionBy(id_col, "slug", "text").orderBy("kind", "ordinal"))
     each = each.withColumn("_once", once).where("_once = 1")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernstone.operators import answer, query, search
-from quernstone.plans import answers
+from quernstone.plans import answers, derived
 from quernstone.sources import health, intake, registry, store
 from quernstone.sources import places as geo
 
@@ -97,3 +97,10 @@ def test_keys_that_look_like_postcodes_of_the_island(spark, tmp_path):
     rows = [(k, "MACHINERY", 1) for k in (8886, 8887, 8890, 8897, 8892, 17)]
     spark.createDataFrame(rows, "c_custkey long, c_mktsegment string, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
     assert sorted(r["ord"] for r in answers.q_normalise(spark, str(tmp_path)).collect()) == [8890, 8892]
+
+
+def test_small_files_are_dealt_to_many_tasks(spark):
+    """Heavy work on each row isn't one task because the file is small."""
+    sf, tasks = "/root/testdata/sf0.001", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for rows in (derived._linked(spark, sf), derived._orders(spark, sf), answers._raws(spark, sf), answers._payloads(spark, sf)):
+        assert rows.rdd.getNumPartitions() == tasks
