@@ -58,6 +58,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Slim rows that one task and one file of a round can well hold.
+ROWS_A_PART = 50_000
+
+
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """df, of about that many slim rows, in no more partitions than they need: rounds over few rows else write as many small files as a shuffle has partitions, each time."""
+    return df.coalesce(max(1, -(-rows // ROWS_A_PART)))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII text takes the fast built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import attach, cut
+from quernstone.llm.common import attach, cut, packed
 
 
 def _relabel(rows: DataFrame, to: DataFrame, column: str, total: int) -> DataFrame:
@@ -25,20 +25,23 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     steps = []
     while (total := edges.count()) > 0:
+        edges = packed(edges, total)
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(rank("b")).alias("m"), F.count("*").alias("n"))
-        to = cut(least.select(F.col("a").alias("node"), F.least("m", rank("a"))["id"].alias("root"), "n"))
+        to = cut(packed(least.select(F.col("a").alias("node"), F.least("m", rank("a"))["id"].alias("root"), "n"), 2 * total))
         steps.append(to.select("node", "root"))
         moved = _relabel(_relabel(edges, to, "a", 2 * total), to, "b", 2 * total)
-        edges = cut(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        edges = cut(packed(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), total))
     if not steps:
         return links.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
     ends = steps[-1]
     for to in reversed(steps[:-1]):  # where a node of an earlier round ends up
+        n = to.count()
         held = to.groupBy("root").agg(F.count("*").alias("n"))
         target = held.join(ends.select(F.col("node").alias("root"), F.col("root").alias("_end")), "root", "left")
-        target = cut(target.select("root", F.coalesce("_end", F.col("root")).alias("_end"), "n"))
-        ends = cut(attach(to, target, ["root"], "n", to.count()).select("node", F.col("_end").alias("root")))
-    least = cut(ends.groupBy("root").agg(F.min("node").alias("_m"), F.count("*").alias("n")))
-    found = attach(ends, least, ["root"], "n", ends.count())
+        target = cut(packed(target.select("root", F.coalesce("_end", F.col("root")).alias("_end"), "n"), n))
+        ends = cut(packed(attach(to, target, ["root"], "n", n).select("node", F.col("_end").alias("root")), n))
+    n = ends.count()
+    least = cut(packed(ends.groupBy("root").agg(F.min("node").alias("_m"), F.count("*").alias("n")), n))
+    found = attach(ends, least, ["root"], "n", n)
     return found.select("node", F.least("_m", "root").alias("component"))

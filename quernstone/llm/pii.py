@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import attach, cut
+from quernstone.llm.common import attach, cut, packed
 from quernstone.llm.spans import find_spans, written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -60,18 +60,19 @@ def _scores(edges: DataFrame) -> DataFrame:
     """
     edges = cut(edges)
     total = edges.count()
+    edges = packed(edges, total)
     kinds = range(len(KINDS))
-    of_value = cut(edges.groupBy("value").agg(F.count("*").alias("n"), F.first("seed", ignorenulls=True).alias("seed")))
+    of_value = cut(packed(edges.groupBy("value").agg(F.count("*").alias("n"), F.first("seed", ignorenulls=True).alias("seed")), total))
     seeded = lambda seed, k: F.when(seed == k, 1.0).otherwise(0.0)
     best = F.greatest(*[F.col(f"v{k}") for k in kinds])
     values = cut(of_value.select("value", "n", "seed", *[seeded(F.coalesce("seed", F.lit(-1)), k).alias(f"v{k}") for k in kinds]))
     while True:
         held = attach(edges, values.drop("seed"), ["value"], "n", total)
         patterns = held.groupBy("pattern").agg(F.count("*").alias("n"), *[(F.sum(f"v{k}") / (F.count("*") + DOUBT)).alias(f"p{k}") for k in kinds])
-        held = attach(edges.select("pattern", "value"), cut(patterns), ["pattern"], "n", total)
+        held = attach(edges.select("pattern", "value"), cut(packed(patterns, total)), ["pattern"], "n", total)
         chance = held.groupBy("value").agg(*[(1 - F.exp(F.sum(F.log(1 - F.col(f"p{k}"))))).alias(f"c{k}") for k in kinds])
         score = [F.when(F.col("seed").isNull(), F.col(f"c{k}")).otherwise(F.col(f"v{k}")).alias(f"v{k}") for k in kinds]
-        after = cut(values.withColumn("was", best).join(chance, "value").select("value", "n", "seed", "was", *score))
+        after = cut(packed(values.withColumn("was", best).join(chance, "value").select("value", "n", "seed", "was", *score), total))
         moved = after.where((best - F.col("was") >= STILL) | ((best >= SURE) & (F.col("was") < SURE))).limit(1).count()
         values = after.drop("was")
         if not moved:
