@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.functions.text import slug_text
+from quernstone.functions.text import let, slug_text
 
 # Fixed values. Categories in the order in which they are shown, and those that bring another with them.
 ORDER = ("Muziek", "Theater", "Cultuur", "Festival", "Natuur", "Excursie", "Wandelen", "Sport", "Markt", "Eten & Drinken", "Museum", "Kunst", "Workshop", "Kinderen", "Familie", "Nachtleven", "Overig")
@@ -32,14 +32,18 @@ def classify(slugged: Column, keywords: dict[str, tuple[str, ...]]) -> Column:
 
     The keyword table is a parameter; each category is one pattern, so a text is scanned once for each.
     """
-    says = {}
-    for name in ORDER:
-        words = [re.escape(s) for s in map(slug_text, keywords.get(name, ())) if s]
-        says[name] = slugged.rlike(rf"(?<![a-z0-9])(?:{'|'.join(words)})") if words else F.lit(False)
-    for cause, effect in IMPLIED.items():
-        says[effect] = says[effect] | says[cause]
-    found = F.array_compact(F.array(*[F.when(says[name], name) for name in ORDER]))
-    return F.when(slugged == "", F.array().cast("array<string>")).when(F.size(found) == 0, F.array(F.lit(OTHER))).otherwise(found)
+
+    def read(t: Column) -> Column:
+        says = {}
+        for name in ORDER:
+            words = [re.escape(s) for s in map(slug_text, keywords.get(name, ())) if s]
+            says[name] = t.rlike(rf"(?<![a-z0-9])(?:{'|'.join(words)})") if words else F.lit(False)
+        for cause, effect in IMPLIED.items():
+            says[effect] = says[effect] | says[cause]
+        found = F.array_compact(F.array(*[F.when(says[name], name) for name in ORDER]))
+        return F.when(t == "", F.array().cast("array<string>")).otherwise(let(found, lambda f: F.when(F.size(f) == 0, F.array(F.lit(OTHER))).otherwise(f)))
+
+    return let(slugged, read)  # the slug and what is found are worked out once
 
 
 def with_defaults(found: Column, defaults: Column) -> Column:

@@ -101,3 +101,12 @@ def test_phones_at_the_beginning_of_longer_runs(spark):
     said = ["kaart 0300233469491448", "bel 0562 123456", "1030023346949"]
     found = spark.createDataFrame(list(enumerate(said)), "i int, t string").select("i", text.find_phone(F.col("t"), whole=False).alias("p"), text.find_phone(F.col("t")).alias("q")).collect()
     assert {r["i"]: (r["p"], r["q"]) for r in found} == {0: ("030023346949", None), 1: ("0562 123456", "0562 123456"), 2: (None, None)}
+
+
+def test_a_text_is_slugged_once_for_all_categories(spark):
+    from quernstone.functions import categories
+
+    rows = spark.createDataFrame([(0, "krat"), (1, ""), (2, None), (3, "mok")], "i int, t string")
+    out = rows.select("i", categories.classify(F.reverse("t"), {"Markt": ("tark",), "Festival": ("kom",)}).alias("c"))
+    assert {r["i"]: r["c"] for r in out.collect()} == {0: ["Markt"], 1: [], 2: [categories.OTHER], 3: ["Cultuur", "Festival"]}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("reverse(") == 1
