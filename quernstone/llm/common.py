@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Most keys that are ever broadcast as "hot": a key is hot if it holds more than rows / HOT_KEYS rows.
 HOT_KEYS = 20_000
 
+#: Slim rows that one task and one file of a round can well hold.
+ROWS_A_PART = 50_000
+
 #: Bits of the bitmap of rows that may have to go.
 WIDTH = 1 << 26
 
@@ -58,10 +61,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Slim rows that one task and one file of a round can well hold.
-ROWS_A_PART = 50_000
-
-
 def packed(df: DataFrame, rows: int) -> DataFrame:
     """df, of about that many slim rows, in no more partitions than they need: rounds over few rows else write as many small files as a shuffle has partitions, each time."""
     return df.coalesce(max(1, -(-rows // ROWS_A_PART)))
@@ -77,8 +76,11 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total
 
     groups has the number of rows of its key in column `size`. At most HOT_KEYS keys can hold more than
     total / HOT_KEYS rows each; those are broadcast. The rest meet in a shuffle whose largest key is that small.
-    Both inputs are read twice, so pass checkpointed or cheap ones. Keys must not be null.
+    Both inputs are read twice, so pass checkpointed or cheap ones. Keys must not be null. Where there are no more rows than one task can well hold, all
+    groups are broadcast: late rounds then take one job each.
     """
+    if total <= ROWS_A_PART:
+        return rows.join(F.broadcast(groups), keys, "left")
     at = total // HOT_KEYS
     hot = groups.where(F.col(size) > at)
     named = dict(zip(keys, fresh(rows.join(groups.limit(0), keys, "left"), *keys, "key"), strict=False))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from quernstone.llm.common import attach, batches_of, cut, give_back, having, without
 from quernstone.llm.components import components
@@ -28,8 +28,6 @@ COPY_JACCARD = 0.8
 BANDS, BAND = 20, 4
 #: Rows and bytes of text of a bucket that are compared in one task; larger buckets are split into pairs of tiles.
 COPY_TILE, COPY_BYTES = 4096, 6 << 20
-#: Bands that are compared together. Most copies are linked by the first ones, and a bucket whose texts are all linked already needs no texts.
-ROUNDS = (range(0, 2), range(2, BANDS))
 _BLOCK = 1 << 16
 #: Rows with texts that a Python worker gets at once.
 ROWS_AT_ONCE = 1000
@@ -63,7 +61,10 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
     """The 64-bit SimHash of a text's word shingles; 0 for null or no words."""
-    hashes = shingles(text, words)
+    return _simhash(shingles(text, words))
+
+
+def _simhash(hashes: np.ndarray) -> int:
     n = len(hashes)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, _BLOCK):
@@ -178,20 +179,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _shingle_set(text: str | None) -> np.ndarray:
-    """The distinct shingles of a text; blank texts have one in common."""
-    found = np.unique(shingles(text, COPY_WORDS))
+def _set_of(hashes: np.ndarray) -> np.ndarray:
+    """The distinct ones of a text's shingles; blank texts have one in common."""
+    found = np.unique(hashes)
     return found if len(found) else np.zeros(1, "<u8")
 
 
+def _shingle_set(text: str | None) -> np.ndarray:
+    return _set_of(shingles(text, COPY_WORDS))
+
+
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND, 1), np.uint64)
 _TIMES, _PLUS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def band_keys(text: str | None) -> np.ndarray:
-    """For each band a hash of the band's place and of its least hashes."""
-    found = _shingle_set(text)
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """For each band a hash of the band's place and of the least hashes of a set of shingles."""
     least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(found), 1024):
         np.minimum(least, (found[None, at : at + 1024] * _TIMES + _PLUS).min(axis=1), out=least)
@@ -202,10 +206,16 @@ def band_keys(text: str | None) -> np.ndarray:
     return key.view(np.int64)
 
 
-@pandas_udf(ArrayType(LongType()))
-def band_keys_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@pandas_udf(StructType().add("fp", LongType()).add("keys", ArrayType(LongType())))
+def copy_marks_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """fp, the SimHash of a text's shingles of COPY_WORDS words, and keys, its band_keys."""
     for text in batches:
-        yield pd.Series([band_keys(t) for t in text])
+        fps, keys = np.empty(len(text), np.uint64), []
+        for i, t in enumerate(text):
+            hashes = shingles(t, COPY_WORDS)
+            fps[i] = _simhash(hashes)
+            keys.append(band_keys(_set_of(hashes)))
+        yield pd.DataFrame({"fp": fps.view(np.int64), "keys": keys})
     give_back()
 
 
@@ -279,9 +289,19 @@ def copy_links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return dealt.mapInPandas(_compare_texts, "a long, b long")
 
 
+def simhash_groups(nodes: DataFrame, total: int, radius: int = RADIUS) -> DataFrame:
+    """nodes (of about that many rows, with fp; checkpointed) with near: the least fingerprint reachable over fingerprints that differ in at most radius bits, null for nodes that meet no other."""
+    by_fp = cut(nodes.groupBy("fp").agg(F.count("*").alias("size")))
+    parts = components(cut(fingerprint_links(by_fp.select("fp", F.col("fp").alias("id")), radius)))
+    met = by_fp.join(parts.withColumnRenamed("node", "fp"), "fp", "left").where("component is not null or size > 1")
+    return attach(nodes, cut(met.select("fp", F.coalesce("component", "fp").alias("near"), "size")), ["fp"], "size", total).drop("size")
+
+
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group of near copies, the one of smallest id; all columns stay, whatever their names.
 
+    Groups come from SimHash fingerprints first, as in near_groups: those within RADIUS bits meet in tiles pruned by popcount, components are contracted, and the exact likeness of texts
+    confirms the links within a component. RADIUS holds few of the pairs that are barely alike (9 to 10 bits of 64 at a likeness of 0.8), so texts that are not linked yet meet again where a band of their least hashes agrees.
     Two documents link if the sets of their shingles of COPY_WORDS words have a Jaccard likeness of COPY_JACCARD or more; equal texts link, and blank
     texts (null, empty, white space) do with each other. A row is known by its id and its text: a null or repeated id does not tie unlike texts together, and a null id
     stays only in a group without other ids. Texts are known by a 64-bit hash while they are compared; texts that share one by chance are told apart by SHA-256, and stay. Of rows with one id and one text one stays. Whole texts are compared. An empty table gives an empty result.
@@ -289,24 +309,25 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     node, sure = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     length = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
     with batches_of(docs.sparkSession, ROWS_AT_ONCE):
-        rows = cut(docs.select(F.col(id_col).alias("id"), node.alias("node"), length.alias("bytes"), sure.alias("sure"), band_keys_udf(F.col(text_col)).alias("keys")))
+        rows = cut(docs.select(F.col(id_col).alias("id"), node.alias("node"), length.alias("bytes"), sure.alias("sure"), copy_marks_udf(F.col(text_col)).alias("marks")))
     one = F.min("sure") == F.max("sure")  # else unlike texts share a hash: none of them is compared or dropped
-    nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("bytes").alias("bytes"), F.first("keys").alias("keys"), one.alias("one"))
-    nodes = cut(nodes.where("one").drop("one"))
-    links, texts = None, docs.select(node.alias("node"), F.col(text_col).alias("text"))
-    parts = nodes.select("node", F.col("node").alias("component")).limit(0)
-    for bands in ROUNDS:
-        now = nodes.join(parts, "node", "left").select("node", "bytes", F.slice("keys", bands.start + 1, len(bands)).alias("keys"), F.coalesce("component", "node").alias("component"))
-        with batches_of(docs.sparkSession, ROWS_AT_ONCE):
-            found = cut(copy_links(texts, cut(now)))
-        links = found if links is None else links.unionByName(found)
-        parts = cut(components(links))
+    nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("bytes").alias("bytes"), F.first("marks").alias("marks"), one.alias("one"))
+    nodes = cut(nodes.where("one").select("node", "id", "n", "bytes", "marks.*"))
+    total, texts = rows.count(), docs.select(node.alias("node"), F.col(text_col).alias("text"))
+    near = simhash_groups(nodes.select("node", "bytes", "fp"), total).where("near is not null")
+    with batches_of(docs.sparkSession, ROWS_AT_ONCE):
+        links = cut(copy_links(texts, cut(near.select("node", "bytes", F.array("near").alias("keys"), F.col("node").alias("component")))))
+    parts = cut(components(links))
+    left = nodes.join(parts, "node", "left").select("node", "bytes", F.slice("keys", 1, BANDS).alias("keys"), F.coalesce("component", "node").alias("component"))
+    with batches_of(docs.sparkSession, ROWS_AT_ONCE):
+        links = links.unionByName(cut(copy_links(texts, cut(left))))
+    parts = cut(components(links))
     of_node = nodes.select("node", "id", "n").join(parts, "node", "left").where("component is not null or n > 1")
     of_node = cut(of_node.withColumn("component", F.coalesce("component", "node")))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first")
     kept = cut(of_node.groupBy("component").agg(first, F.count("*").alias("size")))
     of_node = cut(attach(of_node, kept, ["component"], "size", of_node.count()).select("node", "n", F.col("first.id").alias("keep_id"), F.col("first.node").alias("keep_node")))
-    found = attach(rows.select("id", "node"), of_node, ["node"], "n", rows.count()).where("keep_node is not null")
+    found = attach(rows.select("id", "node"), of_node, ["node"], "n", total).where("keep_node is not null")
     stays = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("node") == F.col("keep_node"))
     found = cut(found.select(F.col("id").alias("key_id"), F.col("node").alias("key_text"), stays.alias("stays")).groupBy("key_id", "key_text").agg(F.first("stays").alias("stays"), F.count("*").alias("n")))
     return without(docs, found.where("not stays"), found.where("stays and n > 1"), {"key_id": F.col(id_col), "key_text": node})

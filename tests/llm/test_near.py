@@ -140,3 +140,30 @@ def test_texts_that_share_a_hash_by_chance_stay(spark, monkeypatch):
     rows = [(i, f"text number {i} has words of its own such as w{i} and v{i * 7}") for i in range(12)]
     kept = simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r["doc_id"] for r in kept) == list(range(12))
+
+
+def test_drop_near_goes_by_simhash_tiles_and_the_exact_likeness_confirms(spark, monkeypatch):
+    """Without bands, long near copies are found by fingerprints alone; fingerprints that agree by chance drop no text."""
+    calls, real = [], simhash.fingerprint_links
+    monkeypatch.setattr(simhash, "fingerprint_links", lambda *a: calls.append(a) or real(*a))
+    monkeypatch.setattr(simhash, "BANDS", 0)
+    texts = [" ".join(_prose(1500)) for _ in range(3)]
+    rows = [(i, t) for i, t in enumerate([*texts, *[t + f" tail{k}" for t in texts for k in range(3)], None, " "])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in simhash.drop_near(docs).collect()) == [0, 1, 2, 12]
+    assert len(calls) == 1
+    monkeypatch.setattr(simhash, "masks", lambda *a: [0])
+    monkeypatch.setattr(simhash, "RADIUS", 64)
+    monkeypatch.setattr(simhash.simhash_groups, "__defaults__", (64,))  # all fingerprints meet
+    assert sorted(r["doc_id"] for r in simhash.drop_near(docs).collect()) == [0, 1, 2, 12]
+
+
+def test_few_rows_are_joined_in_one_broadcast(spark):
+    """A join of few rows took two broadcasts and a shuffle of both sides."""
+    rows = common.cut(spark.createDataFrame([(i % 5, i) for i in range(100)], "k long, v long"))
+    groups = common.cut(rows.where("k < 3").groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("most")))
+    found = common.attach(rows, groups, ["k"], "n", 100)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == 1 and "hashpartitioning" not in plan
+    assert sorted((r["k"], r["v"], r["n"], r["most"]) for r in found.where("k < 3").collect()) == sorted((i % 5, i, 20, 95 + i % 5) for i in range(100) if i % 5 < 3)
+    assert found.where("most is null").count() == 40
