@@ -52,8 +52,14 @@ def _folded(text: str) -> str:
     return _JOINTS.sub(" ", text.replace("\u00a0", " ").casefold().replace("ı", "i").replace("i\u0307", "i"))
 
 
+#: Characters outside of these may become letters, or cease to be, when cases are folded; within, folding keeps the edges of words.
+_ODD = re.compile("[^\u0000-\u024f\u2000-\u206f\u20a0-\u20cf]")
+
+
 class _Finder:
-    """One automaton over all names of a gazetteer: a text is read once, and only names that are found in it are looked at closely."""
+    """One automaton over all names of a gazetteer: a text is read once, and only names that stand in it as whole words are looked at closely. A name's pattern would read the
+    whole text again, so it isn't asked where text and name are ASCII and the name is words with single spaces, for which folding says all that the pattern does.
+    """
 
     def __init__(self, places: tuple[Place, ...]):
         found = []
@@ -67,9 +73,10 @@ class _Finder:
             by_letters.setdefault(_folded(name), []).append(i)
         self.automaton = ahocorasick.Automaton()
         for letters, which in by_letters.items():
-            self.automaton.add_word(letters, which)
+            self.automaton.add_word(letters, (len(letters) - 1, which, letters == letters.strip(" ")))
         if by_letters:
             self.automaton.make_automaton()
+        self.simple = [name.isascii() and _folded(name) == name.lower().strip() for name, _ in self.names]
         self.patterns: dict[int, re.Pattern] = {}
 
     def _fits(self, i: int, hay: str) -> bool:
@@ -83,8 +90,12 @@ class _Finder:
         hay = (text or "").replace("\u00a0", " ")
         if not self.names or not hay.strip():
             return []
-        near = sorted({i for _, which in self.automaton.iter(_folded(hay)) for i in which})
-        return list(dict.fromkeys(self.names[i][1] for i in near if self._fits(i, hay)))
+        padded, found, odd, plain = f" {_folded(hay)} ", {}, _ODD.search(hay), hay.isascii()
+        for end, (more, which, edged) in self.automaton.iter(padded[1:-1]):
+            if which[0] not in found and (odd or not edged or not (padded[end + 2].isalnum() or padded[end - more].isalnum())):
+                found[which[0]] = which
+        near = sorted(i for which in found.values() for i in which)
+        return list(dict.fromkeys(self.names[i][1] for i in near if (plain and self.simple[i]) or self._fits(i, hay)))
 
 
 @lru_cache(4)

@@ -110,3 +110,17 @@ def test_a_text_is_slugged_once_for_all_categories(spark):
     out = rows.select("i", categories.classify(F.reverse("t"), {"Markt": ("tark",), "Festival": ("kom",)}).alias("c"))
     assert {r["i"]: r["c"] for r in out.collect()} == {0: ["Markt"], 1: [], 2: [categories.OTHER], 3: ["Cultuur", "Festival"]}
     assert out._jdf.queryExecution().optimizedPlan().toString().count("reverse(") == 1
+
+
+def test_names_within_words_are_not_looked_at_closely():
+    """Each name that only stood within words had its pattern read the whole text again."""
+    from quernstone.functions import places
+
+    names = ("can", "de Zaal", "oost-ende", "’t Huis", " rand", "tab\tje", "twee  wit", "größe", "Kin")
+    finder, asked = places._Finder(tuple(map(places.Place, names))), []
+    real = finder._fits
+    finder._fits = lambda i, hay: asked.append(finder.names[i][0]) or real(i, hay)
+    assert finder("candle vulcan scan de zaaltje akin " * 50) == [] and asked == []
+    assert finder("a can, DE-zaal") == ["de Zaal", "can"] and asked == []
+    said = "x  rand tab je twee wit twee - wit oost-ende oost ende grösse größe ’T HUIS Kin canͅ"
+    assert set(finder(said)) == {i for i in names if real(next(k for k, n in enumerate(finder.names) if n[0] == i), said)}
