@@ -144,3 +144,17 @@ def test_days_go_into_the_longer_activity(spark):
     rows[4]["date"], rows[4]["start"], rows[1]["start"] = day(1), 900, 600
     got = {r["ord"]: (r["village"], r["start"], r["duplicate_count"]) for r in resolve.resolve(table(spark, rows)).collect()}
     assert got[1] == ("Hoorn", 600, 3) and set(got) == {1, 3, 4, 6}
+
+
+def test_pairs_of_days_come_out_of_the_join_once_each(spark):
+    """Pairs were made once for each of their alike names and shuffled to be told apart, so the disk grew with the square of the input."""
+    import datetime as dt
+
+    day = dt.date(2026, 6, 1)
+    rows = [(i, day + dt.timedelta(i % 7), day + dt.timedelta(i % 7 + 3) if i % 3 == 0 else None, "Concert in Midsland", [None, "Midsland", "Hoorn"][i % 4 % 3]) for i in range(60)]
+    found = resolve.containing(spark.createDataFrame(rows, "ord long, date date, end_date date, name string, village string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan
+    got = sorted((r["host"], r["part"]) for r in found.collect())
+    want = sorted((h[0], p[0]) for h in rows for p in rows if h[2] and h[0] != p[0] and h[1] <= p[1] <= h[2] and (p[2] or p[1]) <= h[2])
+    assert got == want
