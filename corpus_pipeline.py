@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm import bpe, exact_dedup, mixing, simhash, toxicity
-from quernstone.llm.common import fresh, quoted, shared_folder, table
+from quernstone.llm.common import batches_of, cut, fresh, quoted, shared_folder, table
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +55,10 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per row: id, number of tokens, and hashes of the ids and of the bytes that they decode to.
 
     Null counts as empty and has no tokens. Very long texts are encoded whole, repeated rows each time. An empty table gives an empty result. Further columns are left out.
+    Tasks get few texts at once, as those of a batch are held several times over; batches are settled when the stage is planned, so it ends with a checkpoint of its short rows.
     """
-    return bpe.digests(docs)
+    with batches_of(spark, bpe.ROWS):
+        return cut(bpe.digests(docs))
 
 
 STAGES = [("toxicity", toxicity_filter), ("exact_dedup", exact_copies), ("near_dedup", near_copies), ("mixing", mix_sources), ("bpe", encode)]
