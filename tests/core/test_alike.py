@@ -118,3 +118,25 @@ def test_selectors():
     assert found("*") == ["div", "ul", "li", "b", "li", "p"]
     assert [found(s) for s in ("li:first-child", "", ">", "li >", "[", "li[data", "..x", "a + b")] == [[]] * 8
     assert text.slug_text("Één’s") == "een s"
+
+
+def test_names_of_large_blocks_are_those_of_all_pairs(spark, monkeypatch):
+    """A block of more than FEW names is judged many pairs at a time: tiles, other letters than Latin, long names and empty ones."""
+    monkeypatch.setattr(alike, "FEW", 20)
+    monkeypatch.setattr(alike, "WIDE_TILE", 64)
+    rng = random.Random(12)
+    slugs = {"".join(rng.choices("abcd", k=rng.randint(1, 14))) for _ in range(150)} | {"", "я", "яа", "東京都", "東京", "a" * 31, "a" * 33}
+    for n in (30, 40, 60, 64, 66, 90):
+        long = rng.choices("abcdefgh", k=n)
+        slugs |= {"".join(long), "".join(long[: n - 3]), "".join(long[2:]) + "xy", "".join(c if rng.random() < 0.75 else "q" for c in long)}
+    slugs = sorted(slugs)
+    rows = [("large", s, s) for s in slugs] + [("small", s, s) for s in slugs[:9]] + [("one", "zz", "zz")]
+    least = 0.62
+    got = [(r["a"], r["b"]) for r in alike._by_letters(spark.createDataFrame(rows, "block string, form string, slug string"), least).collect()]
+    want = {(a, b) for i, a in enumerate(slugs) for b in slugs[i + 1 :] if a and 1 - lev(a, b) / max(len(a), len(b)) >= least - 1e-12}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert 40 < len(want) < len(slugs) ** 2 / 4
+    short = [s for s in slugs if len(s) <= alike.BITS]
+    large = spark.createDataFrame([("large", s, s, len(slugs)) for s in slugs], "block string, form string, slug string, n long")
+    many = {(min(r), max(r)) for r in alike._many_at_once(large, least).collect()}
+    assert many == {p for p in want if p[0] in short or p[1] in short}
