@@ -38,14 +38,18 @@ def _month(name: Column) -> Column:
 
 def _date(y: Column, m: Column, d: Column) -> Column:
     """The date, null if there is no such day between the years 1900 and 2200."""
-    made = F.try_to_date(F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")), "yyyy-MM-dd")
+    made = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")).try_cast("date")
     return F.when(y.between(1900, 2200) & m.isNotNull() & d.isNotNull(), made)
 
 
 def _parts(text: Column, pattern: str, count: int, use: Callable[..., Column]) -> Column:
-    """use of the groups of the first match, empty without one; the text is scanned once."""
-    groups = lambda found: F.array(*[F.regexp_extract(found, pattern, i) for i in range(1, count + 1)])
-    return let(let(F.regexp_extract(text, pattern, 0), groups), lambda p: use(*[F.get(p, F.lit(i)) for i in range(count)]))
+    """use of the groups of the first match, null without one; the text is scanned once and the match taken apart once.
+
+    What of a match is no match by itself (a space at its end) stays at the last group, which is a number then or nothing.
+    """
+    groups = lambda found: F.split(F.regexp_replace(found, pattern, "\n".join(f"${i}" for i in range(1, count + 1))), "\n")
+    taken = lambda found: F.when(found != "", let(groups(found), lambda p: use(*[F.get(p, F.lit(i)) for i in range(count)])))
+    return let(F.regexp_extract(text, pattern, 0), taken)
 
 
 def _int(text: Column) -> Column:
