@@ -8,31 +8,40 @@ from pyspark.sql import functions as F
 from quernstone.plans.steps import attach, settle
 
 
-def _least(links: DataFrame) -> DataFrame:
-    """node, size, least: the least of each node and those beside it, and how many links leave it."""
-    return settle(links.groupBy("u").agg(F.count("*").alias("size"), F.least(F.col("u"), F.min("v")).alias("least")))
+def _renamed(rows: DataFrame, to: DataFrame, column: str) -> DataFrame:
+    """rows with the nodes of a column replaced by the roots that `to` (node, root, size) has for them; size counts the rows of a node in both columns together."""
+    return attach(rows, to.select(F.col("node").alias(column), "root", "size"), [column], "size").withColumn(column, F.col("root")).drop("root", "size")
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, component: the least node that can be reached from each one. links has columns a and b; loops name nodes without links.
 
-    In a round each node sends its greater neighbours to the least of its neighbourhood, then its lesser ones. Links never grow in number, stars grow, and when nothing changes
-    each component is a star about its least node; the rounds grow with the logarithm of the nodes. Nodes with very many links get their least by broadcast.
+    In a round each node moves to the one of least hash among itself and those beside it, links are renamed, and those within one node or met already are dropped. Hashes make the
+    rounds logarithmic in the nodes whatever their order, and fewer links are left each time, so all rounds together cost little more than the first. Nodes with very many links are
+    renamed by broadcast.
     """
     given = settle(links.select("a", "b").where("a is not null and b is not null"))
     nodes = given.select(F.col("a").alias("node")).unionByName(given.select(F.col("b").alias("node"))).distinct()
-    edges = settle(given.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    while True:
-        both = settle(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-        large = attach(both, _least(both), ["u"], "size").where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
-        large = settle(large.where("u <> v").distinct())
-        small = attach(large, _least(large), ["u"], "size")
-        made = small.select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(small.select("u", F.col("least").alias("v")))
-        made = settle(made.where("u <> v").distinct())
-        if made.count() == edges.count() and made.exceptAll(edges).isEmpty():
-            break
-        edges = made
-    return nodes.join(edges.select(F.col("u").alias("node"), F.col("v").alias("found")), "node", "left").select("node", F.coalesce("found", "node").alias("component"))
+    pair = lambda rows: settle(rows.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    rank = lambda c: F.struct(F.xxhash64(c).alias("hash"), F.col(c).alias("node"))
+    edges, rounds = pair(given), []
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min(rank("b")).alias("least"), F.count("*").alias("size"))
+        to = settle(least.select(F.col("a").alias("node"), F.least("least", rank("a"))["node"].alias("root"), "size"))
+        rounds.append(to.select("node", "root"))
+        edges = pair(_renamed(_renamed(edges, to, "a"), to, "b"))
+    if not rounds:
+        return nodes.select("node", F.col("node").alias("component"))
+    ends = rounds[-1]
+    for to in reversed(rounds[:-1]):  # where a node of an earlier round ends up
+        held = to.groupBy("root").agg(F.count("*").alias("size"))
+        target = held.join(ends.select(F.col("node").alias("root"), F.col("root").alias("end")), "root", "left")
+        target = settle(target.select("root", F.coalesce("end", "root").alias("end"), "size"))
+        ends = settle(attach(to, target, ["root"], "size").select("node", F.col("end").alias("root")))
+    least = settle(ends.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("size")))
+    found = attach(ends, least, ["root"], "size").select(F.col("node").alias("found"), "component")
+    return nodes.join(found, F.col("node") == F.col("found"), "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def websites_of(sources: DataFrame, keys: list[str]) -> DataFrame:

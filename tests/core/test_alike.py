@@ -140,3 +140,20 @@ def test_names_of_large_blocks_are_those_of_all_pairs(spark, monkeypatch):
     large = spark.createDataFrame([("large", s, s, len(slugs)) for s in slugs], "block string, form string, slug string, n long")
     many = {(min(r), max(r)) for r in alike._many_at_once(large, least).collect()}
     assert many == {p for p in want if p[0] in short or p[1] in short}
+
+
+def test_links_grow_fewer_with_each_round(spark, monkeypatch):
+    """Rows that rounds write follow the links and not the links times the rounds."""
+    written = []
+
+    def counted(df):
+        out = settle(df)
+        written.append(out.count())
+        return out
+
+    settle = components.settle
+    monkeypatch.setattr(components, "settle", counted)
+    links = [(f"{c:03d}-{i:02d}", f"{c:03d}-{i + 1:02d}") for c in range(60) for i in range(24)]
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a string, b string")).collect()}
+    assert got == {n: f"{n[:3]}-00" for pair in links for n in pair}
+    assert sum(written) < 10 * len(links)
