@@ -42,10 +42,11 @@ def normalise(raws: DataFrame, sources: DataFrame, gazetteer: places.Gazetteer,
     raws: ord, source_id, page_url, name, date_text, start_iso, end_iso, time_text, description, location_name, address, organizer, phone, email,
     website, price_text, ticket_url, detail_url, raw_text, categories. sources: id, name, homepage, agenda_urls, tier (1 to 6),
     discovered, default_village, default_location_name, default_address, default_categories. All may hold nulls. Narrow but for the join with the
-    sources, a small table. The gates come as early as what they need. Rows are settled three times, so that what is found once isn't worked out again in all that is made of it.
+    sources, a small table that is broadcast; rows are dealt to all tasks before. The gates come as early as what they need. Rows are settled three times, so that what is found once isn't worked out again in all that is made of it.
     """
     src = sources.select(*[F.col(c).alias(f"src_{c}") for c in ("id", "name", "homepage", "agenda_urls", "tier", "discovered", "default_village", "default_location_name", "default_address", "default_categories")])
-    rows = raws.join(src, F.col("source_id") == F.col("src_id"))
+    n = int(raws.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # much work on each row: a shuffle by the few sources would leave a task for each of those
+    rows = raws.repartition(n).join(F.broadcast(src), F.col("source_id") == F.col("src_id"))
     given = collapse(names.without_entities("name"))
     rows = rows.withColumn("name", F.when(F.char_length(given) >= FEWEST_LETTERS, names.without_noise(given)))
     rows = rows.where((F.char_length("name") >= FEWEST_LETTERS) & names.is_name(F.col("name")) & ~places.only_elsewhere(F.col("name")))

@@ -22,7 +22,7 @@ def _details(own: DataFrame, recorded: DataFrame, raws: DataFrame, sources: Data
     """What the pages of single activities say that the pages of sources lead to: raw rows with listing, link, source_id, page_url and archived_at. A page that two sources lead to is read once and told by both."""
     most = F.coalesce("max_detail_pages", F.lit(intake.MOST_DETAILS)) if "max_detail_pages" in sources.columns else F.lit(intake.MOST_DETAILS)
     form = intake.format_of(F.col("content_type"), F.col("body"), F.col("strategy"), F.col("feed_type"), F.col("is_feed"))
-    pages = own.where(form == "html").join(sources.select(F.col("id").alias("source_id"), most.cast("int").alias("most")), "source_id")
+    pages = own.where(form == "html").join(F.broadcast(sources.select(F.col("id").alias("source_id"), most.cast("int").alias("most"))), "source_id")
     links = settle(intake.links_to_follow(pages, raws, "most"))
     found = settle(intake.with_details(pages, links, recorded.drop("selector_hint")))
     read = settle(intake.raw_rows(found.withColumns({"content_type": F.lit("text/html"), "feed_type": F.lit(None).cast("string"), "is_feed": F.lit(False)}), year))
@@ -42,7 +42,7 @@ def collected(payloads: DataFrame, sources: DataFrame, gazetteer: places.Gazette
     sources = intake.enabled(sources)
     asked = payloads if health is None else reachable(payloads, "url", health)
     hint = F.col("selector_hint") if "selector_hint" in sources.columns else F.lit(None).cast("string")
-    own, recorded = asked.drop("selector_hint").join(sources.select(F.col("id").alias("source_id"), hint.alias("selector_hint")), "source_id"), asked.where("source_id is null")
+    own, recorded = asked.drop("selector_hint").join(F.broadcast(sources.select(F.col("id").alias("source_id"), hint.alias("selector_hint"))), "source_id"), asked.where("source_id is null")
     raws = settle(intake.raw_rows(own, first.year))  # so that the normaliser is planned once and not for each reader
     of = own.select(F.col("id").alias("payload"), "source_id", F.col("url").alias("page_url"), F.when(F.col("strategy") == ARCHIVE, F.coalesce("archived_at", F.lit(now).cast("timestamp"))).alias("archived_at"))
     rows = raws.join(of, "payload").withColumns({"listing": F.col("payload"), "link": F.lit(0)})
